@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, url_tree
 from .common import table
 
 
@@ -17,8 +17,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"_q.{n}").alias(n) for n in names], "base_failed", "kept", F.col("fired").alias("rule"))
 
 
+#: The rules of the url query, fixed by its contract.
+URL_RULES = [
+    url_tree.UrlRule("block", "com", "/en/"),
+    url_tree.UrlRule("allow", "example.com", "/en/7"),
+    url_tree.UrlRule("allow", "net", "/de/"),
+    url_tree.UrlRule("block", "example.net", "/de/8"),
+    url_tree.UrlRule("block", "org", "/es/"),
+]
+
+
+def op6_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page carries the label of the document whose number ends its path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 0).alias("low"))
+    number = F.expr("try_cast(regexp_extract(url, '([0-9]+)(?:[.]html|/)?(?:[?#].*)?$', 1) as bigint)")
+    # Urls without a number get keys of their own, so that they do not meet in one task of the join.
+    number = F.coalesce(number, -1 - F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 40)))
+    labelled = pages.withColumn("doc_id", number).join(labels, "doc_id", "left")
+    judged = url_tree.filter_urls(labelled, F.col("low"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op6_url_template_tree": op6_url_template_tree,
 }
 
 #: No operator here is fully expressible in SQL over whole tables; each is tested against brute force in tests/llm.
