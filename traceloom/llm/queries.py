@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, url_tree
+from . import jaccard_join, quality_rules, url_tree
 from .common import table
 
 
@@ -39,9 +39,14 @@ def op6_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op6_url_template_tree": op6_url_template_tree,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 #: No operator here is fully expressible in SQL over whole tables; each is tested against brute force in tests/llm.
