@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, quality_rules, url_tree
+from . import jaccard_join, packing, quality_rules, sstable, url_tree
 from .common import table
 
 
@@ -39,13 +39,29 @@ def op6_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048)
+
+
+def op9_sorted_table_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op6_url_template_tree": op6_url_template_tree,
+    "op9_sorted_table_shards": op9_sorted_table_shards,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
