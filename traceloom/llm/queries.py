@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, quality_rules, sstable, url_tree
+from . import html_main, jaccard_join, line_dedup, packing, quality_rules, rank_bpe, sstable, toxicity, url_tree, vector_graph
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"_q.{n}").alias(n) for n in names], "base_failed", "kept", F.col("fired").alias("rule"))
 
 
+def op5_host_path_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_pages(table(spark, sf_dir, "pages"))
+
+
 #: The rules of the url query, fixed by its contract.
 URL_RULES = [
     url_tree.UrlRule("block", "com", "/en/"),
@@ -49,6 +53,26 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048)
 
 
+def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_kept")
+
+
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("key").alias("doc_id"), "severity", "grade", "toxic", (~F.col("toxic")).alias("kept"))
+
+
+def op8_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op4_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return rank_bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_sorted_table_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
 
@@ -60,7 +84,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_fuzzy_line_dedup": op3_fuzzy_line_dedup,
+    "op4_rank_queue_bpe": op4_rank_queue_bpe,
+    "op5_host_path_extraction": op5_host_path_extraction,
     "op6_url_template_tree": op6_url_template_tree,
+    "op7_ordinal_toxicity": op7_ordinal_toxicity,
+    "op8_robust_pruned_graph": op8_robust_pruned_graph,
     "op9_sorted_table_shards": op9_sorted_table_shards,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }

@@ -18,7 +18,8 @@ _power = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base, and of its inverse modulo 2^64, at least."""
     global _power, _inverse
     if len(_power) < n:
         size = max(n, 1 << 16)
@@ -46,7 +47,7 @@ def _piece_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    power, inverse = _powers(len(b) + 1)
+    power, inverse = powers(len(b) + 1)
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * power[: len(b)], out=total[1:])
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), end - start
