@@ -1 +1 @@
-
+"""Column functions: text scalars, confidence metrics over arrays, answer equivalence."""

@@ -1 +1 @@
-
+"""Relational operators over traces, votes and checkpoints."""

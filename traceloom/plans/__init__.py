@@ -1 +1 @@
-
+"""Composite pipelines and the registered queries."""
