@@ -1,14 +1,16 @@
 """The corpus pipeline: quality rules, toxicity, line dedup, n-gram Jaccard join, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's ``docs``. All but the last return the columns of ``documents``.
+next stage's ``docs``. All but the last return the columns of ``documents``. Classifiers are fitted on a bounded
+sample of the labelled rows of the corpus itself; everything else covers all rows that reached the stage.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traceloom.llm import quality_rules
+from traceloom.llm import jaccard_join, line_dedup, packing, quality_rules, toxicity
 from traceloom.llm.common import table, written
 
 
@@ -17,7 +19,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
 
 
-STAGES = [("quality_rules", quality)]
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity is that of no toxicity."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that nearly repeat an earlier line of the corpus."""
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.keep_first(docs, k=5, percent=80)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces placed in sequences of 2048."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+STAGES = [("quality_rules", quality), ("toxicity", not_toxic), ("line_dedup", distinct_lines), ("ngram_jaccard_join", distinct_documents), ("best_fit_packing", packed)]
 
 #: The learned stages cannot be expressed in SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL: str | None = None
