@@ -80,7 +80,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), words], ["toxic", "words"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_words: int = 2_048, n_grades: int = 4, min_rows: int = 4, min_z: float = 4.0) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_words: int = 2_048, n_grades: int = 4, min_rows: int = 6, min_z: float = 5.0) -> Model:
     """``documents``: doc_id, text; ``labels``: doc_id and toxic, 0 or 1."""
     small_batches(documents.sparkSession)
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
