@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip, unwrap_text
 
@@ -157,7 +158,9 @@ def _clean(text: str) -> str:
 def values(answer: str) -> tuple[float, ...] | None:
     """The numbers that an answer stands for, or None if it is not read as numbers."""
     text = _clean(answer)
-    for candidate in (text, re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", text)):
+    # A number with grouped thousands is read as one number, not as a list.
+    grouped = re.fullmatch(r"-?\d{1,3}(,\d{3})+(\.\d+)?", text)
+    for candidate in (text.replace(",", "") if grouped else text,):
         for inner in (candidate, candidate[1:-1] if candidate[:1] in "([" and candidate[-1:] in ")]" else None):
             if inner is None:
                 continue
@@ -183,7 +186,7 @@ def same_answer(a: str | None, b: str | None, tolerance: float = 1e-9) -> bool:
     return all(math.isclose(u, v, rel_tol=tolerance, abs_tol=tolerance) for u, v in zip(p, q, strict=True))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([same_answer(x, y) for x, y in zip(a, b, strict=True)])
 

@@ -97,7 +97,7 @@ def to_boolean(c: Column | str) -> Column:
 
 def human_bytes(n: Column | str) -> Column:
     n = _col(n).cast("double")
-    out = F.concat(F.format_number(n, "0"), F.lit(" B"))
+    out = F.format_string("%d B", n.cast("long"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
         out = F.when(n >= 1024.0**k, F.concat(F.format_string("%.2f", n / 1024.0**k), F.lit(f" {unit}"))).otherwise(out)
     return out

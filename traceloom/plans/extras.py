@@ -1 +1,72 @@
-QUERIES = {}
+"""Registered queries without a SQL twin: nested extraction, equivalence, matching, streaming. Tested against plain Python."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from traceloom.functions import text
+from traceloom.functions.equivalence import with_equivalence
+from traceloom.operators import matching, windows
+
+from . import adapters as A
+from . import conversion
+
+
+def nested_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Extraction with nested braces from the orders' numbers written as fractions."""
+    o = A.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    body = F.concat(F.lit("thus \\boxed{\\frac{"), F.col("o_custkey").cast("string"), F.lit("}{"), (F.col("o_orderkey") % 7 + 1).cast("string"), F.lit("}} done"))
+    return o.select("o_orderkey", text.extract_answer(body).alias("answer"))
+
+
+def equivalent_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Fractions against their decimal or reduced value, decided once per distinct pair."""
+    o = A.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("n"), (F.col("o_orderkey") % 4 + 1).alias("m"))
+    a = F.concat(F.lit("\\dfrac{"), F.col("n").cast("string"), F.lit("}{"), F.col("m").cast("string"), F.lit("}"))
+    b = F.when(F.col("m") == 4, (F.col("n") / 4).cast("string")).when(F.col("m") == 2, (F.col("n") / 2 + 1).cast("string")).otherwise(F.concat(F.lit("\\frac{"), F.col("n").cast("string"), F.lit("}{ "), F.col("m").cast("string"), F.lit("}")))
+    return with_equivalence(o.select("o_orderkey", a.alias("a"), b.alias("b")), "a", "b")
+
+
+def answer_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct written forms of each customer group's answers with their first equivalent form."""
+    o = A.table(spark, d, "orders").withColumn("question_id", F.col("o_custkey") % 20)
+    n = (F.col("o_orderkey") % 6 + 1).cast("string")
+    form = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("\\frac{"), n, F.lit("}{2}"))).otherwise((F.col("o_orderkey") % 6 + 1).cast("double").__truediv__(2).cast("string"))
+    return matching.cluster_answers(o.select("question_id", "o_orderkey", form.alias("answer")), ["question_id"], ["o_orderkey"])
+
+
+def question_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items against the same items with their middle cut out, one to one within each dataset."""
+    b = A.table(spark, d, "benchmark").select((F.col("item_id") % 4).cast("string").alias("dataset"), F.col("item_id").alias("id"), F.col("text").alias("question"))
+    cut = F.concat(F.substring("question", 1, 40), F.right("question", F.lit(40)))
+    return matching.match_questions(b, b.withColumn("question", cut))
+
+
+def online_conversion(spark: SparkSession, d: str) -> DataFrame:
+    """Replicas of stored traces replayed as online runs, with their votes."""
+    t = A.tokens(spark, d).groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct(*A.TOKEN_ORDER, "conf"))).alias("t"))
+    t = t.join(A.trace_answers(A.tokens(spark, d)), "trace_id")
+    traces = t.select((F.col("trace_id") % 10).alias("question_id"), F.col("trace_id").alias("trace_idx"), F.col("t.conf").alias("confs"), F.col("answer").alias("extracted_answer"), F.lit("stop").alias("stop_reason"))
+    online = conversion.to_online(traces, ["question_id"], replicas=2, total=8, warmup=3, percentile=90.0, window=128)
+    return conversion.online_votes(online, ["question_id"]).select("question_id", "replica", "voted", "votes", F.round("weight", 4).alias("weight"))
+
+
+def streamed_stop(spark: SparkSession, d: str) -> DataFrame:
+    """The online stop run as a stream over the tokens' files, to its end."""
+    import uuid
+
+    from traceloom.streaming import stop
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    numbered = windows.numbered(A.tokens(spark, d), ["trace_id"], A.TOKEN_ORDER).select("trace_id", F.col("pos").cast("long").alias("pos"), "conf")
+    numbered.write.parquet(f"{base}/tokens")
+    stream = spark.readStream.schema("trace_id long, pos long, conf double").parquet(f"{base}/tokens")
+    stop.run_available(stop.stop_stream(stream, 128, 23.0), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(stop.OUTPUT).parquet(f"{base}/out").withColumn("mean", F.round("mean", 6))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (nested_answers, equivalent_answers, answer_clusters, question_matching, online_conversion, streamed_stop)}
