@@ -56,31 +56,45 @@ def tail_confidence(confs: Column | str, n: int = 2048) -> Column:
     return F.coalesce(array_mean(suffix(confs, n)), F.lit(0.0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: the variable of a lambda holds it, where Spark would inline it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(a: Column | str) -> Column:
-    """[0, a1, a1 + a2, ...]. Linear: each step carries the running sum and appends to a growing array of arrays' ends.
+    """[0, a1, a1 + a2, ...].
 
     Spark has no scan over arrays, so sums are taken in blocks of about sqrt(n): block totals first, then within
     each block, for O(n sqrt(n)) additions instead of O(n^2).
     """
-    a = _col(a)
-    n = F.size(a)
-    width = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda b: F.slice(a, b * width + 1, width))).otherwise(F.array().cast("array<array<double>>"))
-    totals = F.transform(blocks, _total)
-    ends = F.transform(blocks, lambda block, b: F.struct(_total(F.slice(totals, F.lit(1), b)).alias("base"), block.alias("block")))
-    inner = F.flatten(F.transform(ends, lambda e: F.transform(e["block"], lambda _, i: e["base"] + _total(F.slice(e["block"], F.lit(1), i + 1)))))
+
+    def within(blocks: Column, totals: Column) -> Column:
+        def block_sums(block: Column, b: Column) -> Column:
+            return let(_total(F.slice(totals, F.lit(1), b)), lambda base: F.transform(block, lambda _, i: base + _total(F.slice(block, F.lit(1), i + 1))))
+
+        return F.flatten(F.transform(blocks, block_sums))
+
+    def blocks_of(x: Column) -> Column:
+        n = F.size(x)
+        width = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), lambda b: F.slice(x, b * width + 1, width))
+        return F.when(n > 0, cut).otherwise(F.array().cast("array<array<double>>"))
+
+    inner = let(_col(a), lambda x: let(blocks_of(x), lambda bl: let(F.transform(bl, _total), lambda t: within(bl, t))))
     return F.concat(F.array(F.lit(0.0)), inner)
 
 
 def sliding_means(confs: Column | str, window: int = 2048, decimals: int | None = None) -> Column:
     """Means of all full windows; of a shorter array its one plain mean, unrounded; ``[0]`` for an empty one."""
-    a = _col(confs)
-    n = F.size(a)
-    sums = prefix_sums(a)
-    full = F.transform(F.sequence(F.lit(window), n), lambda e: (F.get(sums, e) - F.get(sums, e - window)) / window)
-    if decimals is not None:
-        full = F.transform(full, lambda x: F.round(x, decimals))
-    return F.when(n >= window, full).when(n > 0, F.array(array_mean(a))).otherwise(F.array(F.lit(0.0)))
+
+    def means(a: Column) -> Column:
+        n = F.size(a)
+        mean = lambda s, e: (F.get(s, e) - F.get(s, e - window)) / window
+        shown = (lambda x: x) if decimals is None else (lambda x: F.round(x, decimals))
+        full = let(prefix_sums(a), lambda s: F.transform(F.sequence(F.lit(window), n), lambda e: shown(mean(s, e))))
+        return F.when(n >= window, full).when(n > 0, F.array(array_mean(a))).otherwise(F.array(F.lit(0.0)))
+
+    return let(_col(confs), means)
 
 
 def min_confidence(groups: Column | str) -> Column:
@@ -89,11 +103,10 @@ def min_confidence(groups: Column | str) -> Column:
 
 def lowest_mean(groups: Column | str, share: float = 0.1) -> Column:
     """Mean of the lowest ``share`` of window means, at least one; a negative share means the minimum."""
-    g = _col(groups)
     if share < 0:
-        return F.array_min(g)
-    k = F.greatest(F.floor(F.size(g) * F.lit(float(share))).cast("int"), F.lit(1))
-    return array_mean(F.slice(F.array_sort(g), F.lit(1), k))
+        return F.array_min(_col(groups))
+    k = lambda g: F.greatest(F.floor(F.size(g) * F.lit(float(share))).cast("int"), F.lit(1))
+    return let(F.sort_array(_col(groups)), lambda g: let(F.slice(g, F.lit(1), k(g)), array_mean))
 
 
 def bottom_window_confidence(confs: Column | str, window: int = 2048, share: float = 0.1) -> Column:
@@ -107,8 +120,8 @@ def min_window_confidence(confs: Column | str, window: int = 2048) -> Column:
 def probe_window_metrics(confs: Column | str, window: int, depth: Column | int | None = None) -> Column:
     """Struct (min, max, mean, last) of window means over the first ``depth`` tokens."""
     a = _col(confs) if depth is None else prefix(confs, depth)
-    g = sliding_means(a, window)
-    return F.struct(F.array_min(g).alias("min"), F.array_max(g).alias("max"), array_mean(g).alias("mean"), tail_confidence(a, window).alias("last"))
+    last = tail_confidence(a, window)
+    return let(sliding_means(a, window), lambda g: F.struct(F.array_min(g).alias("min"), F.array_max(g).alias("max"), array_mean(g).alias("mean"), last.alias("last")))
 
 
 def checkpoint_confidence(confs: Column | str, depth: Column | int, window: int = 2048) -> Column:
