@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows an Arrow batch may carry to a Python worker; texts can be long, so far fewer than Spark's default.
 BATCH_ROWS = 1000
@@ -40,7 +42,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more, and let go of the shuffles of finished steps."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    release(df.sparkSession)
+
+
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """``df``, marked for broadcast only if its rows are counted to be at most ``most``; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over: it does so once the driver has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -1,0 +1,125 @@
+"""Components of similar sets within candidate families, compared block by block inside tasks.
+
+Candidates (key, id) that share keys form families: the connected components of "shares a key". All members of a
+family are compared, inside tasks, by intersection counts of whole blocks, and only a spanning forest of what links
+leaves a task, so no pair of alike members ever becomes a row. A small family is one block. A larger one is dealt into
+blocks: first each block together with a hub block, which settles families of alike members in about two rows per
+member; then whatever is still outside the family's main component, against all of the family. Nothing is capped.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+from .graph import components
+
+#: Most members of a block. Two blocks are compared by matrices of their shared elements, a slice of columns at a time.
+BLOCK, COLUMNS = 256, 8192
+
+
+def forest(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Edges that connect what links directly or through others: each index with the least one it reaches."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), size)
+    if not len(owner):
+        return []
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(counts > 1)
+    rank = np.full(len(values), -1)
+    rank[shared] = np.arange(len(shared))
+    column = rank[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        here = (column >= at) & (column < at + COLUMNS)
+        m = np.zeros((n, min(COLUMNS, len(shared) - at)), np.float32)
+        m[owner[here], column[here] - at] = 1.0
+        both += m @ m.T
+    union = size[:, None] + size[None, :] - both
+    linked = both >= threshold * union - 1e-9
+    linked &= union > 0
+    np.fill_diagonal(linked, True)
+    label = np.arange(n)
+    while True:
+        new = np.where(linked, label[None, :], n).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return [(i, int(k)) for i, k in enumerate(label.tolist()) if k != i]
+        label = new
+
+
+def _stream(to_set: Callable[[str], np.ndarray], threshold: float):
+    """Over rows (task, id, payload) that come sorted by task: the forest of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, {}
+
+        def edges() -> list[tuple[int, int]]:
+            ids = sorted(held)
+            return [(ids[j], ids[i]) for i, j in forest([to_set(held[k]) for k in ids], threshold)] if len(ids) > 1 else []
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for t, i, payload in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+                if t != task:
+                    out += edges()
+                    task, held = t, {}
+                held[i] = payload
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+        out = edges()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def link_families(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], to_set: Callable[[str], np.ndarray], threshold: float) -> DataFrame:
+    """(id, comp) of the ids that link with another one.
+
+    ``members``: (key, id) distinct. ``payloads``: a frame of ids -> written (id, payload). ``to_set``: the distinct
+    hashes of a payload's elements, whose Jaccard similarity decides.
+    """
+    first = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
+    star = members.join(written(first.select("key", "a"), "family-first"), "key").where("id <> a").select("a", F.col("id").alias("b"))
+    family = components(written(star.distinct(), "family-star")).withColumnRenamed("comp", "family")
+    sizes = written(family.groupBy("family").agg(F.count("*").alias("size")), "family-sizes")
+    texts = payloads(family.select("id"))
+    rows = family.join(sizes, "family").join(texts, "id")
+    rows = written(rows.withColumn("block", F.when(F.col("size") <= 2 * BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (BLOCK * 0.8))).cast("int"))), "family-rows")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compared(tasks: DataFrame) -> DataFrame:
+        dealt = tasks.select("task", "id", "payload").repartition(n, "task").sortWithinPartitions("task")
+        return written(dealt.mapInArrow(_stream(to_set, threshold), "a long, b long"), "family-edges")
+
+    small = rows.where(F.col("size") <= 2 * BLOCK).select(F.xxhash64("family").alias("task"), "id", "payload")
+    large = rows.where(F.col("size") > 2 * BLOCK)
+    hub = large.where("block = 0").withColumn("other", F.explode(F.sequence(F.lit(1), F.ceil(F.col("size") / (BLOCK * 0.8)).cast("int") - 1)))
+    spokes = large.where("block > 0").withColumn("other", F.col("block")).union(hub.select(*large.columns, "other"))
+    edges = compared(small.union(spokes.select(F.xxhash64("family", "other").alias("task"), "id", "payload")))
+    comp = components(edges)
+    if large.isEmpty():
+        return comp
+    state = large.select("family", "id", "size", "block").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", F.xxhash64("id")))
+    state = written(state, "family-state")
+    counted = state.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    main = written(counted.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main")), "family-main")
+    outside = written(state.join(main, "family").where("comp <> main").select("family", "id"), "family-outside")
+    if outside.isEmpty():
+        return comp
+    some = written(outside.groupBy("family").agg(F.ceil(F.count("*") / (BLOCK * 0.8)).cast("int").alias("parts")), "family-parts")
+    # Each part of the outside meets each block of its family (which holds the outside's own members, too).
+    every = large.join(some, "family").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    every = every.select(F.xxhash64("family", "block", "part").alias("task"), "id", "payload")
+    parts = large.join(outside, ["family", "id"]).join(some, "family").withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int"))
+    blocks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / (BLOCK * 0.8)).cast("int") - 1))
+    parts = parts.withColumn("other", blocks).select(F.xxhash64("family", "other", "part").alias("task"), "id", "payload")
+    return components(edges.union(compared(every.union(parts))))

@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import small_batches, written
+from .common import discard, release, sized, small_batches, written
 from .linkage import link_components
 
 #: Most shingles that the global order treats as frequent: 16 bytes each when sent to the executors.
 FREQUENT = 1 << 16
 #: Shingles are counted in stretches of this many; one seen at least so often in a stretch counts as frequent there.
 STRETCH, OFTEN = 1 << 20, 8
+#: Up to so many pairs of numbers (16 bytes each) are sent to the executors; more are joined by a shuffle.
+FEW_IDS = 200_000
 #: No light set is larger, whatever the costs say: beyond, the number of subsets explodes.
 LARGEST_LIGHT = 30
 
@@ -161,9 +163,9 @@ SALTS = 1024
 def verify_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, sim): Jaccard similarity of the arrays ``grams`` that ``sets`` (id, grams) has for a and b."""
     salted = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), "join-salted")
-    left = salted.select("a", "salt").distinct()
-    left = written(written(left, "join-lefts").join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a"), "join-left-sets")
-    both = salted.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b").join(left, ["a", "salt"])
+    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")).join(sized(salted.select("a", "salt").distinct(), FEW_IDS), "a")
+    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")).join(sized(salted, FEW_IDS), "b")
+    both = right.join(left, ["a", "salt"])
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("sim"))
 
@@ -185,18 +187,31 @@ def jaccard_join(documents: DataFrame, k: int = 3, percent: int = 90, doc_id: st
 
     known = docs.where("doc_id IS NOT NULL").select("text")
     postings = written(known.mapInArrow(_postings(k, percent, boundary, sent), "key long, id long, n long"), "join-postings")
-    shared = written(postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"), "join-keys")
+    # A key that one class brought in twice, from two tasks, passes here too; the distinct below leaves it one member.
+    shared = written(postings.groupBy("key").count().where("count > 1").select("key"), "join-keys")
+    release(spark)
     members = written(postings.join(shared, "key").distinct(), "join-members")
+    discard(postings)
 
     first = info.where("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    needed = members.select(F.col("id").alias("cls")).distinct().join(written(first, "join-first"), "cls")
-    needed = written(needed, "join-needed")
-    texts = docs.join(needed, "doc_id").select("cls", "text")
-    sets = texts.mapInArrow(_sets(k), "id long, own long, grams array<long>").where("id = own").select("id", "grams").dropDuplicates(["id"])
-    sets = written(sets, "join-sets")
+    first = written(first, "join-first")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Sets are made again from the texts, but only of the classes that a pair names."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(first, "cls")
+        texts = docs.join(sized(written(needed, "join-needed"), FEW_IDS), "doc_id").select("cls", "text")
+        sets = texts.mapInArrow(_sets(k), "id long, own long, grams array<long>").where("id = own").select("id", "grams")  # a repeated row only repeats a pair
+        sets = written(sets, "join-sets")
+        sims = written(verify_sets(pairs, sets), "join-sims")
+        discard(sets)
+        return sims
 
     sizes = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
-    comp = link_components(members, lambda p: verify_sets(p, sets), percent / 100, sizes)
+    # The prefixes of two sets share at least this many elements, if neither is light and they link.
+    lack = f"ceil({percent} * (a_n + b_n) / {100 + percent})"
+    spare = [f"({x}_n - ceil({percent} * {x}_n / 100) + 1 - ({x}_n - {lack}))" for x in "ab"]
+    enough = f"least(a_n, b_n) <= {boundary} OR common >= least({spare[0]}, {spare[1]})"
+    comp = link_components(members, verify, percent / 100, sizes, enough)
     labelled = info.join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left")
     # What has no class of its own (empty sets) or a null id is a component by itself.
     alone = F.xxhash64("doc_id", F.lit(1))
@@ -206,3 +221,9 @@ def jaccard_join(documents: DataFrame, k: int = 3, percent: int = 90, doc_id: st
     out = labelled.join(least, "comp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with one document of each component, the one with the least ``doc_id``; all columns as they are."""
+    gone = written(jaccard_join(documents, k, percent, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
+    return documents.join(sized(gone, FEW_IDS), documents[doc_id].cast("long") == F.col("_gone"), "left_anti")

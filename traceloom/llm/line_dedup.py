@@ -2,8 +2,9 @@
 
 1. Every non-blank line gets the set of its character shingles and a one-permutation MinHash signature, densified so
    that empty bins borrow from full ones. Lines are reduced to a 64-bit hash, so equal lines are one item from here on.
-2. Bands of the signature are the buckets; texts are fetched only for lines that meet another one there, and exact
-   Jaccard similarity decides (``linkage.link_components``, which never lists all pairs of a large bucket).
+2. Bands of the signature bring lines together in families; texts are fetched only for lines that meet another one,
+   and the Jaccard similarity of their whole shingle sets decides (``families``, which compares block by block and
+   never makes rows of pairs). Shingles are compared by 64-bit hashes.
 3. Distributed union-find joins linked lines; of each component the first line, by (doc_id, row, position), stays.
 
 Blank lines are layout: they never count as duplicates and stay where any line of their document stays.
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
-from .linkage import link_components
+from .common import sized, small_batches, written
+from .families import link_families
 from .shingles import mix, powers
 
 _U = np.uint64
@@ -155,7 +156,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = (text or "").split("\n")
             ids += lines
             texts += [parts[p] for p in places]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "payload"])
 
 
 def _grams(text: str) -> frozenset:
@@ -168,20 +169,17 @@ def jaccard(a: str, b: str) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sims, last, grams = [], None, frozenset()
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if a != last:
-                last, grams = a, _grams(a)
-            other = _grams(b)
-            shared = len(grams & other)
-            sims.append(shared / (len(grams) + len(other) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"])
+def shingle_set(text: str) -> np.ndarray:
+    """Distinct hashes of the shingles of one line."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(code) < WIDTH:
+        return mix(line_hash(code, np.array([0]), np.array([len(code)])))
+    return np.unique(_windows(code))
 
 
-#: Tasks that the comparisons of one much compared line are dealt to at most.
-SALTS = 1024
+#: Shared bands (8 bytes each) and rows with their lines' places (some dozens of bytes) that are sent to all executors
+#: at most; more are joined by a shuffle.
+FEW_KEYS, FEW_ROWS = 1_000_000, 200_000
 
 
 def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -190,24 +188,18 @@ def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     signed = written(rows.select("doc_id", "row", "text").mapInArrow(_signed, "row long, place long, line long, bands array<long>"), "lines-signed")
     bands = signed.select("line", F.explode("bands").alias("key"))
     shared = written(bands.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key"), "lines-keys")
-    members = written(bands.join(shared, "key").select("key", F.col("line").alias("id"), F.lit(0).alias("n")).distinct(), "lines-members")
+    members = written(bands.join(sized(shared, FEW_KEYS), "key").select("key", F.col("line").alias("id")).distinct(), "lines-members")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Texts are fetched from one occurrence of each line that a pair names."""
-        needed = written(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "lines-needed")
-        where = signed.select("line", "row", "place").join(needed, "line").groupBy("line").agg(F.min("row").alias("row"))
-        where = written(where, "lines-where")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """The text of one occurrence of each line, written."""
+        needed = ids.select(F.col("id").alias("line"))
+        where = written(signed.select("line", "row", "place").join(needed, "line").groupBy("line").agg(F.min("row").alias("row")), "lines-where")
         spots = signed.select("line", "row", "place").join(where, ["line", "row"]).groupBy("row", "line").agg(F.min("place").alias("place"))
         wanted = written(spots.groupBy("row").agg(F.collect_list(F.struct("place", "line")).alias("w")), "lines-wanted")
-        found = rows.select("row", "text").join(wanted, "row").select("text", F.col("w.place").alias("p"), F.col("w.line").alias("l"))
-        texts = written(found.mapInArrow(_texts, "id long, text string"), "lines-texts").dropDuplicates(["id"])
-        texts = written(texts, "lines-distinct")
-        salted = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), "lines-salted")
-        left = written(salted.select("a", "salt").distinct(), "lines-lefts").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        both = salted.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(written(left, "lines-left-texts"), ["a", "salt"])
-        return both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long, sim double")
-
-    comp = link_components(members, verify, threshold)
+        found = rows.select("row", "text").join(sized(wanted, FEW_ROWS), "row").select("text", F.col("w.place").alias("p"), F.col("w.line").alias("l"))
+        return written(found.mapInArrow(_texts, "id long, payload string"), "lines-texts")
+
+    comp = link_families(members, texts_of, shingle_set, threshold)
     # A line's order is that of its document, then of its row and place; document ids come in by row.
     lines = signed.select("row", "place", "line").join(comp.select(F.col("id").alias("line"), "comp"), "line", "left")
     lines = lines.withColumn("comp", F.coalesce("comp", F.xxhash64("line"))).join(written(rows.select("row", "doc_id"), "lines-rows"), "row")
@@ -245,9 +237,47 @@ def dedup_lines(documents: DataFrame, threshold: float = 0.8, doc_id: str = "doc
     """
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
     gone = duplicate_lines(rows, threshold).where("NOT first").groupBy("row").agg(F.collect_list("place").alias("_gone"))
-    joined = rows.join(written(gone, "lines-gone"), "row", "left").select("row", "doc_id", "text", "_gone")
+    joined = rows.join(sized(written(gone, "lines-gone"), FEW_ROWS), "row", "left").select("row", "doc_id", "text", "_gone")
     return joined.mapInArrow(_without, "row long, doc_id long, text string, n_lines long, n_kept long")
 
 
 def row_key(doc_id: str, text: str):
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
+def _cut(text_at: int, chars_at: int | None, gone_at: int, keep: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stays = [], []
+            for text, gone in zip(batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
+                if not gone:
+                    texts.append(text)
+                    stays.append(True)
+                    continue
+                drop = set(gone)
+                left = [p for i, p in enumerate(text.split("\n")) if i not in drop]
+                stays.append(any(p.strip(" \t\n\r\x0b\x0c") for p in left))
+                texts.append("\n".join(left))
+            columns = list(batch.columns)
+            columns[text_at] = pa.array(texts, pa.string())
+            if chars_at is not None:
+                columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.column(chars_at).type)
+            out = pa.RecordBatch.from_arrays([columns[k] for k in keep], [batch.schema.names[k] for k in keep])
+            yield out.filter(pa.array(stays, pa.bool_()))
+
+    return run
+
+
+def drop_repeated_lines(documents: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``documents`` with the lines removed that repeat an earlier one, and ``n_chars`` counted anew.
+
+    A document that loses all its lines goes; one that never had a non-blank line stays as it is.
+    """
+    small_batches(documents.sparkSession)
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
+    gone = duplicate_lines(rows, threshold).where("NOT first").groupBy("row").agg(F.collect_list("place").alias("_gone")).withColumnRenamed("row", "_row")
+    own = documents.withColumn("_row", F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
+    joined = own.join(sized(written(gone, "lines-gone"), FEW_ROWS), "_row", "left").select(*documents.columns, "_gone")
+    names = documents.columns
+    chars = names.index(n_chars) if n_chars in names else None
+    return joined.mapInArrow(_cut(names.index(text), chars, len(names), list(range(len(names)))), documents.schema)

@@ -1,11 +1,12 @@
-"""Components of a similarity graph from buckets, without listing all pairs of a bucket.
+"""Components of a similarity graph from buckets, without listing all pairs of a large bucket.
 
 Given memberships (key, id) such that any two ids that link share a key, ``link_components`` returns the components
 of the graph of links. Similarity must be one minus a metric (Jaccard is), because pairs are excluded by the triangle
-inequality. In each round every bucket compares some pivots with those of its members that are not yet in the
-pivot's component; linked members join that component at once, so a bucket of n alike members costs about n
-comparisons. Buckets that still hold several components get more pivots in the next round, up to all their members:
-nothing is capped, and what is never compared is either already connected or provably unlinked.
+inequality. Buckets of at most ``SMALL_BUCKET`` members compare all their compatible pairs at once. A larger bucket
+compares some pivots with those of its members that are not yet in the pivot's component; linked members join that
+component at once, so a bucket of n alike members costs about n comparisons. Buckets that still hold several
+components get more pivots in the next round, up to all their members: nothing is capped, and what is never compared
+is either already connected or provably unlinked.
 """
 
 from __future__ import annotations
@@ -18,32 +19,51 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components
 
-#: Buckets of at most this many members are settled in the second round, by comparing all that are still apart.
+#: Buckets of at most this many members compare all pairs in the first round: a bound on the rows made per member.
 SMALL_BUCKET = 24
 #: Growth of the number of pivots per round in larger buckets.
 PIVOT_GROWTH = 24
 
 
-def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, compatible: str = "true") -> DataFrame:
+def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, compatible: str = "true", enough: str | None = None) -> DataFrame:
     """(id, comp) of the ids that link with another one.
 
     ``members``: (key, id, n) distinct, n an attribute of the id for ``compatible``, an SQL condition over a_n and b_n
-    that links imply. ``verify``: (a, b) -> (a, b, sim).
+    that links imply. ``verify``: (a, b) -> (a, b, sim). ``enough``: a further such condition, which may also use
+    ``common``, the number of keys that both have.
     """
     slack = 1.0 - threshold + 1e-9
-    grouped = members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
-    buckets = written(grouped, "link-buckets")
-    active = written(members.join(buckets, "key"), "link-members")
+    grouped = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    buckets = written(grouped.select("key", "size", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "link-buckets")
+    held = written(members.join(buckets, "key"), "link-members")
 
-    # Round one: everyone with the bucket's first member.
-    pairs = active.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    sizes = written(active.select("id", "n").distinct(), "link-sizes")
-    sims = written(verify(_compatible(written(pairs, "link-pairs"), sizes, compatible)), "link-sims")
+    fits = lambda a, b: F.expr(compatible.replace("a_n", a).replace("b_n", b))
+    few = held.where(F.col("size") <= SMALL_BUCKET).select("key", "id", "n")
+    x, y = few.alias("x"), few.alias("y")
+    within = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & fits("x.n", "y.n"))
+    within = within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"))
+    active = held.where(F.col("size") > SMALL_BUCKET)
+    star = active.where(F.col("id") != F.col("first")).where(fits("first_n", "n"))
+    star = star.select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("first_n").alias("a_n"), F.col("n").alias("b_n"))
+    keys_of = written(held.groupBy("id").agg(F.collect_list("key").alias("keys")), "link-keys") if enough else None
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Distinct (a, b) of ``pairs`` (a, b, a_n, b_n) that share enough keys to link: far cheaper than verifying them."""
+        pairs = written(pairs.distinct(), "link-pairs")
+        if enough is None:
+            return pairs.select("a", "b")
+        for end in ("a", "b"):
+            pairs = pairs.join(keys_of.select(F.col("id").alias(end), F.col("keys").alias(f"{end}_keys")), end)
+        common = F.size(F.array_intersect("a_keys", "b_keys"))
+        return written(pairs.withColumn("common", common).where(enough).select("a", "b"), "link-plausible")
+
+    pairs = plausible(within.union(star))
+    sims = written(verify(pairs), "link-sims")
     found = [sims.where(F.col("sim") >= threshold).select("a", "b")]
     comp = components(found[0])
     known = sims
     pivots = 1
-    while True:
+    while not active.isEmpty():
         pivots *= PIVOT_GROWTH
         labelled = active.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", F.xxhash64("id")))
         labelled = written(labelled, "link-labelled")
@@ -55,16 +75,18 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         held = written(held.select("key", "id", "n", "comp", "size", "sim"), "link-held")
         if held.isEmpty():
             break
-        share = F.when(F.col("size") <= F.lit(max(SMALL_BUCKET, pivots)), F.lit(1.0)).otherwise(F.lit(float(pivots)) / F.col("size"))
+        share = F.when(F.col("size") <= pivots, F.lit(1.0)).otherwise(F.lit(float(pivots)) / F.col("size"))
         unit = F.pmod(F.xxhash64("key", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         chosen = written(held.where(unit < share), "link-pivots")
         x, y = chosen.alias("x"), held.alias("y")
-        apart = (F.col("x.comp") != F.col("y.comp")) & F.expr(compatible.replace("a_n", "x.n").replace("b_n", "y.n"))
+        apart = (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n")
         possible = F.coalesce(F.abs(F.col("x.sim") - F.col("y.sim")) <= slack, F.lit(True))
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & possible)
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        pairs = written(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "link-pairs")
-        full = held.where(F.col("size") > max(SMALL_BUCKET, pivots)).isEmpty()
+        less = F.col("x.id") < F.col("y.id")
+        one = lambda c, d: F.when(less, F.col(c)).otherwise(F.col(d))
+        pairs = pairs.select(one("x.id", "y.id").alias("a"), one("y.id", "x.id").alias("b"), one("x.n", "y.n").alias("a_n"), one("y.n", "x.n").alias("b_n"))
+        pairs = written(plausible(pairs).join(known.select("a", "b"), ["a", "b"], "left_anti"), "link-pairs")
+        full = held.where(F.col("size") > pivots).isEmpty()
         if not pairs.isEmpty():
             new = written(verify(pairs), "link-sims")
             known = known.select("a", "b", "sim").unionByName(new.select("a", "b", "sim"))
@@ -77,9 +99,3 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
             break
     return comp
 
-
-def _compatible(pairs: DataFrame, sizes: DataFrame, condition: str) -> DataFrame:
-    if condition == "true":
-        return pairs
-    a, b = sizes.select(F.col("id").alias("a"), F.col("n").alias("a_n")), sizes.select(F.col("id").alias("b"), F.col("n").alias("b_n"))
-    return pairs.join(a, "a").join(b, "b").where(condition).select("a", "b")

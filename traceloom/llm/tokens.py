@@ -1,56 +1,106 @@
 """Token ids of whole texts by a byte-level BPE file of the ``tokenizers`` library, with memoised pieces.
 
-A text is cut where its pre-tokenizer cuts it anyway: before a run of non-space characters with its one leading
-blank, around white space, and after a run of plain letters that punctuation follows. Each distinct piece is encoded
-by the library once per worker, as far as the memory of pieces reaches.
+A text is cut at single blanks, where its pre-tokenizer cuts it anyway: a blank between two runs without blanks always
+starts a new token. (Texts with adjacent, leading or trailing blanks are cut by ``PIECE`` instead, around any white
+space.) Each distinct piece is encoded by the library once per worker, as far as the memory of pieces reaches.
 """
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 
 #: Unicode white space, as the pre-tokenizer's \\s; Python's own \\s differs on some control characters.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_LETTERS = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff"
-_MARKS = r"!-/:-@\[-`{-~"
-PIECE = re.compile(f" ?[{_LETTERS}]+(?=[{_WS}{_MARKS}]|\\Z)|[{_MARKS}]+(?=[{_WS}]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Pieces that a worker remembers at most, and the longest that it remembers.
-MEMO, MEMO_CHARS = 600_000, 64
+PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: Pieces that a worker remembers at most (half of them the most recently learned), and the longest that it remembers.
+MEMO, MEMO_CHARS = 800_000, 64
+#: Pieces in one call of the library: small runs stay in the processor's caches.
+RUN = 128
+#: Pieces of letters alone, which the pre-tokenizer never cuts.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+class Memo:
+    """Two generations of remembered pieces: what is used in the younger one survives, the older one is dropped."""
+
+    def __init__(self, most: int):
+        self.young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._most = most // 2
+
+    def missing(self, pieces: set[str]) -> set[str]:
+        """The pieces that neither generation has; those of the older one become young."""
+        if len(self.young) > self._most:
+            self._old, self.young = self.young, {}
+        left = pieces.difference(self.young)
+        if self._old:
+            again = left.intersection(self._old)
+            self.young.update(zip(again, map(self._old.__getitem__, again), strict=True))
+            left -= again
+        return left
 
 
 class Encoder:
-    """``ids(text)``: the ids of ``tokenizer.encode(text, add_special_tokens=False)`` as uint32."""
+    """``batch(texts)``: the ids of ``tokenizer.encode(text, add_special_tokens=False)`` as uint32."""
 
     def __init__(self, tokenizer_json: bytes):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._memo: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        for p, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self._memo[p] = np.array(e.ids, "<u4").tobytes()
+        # The same model for pieces that need no cutting: only the search for cuts is left out.
+        self._uncut = Tokenizer.from_buffer(tokenizer_json)
+        self._uncut.encode_special_tokens = True
+        self._uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        (self._fence,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        #: By piece, and by piece without the blank before it.
+        self._raw, self._after = Memo(MEMO // 10), Memo(MEMO - MEMO // 10)
+
+    def _learn(self, memo: Memo, pieces: set[str], lead: str) -> list[str]:
+        """Encode what ``memo`` lacks; returns what is too long to keep."""
+        missing = memo.missing(pieces)
+        if not missing:
+            return []
+        letters = [p for p in missing if LETTERS(p)]
+        lines = [p for p in missing if "\n" in p]
+        rest = list(missing.difference(letters, lines))
+        for at in range(0, len(lines), RUN):
+            some = lines[at : at + RUN]
+            got = self._tokenizer.encode_batch_fast([lead + p for p in some], add_special_tokens=False)
+            memo.young.update(zip(some, [array("I", e.ids).tobytes() for e in got], strict=True))
+        for tokenizer, some in ((self._uncut, letters), (self._tokenizer, rest)):
+            for at in range(0, len(some), RUN):
+                run = some[at : at + RUN]
+                (e,) = tokenizer.encode_batch_fast([tuple(chain.from_iterable((lead + p, "\n") for p in run))], is_pretokenized=True, add_special_tokens=False)
+                data = np.array(e.ids, "<u4")
+                ends = (np.flatnonzero(data == self._fence) * 4).tolist()  # no piece without a newline holds its token
+                data = data.tobytes()
+                memo.young.update(zip(run, [data[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)], strict=True))
+        return [p for p in missing if len(p) > MEMO_CHARS]
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (null: empty)."""
-        if len(self._memo) > MEMO:
-            self._memo.clear()
-        memo = self._memo
-        out = []
+        heads, tails = [], []
         for text in texts:
-            parts = PIECE.findall(text or "")
-            if not (missing := set(parts).difference(memo)):
-                out.append(np.frombuffer(b"".join(map(memo.__getitem__, parts)), "<u4"))
-                continue
-            self._learn(missing)
-            out.append(np.frombuffer(b"".join(map(memo.__getitem__, parts)), "<u4"))
-            for s in missing:
-                if len(s) > MEMO_CHARS:
-                    del memo[s]
+            parts = (text or "").split(" ")
+            if "" in parts:
+                heads.append(PIECE.findall(text or ""))
+                tails.append([])
+            else:
+                heads.append(parts[:1])
+                tails.append(parts[1:])
+        long_raw = self._learn(self._raw, set(chain.from_iterable(heads)), "")
+        long_after = self._learn(self._after, set(chain.from_iterable(tails)), " ")
+        raw, after = self._raw.young, self._after.young
+        out = [np.frombuffer(b"".join(chain(map(raw.__getitem__, h), map(after.__getitem__, t))), "<u4") for h, t in zip(heads, tails, strict=True)]
+        for memo, pieces in ((raw, long_raw), (after, long_after)):
+            for p in pieces:
+                del memo[p]
         return out
 
 
@@ -63,6 +113,7 @@ def encoder(sent) -> Encoder:
     key = hash(data)
     if key not in _encoders:
         _encoders.clear()
+        gc.disable()  # the worker's millions of strings hold no cycles, and each full collection would walk their tables
         _encoders[key] = Encoder(data)
     return _encoders[key]
 
