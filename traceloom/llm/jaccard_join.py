@@ -36,8 +36,8 @@ from .linkage import link_components
 FREQUENT = 1 << 16
 #: Shingles are counted in stretches of this many; one seen at least so often in a stretch counts as frequent there.
 STRETCH, OFTEN = 1 << 20, 8
-#: Up to so many pairs of numbers (16 bytes each) are sent to the executors; more are joined by a shuffle.
-FEW_IDS = 200_000
+#: Up to so many keys or pairs of numbers (8 to 24 bytes each) are sent to the executors; more are joined by a shuffle.
+FEW_IDS = 1_000_000
 #: No light set is larger, whatever the costs say: beyond, the number of subsets explodes.
 LARGEST_LIGHT = 30
 
@@ -190,7 +190,7 @@ def jaccard_join(documents: DataFrame, k: int = 3, percent: int = 90, doc_id: st
     # A key that one class brought in twice, from two tasks, passes here too; the distinct below leaves it one member.
     shared = written(postings.groupBy("key").count().where("count > 1").select("key"), "join-keys")
     release(spark)
-    members = written(postings.join(shared, "key").distinct(), "join-members")
+    members = written(postings.join(sized(shared, FEW_IDS), "key").distinct(), "join-members")
     discard(postings)
 
     first = info.where("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
@@ -198,7 +198,7 @@ def jaccard_join(documents: DataFrame, k: int = 3, percent: int = 90, doc_id: st
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Sets are made again from the texts, but only of the classes that a pair names."""
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(first, "cls")
+        needed = pairs.select(F.col("a").alias("cls")).distinct().union(pairs.select("b").distinct()).distinct().join(first, "cls")
         texts = docs.join(sized(written(needed, "join-needed"), FEW_IDS), "doc_id").select("cls", "text")
         sets = texts.mapInArrow(_sets(k), "id long, own long, grams array<long>").where("id = own").select("id", "grams")  # a repeated row only repeats a pair
         sets = written(sets, "join-sets")

@@ -33,18 +33,25 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     ``common``, the number of keys that both have.
     """
     slack = 1.0 - threshold + 1e-9
-    grouped = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    buckets = written(grouped.select("key", "size", F.col("first.id").alias("first"), F.col("first.n").alias("first_n")), "link-buckets")
-    held = written(members.join(buckets, "key"), "link-members")
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "link-sizes")
+    held = written(members.join(sizes, "key"), "link-members")
 
     fits = lambda a, b: F.expr(compatible.replace("a_n", a).replace("b_n", b))
     few = held.where(F.col("size") <= SMALL_BUCKET).select("key", "id", "n")
     x, y = few.alias("x"), few.alias("y")
     within = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & fits("x.n", "y.n"))
     within = within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"))
-    active = held.where(F.col("size") > SMALL_BUCKET)
+    # The first pivot of a large bucket is its most central member, the one that shares most places in such buckets:
+    # of copies with various edits that is most likely what they were copied from.
+    large = held.where(F.col("size") > SMALL_BUCKET)
+    weight = written(large.groupBy("id").agg(F.sum("size").alias("weight")), "link-weights")
+    central = large.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id", "n")).alias("p"))
+    central = written(central.select("key", F.col("p.id").alias("first"), F.col("p.n").alias("first_n")), "link-central")
+    active = written(large.join(central, "key"), "link-active")
     star = active.where(F.col("id") != F.col("first")).where(fits("first_n", "n"))
-    star = star.select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("first_n").alias("a_n"), F.col("n").alias("b_n"))
+    star = star.select("id", "first", "n", "first_n")
+    swap = F.col("first") > F.col("id")
+    star = star.select(*[F.when(swap, F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("id", "first", "a"), ("first", "id", "b"), ("n", "first_n", "a_n"), ("first_n", "n", "b_n"))])
     keys_of = written(held.groupBy("id").agg(F.collect_list("key").alias("keys")), "link-keys") if enough else None
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -70,7 +77,8 @@ def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
         # The distance of each member to the bucket's first one is known where it was compared.
         held = labelled.join(written(open_keys, "link-open"), "key")
-        held = held.join(sims.select(F.col("a").alias("first"), F.col("b").alias("id"), "sim"), ["first", "id"], "left")
+        ends = sims.select(F.col("a").alias("first"), F.col("b").alias("id"), "sim").union(sims.select("b", "a", "sim"))
+        held = held.join(ends, ["first", "id"], "left")
         held = held.withColumn("sim", F.when(F.col("id") == F.col("first"), F.lit(1.0)).otherwise(F.col("sim")))
         held = written(held.select("key", "id", "n", "comp", "size", "sim"), "link-held")
         if held.isEmpty():

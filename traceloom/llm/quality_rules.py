@@ -233,6 +233,10 @@ def judge(documents: DataFrame, labels: DataFrame, max_labelled: int = 12_000, *
     """``documents`` with ``_q``, ``base_failed``, ``fired`` and ``kept``."""
     labelled = written(labelled_statistics(documents, labels, max_labelled), "quality-statistics")
     rules = learn_rules(labelled, "bad", max_labelled, **fit)
-    # The one row per document is measured once: written columns would otherwise be recomputed by each reader.
     judged = text_statistics(documents.drop("_q", "base_failed", "fired", "kept"))
-    return judged.withColumn("base_failed", base_failed()).withColumn("fired", rules.fired()).withColumn("kept", ~F.col("base_failed") & rules.verdict())
+    # A filter on ``kept`` must stay above the statistics: pushed below, it would repeat their expressions many times
+    # over. Spark moves no filter past a value that it cannot compute twice, so a condition that always holds on such
+    # a value is part of ``kept``.
+    once = F.monotonically_increasing_id() >= 0
+    judged = judged.withColumn("base_failed", base_failed()).withColumn("fired", rules.fired())
+    return judged.withColumn("kept", once & ~F.col("base_failed") & rules.verdict())

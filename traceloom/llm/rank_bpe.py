@@ -135,8 +135,8 @@ class RankEncoder:
             out.append(ids)
         return b"".join(out)
 
-    def _learn(self, memo: Memo, pieces: set[str], lead: str) -> list[str]:
-        missing = memo.missing(pieces)
+    def _learn(self, memo: Memo, texts: list[list[str]], lead: str) -> list[str]:
+        missing = memo.missing(texts)
         for p in missing:
             memo.young[p] = self._piece(lead + p)
         return [p for p in missing if len(p) > MEMO_CHARS]
@@ -154,8 +154,8 @@ class RankEncoder:
             else:
                 heads.append(parts[:1])
                 tails.append(parts[1:])
-        long_raw = self._learn(self._raw, set(chain.from_iterable(heads)), "")
-        long_after = self._learn(self._after, set(chain.from_iterable(tails)), " ")
+        long_raw = self._learn(self._raw, heads, "")
+        long_after = self._learn(self._after, tails, " ")
         raw, after = self._raw.young, self._after.young
         out = [np.frombuffer(b"".join(chain(map(raw.__getitem__, h), map(after.__getitem__, t))), "<u4") for h, t in zip(heads, tails, strict=True)]
         for memo, pieces in ((raw, long_raw), (after, long_after)):

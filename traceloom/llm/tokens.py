@@ -10,7 +10,8 @@ from __future__ import annotations
 import gc
 import re
 from array import array
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 
@@ -33,11 +34,13 @@ class Memo:
         self._old: dict[str, bytes] = {}
         self._most = most // 2
 
-    def missing(self, pieces: set[str]) -> set[str]:
-        """The pieces that neither generation has; those of the older one become young."""
+    def missing(self, texts: list[list[str]]) -> set[str]:
+        """The pieces of the texts that neither generation has; those of the older one become young."""
         if len(self.young) > self._most:
             self._old, self.young = self.young, {}
-        left = pieces.difference(self.young)
+        left: set[str] = set()
+        for pieces in texts:
+            left.update(compress(pieces, map(not_, map(self.young.get, pieces))))
         if self._old:
             again = left.intersection(self._old)
             self.young.update(zip(again, map(self._old.__getitem__, again), strict=True))
@@ -61,9 +64,9 @@ class Encoder:
         #: By piece, and by piece without the blank before it.
         self._raw, self._after = Memo(MEMO // 10), Memo(MEMO - MEMO // 10)
 
-    def _learn(self, memo: Memo, pieces: set[str], lead: str) -> list[str]:
+    def _learn(self, memo: Memo, texts: list[list[str]], lead: str) -> list[str]:
         """Encode what ``memo`` lacks; returns what is too long to keep."""
-        missing = memo.missing(pieces)
+        missing = memo.missing(texts)
         if not missing:
             return []
         letters = [p for p in missing if LETTERS(p)]
@@ -94,8 +97,8 @@ class Encoder:
             else:
                 heads.append(parts[:1])
                 tails.append(parts[1:])
-        long_raw = self._learn(self._raw, set(chain.from_iterable(heads)), "")
-        long_after = self._learn(self._after, set(chain.from_iterable(tails)), " ")
+        long_raw = self._learn(self._raw, heads, "")
+        long_after = self._learn(self._after, tails, " ")
         raw, after = self._raw.young, self._after.young
         out = [np.frombuffer(b"".join(chain(map(raw.__getitem__, h), map(after.__getitem__, t))), "<u4") for h, t in zip(heads, tails, strict=True)]
         for memo, pieces in ((raw, long_raw), (after, long_after)):
