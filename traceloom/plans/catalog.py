@@ -503,3 +503,114 @@ def set_overlap(spark, d):
     y = v.where("run >= 6").groupBy("question_id").agg(F.collect_set("answer").alias("y"))
     j = x.join(y, "question_id")
     return j.select("question_id", F.size(F.array_intersect("x", "y")).alias("shared"), F.round(text.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN length(o_orderpriority || o_orderstatus || 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx') > 40 THEN substr(o_orderpriority || o_orderstatus || 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx', 1, 40) || '...' ELSE o_orderpriority || o_orderstatus || 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx' END AS short,"
+    " right(o_orderpriority, 4) AS tail, replace(o_orderpriority, '-', chr(10)) AS lines, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS stamp, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice / (o_orderkey % 5), 4) ELSE 0.0 END AS ratio,"
+    " CASE WHEN o_custkey <= 2048 THEN 64 WHEN o_custkey <= 8192 THEN 16 WHEN o_custkey <= 16384 THEN 8 WHEN o_custkey <= 32768 THEN 4 ELSE 1 END AS batch, CASE lower(o_orderstatus) WHEN 'o' THEN true WHEN 'f' THEN false END AS flag FROM orders"
+)
+def text_scalars(spark, d):
+    """Truncation, suffixes, unescaping, time stamps, guarded ratios, the batch ladder, boolean words."""
+    o = A.table(spark, d, "orders")
+    long = F.concat("o_orderpriority", "o_orderstatus", F.lit("x" * 35))
+    word = F.when(F.lower("o_orderstatus") == "o", "True").when(F.lower("o_orderstatus") == "f", "FALSE").otherwise("maybe")
+    escaped = F.replace(F.col("o_orderpriority"), F.lit("-"), F.lit("\\n"))
+    return o.select(
+        "o_orderkey", text.shorten(long).alias("short"), text.last_chars("o_orderpriority", 4).alias("tail"), text.unescape_newlines(escaped).alias("lines"), text.stamp("o_orderdate").alias("stamp"),
+        F.round(text.ratio(F.col("o_totalprice"), F.col("o_orderkey") % 5), 4).alias("ratio"), text.batch_size("o_custkey").alias("batch"), text.to_boolean(word).alias("flag"),
+    )
+
+
+@query(
+    f"WITH {A.SQL_TOKENS}, t AS (SELECT trace_id, count(*) AS num_tokens, avg(conf) AS conf FROM tok GROUP BY 1), x AS (SELECT trace_id % 10 AS question_id, CASE WHEN trace_id % 10 < 5 THEN 'simple' ELSE 'original' END AS method, CASE WHEN trace_id % 3 = 0 THEN 'warmup' ELSE 'final' END AS phase, num_tokens FROM t)"
+    " SELECT question_id, method, CASE WHEN method = 'simple' THEN count(*) ELSE count(*) FILTER (WHERE phase = 'warmup') + count(*) FILTER (WHERE phase = 'final') END AS total_traces, sum(num_tokens)::BIGINT AS total_tokens, round(sum(num_tokens) / count(*), 6) AS avg_tokens_per_trace, count(*) FILTER (WHERE phase = 'warmup') AS warmup_traces FROM x GROUP BY 1, 2"
+)
+def online_metrics(spark, d):
+    """Metrics of each experiment by method, with a guarded mean."""
+    n = A.tokens(spark, d).groupBy("trace_id").agg(F.count("*").alias("num_tokens"))
+    x = n.select((F.col("trace_id") % 10).alias("question_id"), F.when(F.col("trace_id") % 10 < 5, "simple").otherwise("original").alias("method"), F.when(F.col("trace_id") % 3 == 0, "warmup").otherwise("final").alias("phase"), "num_tokens")
+    warm, final = F.count_if(F.col("phase") == "warmup"), F.count_if(F.col("phase") == "final")
+    got = x.groupBy("question_id", "method").agg(F.count("*").alias("n"), warm.alias("warmup_traces"), final.alias("final_traces"), F.sum("num_tokens").alias("total_tokens"))
+    total = F.when(F.col("method") == "simple", F.col("n")).otherwise(F.col("warmup_traces") + F.col("final_traces"))
+    return got.select("question_id", "method", total.alias("total_traces"), "total_tokens", F.round(text.ratio("total_tokens", "n"), 6).alias("avg_tokens_per_trace"), "warmup_traces")
+
+
+@query(
+    f"WITH {A.SQL_TOKENS}, {_PREFIX}, {A.sql_windows(64, 'pre')}, m AS (SELECT trace_id, min(mean) AS lo, max(mean) AS hi, avg(mean) AS mid FROM win GROUP BY 1),"
+    " ans AS (SELECT trace_id, flag AS answer FROM (SELECT trace_id, flag, row_number() OVER (PARTITION BY trace_id ORDER BY count(*) DESC, flag) AS r FROM tok GROUP BY 1, 2) WHERE r = 1),"
+    " x AS (SELECT trace_id % 10 AS question_id, answer, count(*)::DOUBLE AS n, sum(lo) AS lo, sum(hi) AS hi, sum(mid) AS mid FROM m JOIN ans USING (trace_id) GROUP BY 1, 2), u AS (UNPIVOT x ON n, lo, hi, mid INTO NAME metric VALUE w),"
+    " p AS (SELECT *, w / sum(w) OVER (PARTITION BY question_id, metric) AS s FROM u)"
+    " SELECT question_id, metric, round(-sum(s * ln(s)), 6) AS entropy, CASE count(*) WHEN 1 THEN 1.0 ELSE round(1 - -sum(s * ln(s)) / ln(count(*)), 3) END AS confidence, count(*) AS k FROM p GROUP BY 1, 2"
+)
+def probe_distribution(spark, d):
+    """Entropy and confidence of the answers' distribution by count and by each window metric, in one pass."""
+    m = probe_window_rows(spark, d).join(A.trace_answers(A.tokens(spark, d)), "trace_id").withColumn("question_id", F.col("trace_id") % 10)
+    x = m.groupBy("question_id", "answer").agg(F.count("*").cast("double").alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.sum("mid").alias("mid"))
+    u = x.unpivot(["question_id", "answer"], ["n", "lo", "hi", "mid"], "metric", "w")
+    e = statistics.entropy(u, ["question_id", "metric"], "w")
+    return e.select("question_id", "metric", F.round("entropy", 6).alias("entropy"), statistics.normalised_confidence().alias("confidence"), "k")
+
+
+def probe_window_rows(spark: SparkSession, d: str) -> DataFrame:
+    pre = windows.first_rows(A.tokens(spark, d), ["trace_id"], A.TOKEN_ORDER, 300)
+    w = windows.trace_windows(pre, ["trace_id"], A.TOKEN_ORDER, "conf", 64)
+    return w.groupBy("trace_id").agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"), F.avg("mean").alias("mid"))
+
+
+@query(
+    f"{W}, c AS (SELECT question_id % 10 AS q, idx % 4 AS ck, answer, count(*) AS n FROM votes GROUP BY 1, 2, 3), s AS (SELECT *, n / sum(n) OVER (PARTITION BY q, ck) AS share FROM c), m AS (SELECT q, answer, max(share) AS top FROM s GROUP BY 1, 2), g AS (SELECT question_id % 10 AS q, min(ground_truth) AS gt FROM truths GROUP BY 1)"
+    " SELECT q, answer, round(top, 6) AS top, place FROM (SELECT m.q, m.answer, top, gt, row_number() OVER (PARTITION BY m.q ORDER BY answer <> gt, round(top, 9) DESC, answer) AS place FROM m JOIN g ON m.q = g.q) WHERE place <= 4 OR answer = gt"
+)
+def answer_order(spark, d):
+    """Answers in display order: the truth first, then by their highest share over checkpoints."""
+    c = A.votes(spark, d).groupBy((F.col("question_id") % 10).alias("q"), (F.col("idx") % 4).alias("ck"), "answer").agg(F.count("*").alias("n"))
+    m = statistics.shares(c, ["q", "ck"]).groupBy("q", "answer").agg(F.max("share").alias("top"))
+    g = A.truths(spark, d).groupBy((F.col("question_id") % 10).alias("q")).agg(F.min("ground_truth").alias("gt"))
+    order = Window.partitionBy("q").orderBy(F.col("answer") != F.col("gt"), F.desc(F.round("top", 9)), "answer")
+    placed = m.join(g, "q").withColumn("place", F.row_number().over(order)).where((F.col("place") <= 4) | (F.col("answer") == F.col("gt")))
+    return placed.select("q", "answer", F.round("top", 6).alias("top"), "place")
+
+
+@query(
+    f"{W}, p AS (SELECT question_id, idx // 500 AS step, sum(weight) AS v FROM votes WHERE question_id % 3 = 0 GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT question_id FROM p), (SELECT DISTINCT idx // 500 AS step FROM votes))"
+    " SELECT g.question_id, g.step::BIGINT AS step, round(last_value(v IGNORE NULLS) OVER (PARTITION BY g.question_id ORDER BY g.step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS v FROM g LEFT JOIN p ON p.question_id = g.question_id AND p.step = g.step"
+)
+def carried_points(spark, d):
+    """Metric points on a grid of steps; a missing one repeats the previous."""
+    from traceloom.sources.readers import metric_points
+
+    v = A.votes(spark, d).withColumn("step", F.floor(F.col("idx") / 500))
+    p = v.where("question_id % 3 = 0").groupBy("question_id", "step").agg(F.sum("weight").alias("v"))
+    g = p.select("question_id").distinct().crossJoin(F.broadcast(v.select("step").distinct()))  # steps are a short axis
+    return metric_points(p, g, ["question_id"], "step", ["v"]).select("question_id", "step", F.round("v", 4).alias("v"))
+
+
+@query(
+    f"{W}, a AS (SELECT question_id, answer, weight, idx, 0 AS phase FROM votes WHERE run = 0), b AS (SELECT question_id, answer, weight, idx, 1 AS phase FROM votes WHERE run = 1 AND weight > 20), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)"
+    " SELECT question_id, phase, count(*) AS n, count(DISTINCT answer) AS n_answers, first(answer ORDER BY phase, idx) AS first_answer FROM u GROUP BY 1, 2 EXCEPT SELECT question_id, 1, 1, 1, answer FROM b"
+)
+def set_operations(spark, d):
+    """Union of phases in order, distinct answers, and a difference."""
+    v = A.votes(spark, d).select("question_id", "answer", "weight", "idx", "run")
+    a = v.where("run = 0").withColumn("phase", F.lit(0))
+    b = v.where("run = 1 AND weight > 20").withColumn("phase", F.lit(1))
+    u = a.unionByName(b).groupBy("question_id", "phase").agg(F.count("*").alias("n"), F.count_distinct("answer").alias("n_answers"), F.min_by("answer", F.struct("phase", "idx")).alias("first_answer"))
+    gone = b.select("question_id", F.lit(1).alias("phase"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_answers"), F.col("answer").alias("first_answer"))
+    return u.exceptAll(u.intersect(gone))
+
+
+@query("SELECT c_custkey % 7 AS source, count(*) AS n, sum(strlen(c_name))::BIGINT AS bytes, min(strlen(c_name))::BIGINT AS least, max(strlen(c_name))::BIGINT AS most, round(avg(strlen(c_name)), 6) AS mean FROM customer GROUP BY 1")
+def size_report(spark, d):
+    """Totals and extremes of byte sizes by group."""
+    n = F.octet_length("c_name").cast("long")
+    return A.table(spark, d, "customer").groupBy((F.col("c_custkey") % 7).alias("source")).agg(F.count("*").alias("n"), F.sum(n).alias("bytes"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 6).alias("mean"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN 'A candidate answer is: ' || o_custkey ELSE 'Candidate answers are: 1. ' || o_custkey || ', 2. ' || o_orderstatus END AS prompt, regexp_extract_all('q' || o_custkey || ' and ' || o_orderkey % 7, '\\d+') IS NOT NULL AS has_numbers FROM orders")
+def prompts(spark, d):
+    """Phrases that offer no, one or several candidates; the numbers in a text."""
+    o = A.table(spark, d, "orders")
+    c = F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<string>")).when(F.col("o_orderkey") % 3 == 1, F.array(F.col("o_custkey").cast("string"))).otherwise(F.array(F.col("o_custkey").cast("string"), F.col("o_orderstatus")))
+    t = F.concat(F.lit("q"), F.col("o_custkey").cast("string"), F.lit(" and "), (F.col("o_orderkey") % 7).cast("string"))
+    return o.select("o_orderkey", text.candidate_prompt(c).alias("prompt"), (F.size(text.numbers(t)) > 0).alias("has_numbers"))
