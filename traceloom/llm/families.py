@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .graph import components
 
 #: Most members of a block. Two blocks are compared by matrices of their shared elements, a slice of columns at a time.
@@ -75,6 +75,8 @@ def _stream(to_set: Callable[[str], np.ndarray], threshold: float):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
         out = edges()
+        held = {}
+        tidy()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import discard, release, sized, small_batches, written
+from .common import discard, release, sized, small_batches, tidy, written
 from .linkage import link_components
 
 #: Most shingles that the global order treats as frequent: 16 bytes each when sent to the executors.
@@ -96,6 +96,7 @@ def _survey(k: int):
         if size:
             a, b, c, d = stretch()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], ["kind", "doc_id", "n", "cls"])
+        tidy()
 
     return run
 
@@ -141,6 +142,8 @@ def _postings(k: int, percent: int, boundary: int, frequent_b):
                 ns.append(np.full(len(got), len(h), np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, ns)], ["key", "id", "n"])
+        seen.clear()
+        tidy()
 
     return run
 
@@ -152,6 +155,7 @@ def _sets(k: int):
             own = [shingles.digest(s.view(np.uint64)) if len(s) else None for s in got]
             grams = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in got])]).astype(np.int32), np.concatenate(got) if got else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), grams], ["id", "own", "grams"])
+        tidy()
 
     return run
 

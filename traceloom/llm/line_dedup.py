@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, small_batches, written
+from .common import sized, small_batches, tidy, written
 from .families import link_families
 from .shingles import mix, powers
 
@@ -146,6 +146,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate([[0], np.cumsum(held * bands.shape[1])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(offsets, bands[held].reshape(-1).view(np.int64))
             yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:3]), keys], ["row", "place", "line", "bands"])
+    seen.clear()
+    tidy()
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
-from .tokens import encoder, file_bytes
+from .common import small_batches, tidy, written
+from .tokens import MEMO, encoder, file_bytes
 
 #: Steps of the local search. Any number gives a valid packing; the search ends at the lower bound or in a local optimum.
 SEARCH_STEPS = 20_000
@@ -142,9 +142,9 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     return dict(zip(("key", "first", "base", "each", "offset", "size"), table.T, strict=True)) | {"bins": np.array([base])}
 
 
-def _pieces(sent, capacity: int, end_id: int):
+def _pieces(sent, capacity: int, end_id: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen, task = encoder(sent), Counter(), TaskContext.get().partitionId()
+        enc, seen, task = encoder(sent, remembered), Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc, piece, start, length, crc, rank = [], [], [], [], [], []
@@ -160,6 +160,7 @@ def _pieces(sent, capacity: int, end_id: int):
                     at, k, size = at + size, k + 1, capacity
             columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([task] * len(doc), pa.int32()), pa.array(rank, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        tidy()
 
     return run
 
@@ -178,14 +179,14 @@ def _place(sent):
     return run
 
 
-def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remembered: int = MEMO) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = documents.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(file_bytes(tokenizer_path))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = written(docs.mapInArrow(_pieces(sent, capacity, end_id), schema + ", task int, rank long"), "pack-pieces")
+    pieces = written(docs.mapInArrow(_pieces(sent, capacity, end_id, remembered), schema + ", task int, rank long"), "pack-pieces")
     counts = written(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed = spark.sparkContext.broadcast(plan(histogram, capacity))

@@ -43,6 +43,10 @@ def op6_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 
+#: Pieces of text whose ids a worker remembers where tokenising is the only work.
+REMEMBERED = 800_000
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -50,7 +54,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048)
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, remembered=REMEMBERED)
 
 
 def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +78,7 @@ def op4_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sorted_table_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
+    return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), remembered=REMEMBERED))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

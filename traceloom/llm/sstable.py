@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_batches, written
-from .tokens import encoder, file_bytes
+from .common import new_folder, small_batches, tidy, written
+from .tokens import MEMO, encoder, file_bytes
 
 MAGIC = b"TLSST1\0\0"
 FOOTER = struct.Struct("<QQQQQQI4x8s")  # index at, size; Bloom at, size; documents; tokens; hashes; magic
@@ -188,9 +188,9 @@ def _open(uri: str):
     return fs, path
 
 
-def _write(folder: str, sent, end_id: int):
+def _write(folder: str, sent, end_id: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(sent), TaskContext.get().partitionId()
+        enc, task = encoder(sent, remembered), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4")
         uri, writer, last, nth = f"{folder}/shard-{task:06d}-{uuid.uuid4().hex}.sst", None, object(), 0
         sink = None
@@ -208,11 +208,12 @@ def _write(folder: str, sent, end_id: int):
             writer.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([task], pa.int32()), "uri": [uri], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
+        tidy()
 
     return run
 
 
-def write_shards(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", remembered: int = MEMO) -> DataFrame:
     """Write all documents; returns the manifest: shard, uri, n_docs, n_tokens, in the order of the shards' ids.
 
     Shards are ranges of ids, as many as the session's shuffle partitions. A task that is run again writes a file of
@@ -225,7 +226,7 @@ def write_shards(documents: DataFrame, tokenizer_path: str, folder: str | None =
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return written(ordered.mapInArrow(_write(folder, sent, end_id), "shard int, uri string, n_docs long, n_tokens long"), "sstable-manifest")
+    return written(ordered.mapInArrow(_write(folder, sent, end_id, remembered), "shard int, uri string, n_docs long, n_tokens long"), "sstable-manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,8 +18,9 @@ import numpy as np
 #: Unicode white space, as the pre-tokenizer's \\s; Python's own \\s differs on some control characters.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Pieces that a worker remembers at most (half of them the most recently learned), and the longest that it remembers.
-MEMO, MEMO_CHARS = 800_000, 64
+#: Pieces that a worker remembers unless told otherwise (half of them the most recently learned; about 200 bytes each),
+#: and the longest that it remembers. More of them save time and cost memory; the ids are the same.
+MEMO, MEMO_CHARS = 250_000, 64
 #: Pieces in one call of the library: small runs stay in the processor's caches.
 RUN = 128
 #: Pieces of letters alone, which the pre-tokenizer never cuts.
@@ -51,7 +52,7 @@ class Memo:
 class Encoder:
     """``batch(texts)``: the ids of ``tokenizer.encode(text, add_special_tokens=False)`` as uint32."""
 
-    def __init__(self, tokenizer_json: bytes):
+    def __init__(self, tokenizer_json: bytes, remembered: int = MEMO):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_buffer(tokenizer_json)
@@ -62,7 +63,7 @@ class Encoder:
         self._uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         (self._fence,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
         #: By piece, and by piece without the blank before it.
-        self._raw, self._after = Memo(MEMO // 10), Memo(MEMO - MEMO // 10)
+        self._raw, self._after = Memo(remembered // 10), Memo(remembered - remembered // 10)
 
     def _learn(self, memo: Memo, texts: list[list[str]], lead: str) -> list[str]:
         """Encode what ``memo`` lacks; returns what is too long to keep."""
@@ -107,17 +108,17 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder(sent) -> Encoder:
+def encoder(sent, remembered: int = MEMO) -> Encoder:
     """This worker's encoder of the broadcast tokenizer file."""
     data = sent.value
-    key = hash(data)
+    key = hash(data), remembered
     if key not in _encoders:
         _encoders.clear()
-        gc.disable()  # the worker's millions of strings hold no cycles, and each full collection would walk their tables
-        _encoders[key] = Encoder(data)
+        gc.disable()  # the worker's many strings hold no cycles, and each full collection would walk their tables
+        _encoders[key] = Encoder(data, remembered)
     return _encoders[key]
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, tidy, written
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -119,6 +119,7 @@ def _score(sent, cut: float):
             severity, p = [g[0] for g in got], [g[1] for g in got]
             columns = [batch.column(0), pa.array(severity, pa.float64()), pa.array([int(s + 0.5) for s in severity], pa.int32()), pa.array([x >= cut for x in p], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "severity", "grade", "toxic"])
+        tidy()
 
     return run
 
@@ -134,6 +135,7 @@ def _keep(sent, cut: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([sent.value.severity(words_of(t))[1] < cut for t in batch.column(at).to_pylist()], pa.bool_()))
+        tidy()
 
     return run
 
