@@ -38,6 +38,8 @@ def words_of(text: str | None) -> set[str]:
 class Model:
     weights: dict[str, float]
     thresholds: list[float]
+    #: Probability of grade 1 or more from which a text counts as toxic.
+    cut: float = 0.5
 
     def severity(self, words: set[str]) -> tuple[float, float]:
         """Expected grade, and the probability of grade 1 or more."""
@@ -76,6 +78,16 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, n_features:
     return x[:n_features], x[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(x[n_features + 1 :]))])
 
 
+def best_cut(score: np.ndarray, toxic: np.ndarray) -> float:
+    """The score in the middle of the gap that splits the fitted rows with the best F1."""
+    order = np.argsort(-score, kind="stable")
+    ranked, hits = score[order], np.cumsum(toxic[order])
+    last = np.append(ranked[1:] != ranked[:-1], True)  # a cut lies below all rows of one score
+    f1 = np.where(last, 2 * hits / (np.arange(1, len(score) + 1) + toxic.sum()), -1.0)
+    k = int(f1.argmax())
+    return float((ranked[k] + ranked[k + 1]) / 2) if k + 1 < len(score) else float(ranked[k] - 1e-9)
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = pa.array([sorted(words_of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
@@ -108,7 +120,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_
     grades = np.where(toxic == 1, 1 + (hits[:, None] > cuts[None, :]).sum(axis=1), 0)
     grades = np.unique(grades, return_inverse=True)[1]  # no grade without rows
     weights, thresholds = fit_cumulative_link(features, grades, len(vocabulary), int(grades.max()) + 1)
-    return Model({w: float(weights[i]) for w, i in vocabulary.items()}, [float(t) for t in thresholds])
+    z = np.array([weights[f].sum() for f in features])
+    cut = 1.0 / (1.0 + np.exp(-np.clip(best_cut(z, toxic) - thresholds[0], -40.0, 40.0)))
+    return Model({w: float(weights[i]) for w, i in vocabulary.items()}, [float(t) for t in thresholds], float(cut))
 
 
 def _score(sent, cut: float):
@@ -124,8 +138,9 @@ def _score(sent, cut: float):
     return run
 
 
-def score(documents: DataFrame, model: Model, cut: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key (its ``doc_id``), expected severity, grade, toxic (grade 1 or more as likely as ``cut``)."""
+def score(documents: DataFrame, model: Model, cut: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key (its ``doc_id``), expected severity, grade, toxic (grade 1 or more as likely as ``cut``, by default the model's own)."""
+    cut = model.cut if cut is None else cut
     small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     return documents.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(_score(sent, cut), "key long, severity double, grade int, toxic boolean")
@@ -140,8 +155,9 @@ def _keep(sent, cut: float, at: int):
     return run
 
 
-def drop_toxic(documents: DataFrame, model: Model, cut: float = 0.5, text: str = "text") -> DataFrame:
+def drop_toxic(documents: DataFrame, model: Model, cut: float | None = None, text: str = "text") -> DataFrame:
     """The rows of ``documents`` that are not toxic, in one pass, all columns as they are."""
+    cut = model.cut if cut is None else cut
     small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     return documents.mapInArrow(_keep(sent, cut, documents.columns.index(text)), documents.schema)
