@@ -77,6 +77,13 @@ def test_empty_table_and_null_ids(spark):
     assert run(spark, [(None, "the same line"), (5, "the same line"), (5, "the same line")]) == {None: "the same line", 5: ""}
 
 
+def test_short_lines_with_one_changed_letter_go(spark):
+    r = random.Random(11)
+    base = ["".join(r.choice("abcdefghijklmnopqrst ") for _ in range(70)) for _ in range(12)]
+    got = run(spark, [(i, x) for i, x in enumerate(base)] + [(100 + i, x[:35] + "#" + x[36:]) for i, x in enumerate(base)])
+    assert all(got[i] == x and got[100 + i] == "" for i, x in enumerate(base))
+
+
 def test_signatures_estimate_similarity():
     r = random.Random(7)
     a = "".join(r.choice("abcdefghijklmnop ") for _ in range(3000))

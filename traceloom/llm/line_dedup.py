@@ -29,7 +29,7 @@ from .shingles import mix, powers
 
 _U = np.uint64
 #: Characters in a shingle; bins of the signature; bins in a band: 8 bands of 4.
-WIDTH, BINS, BAND = 9, 32, 4
+WIDTH, BINS, BAND = 5, 32, 4
 _RNG = np.random.Generator(np.random.PCG64(977))
 _LOW = _RNG.integers(1, 2**63, 1 << 16, dtype=np.uint64)
 _HIGH = _RNG.integers(1, 2**63, 1 << 5, dtype=np.uint64)
