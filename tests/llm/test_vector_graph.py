@@ -70,3 +70,34 @@ def test_graph_search_reaches_what_is_near():
     gram = x @ x.T
     found = vector_graph.search(gram, vector_graph.build(gram), 0.98)
     assert (found | found.T)[gram >= 0.98].mean() > 0.97
+
+
+def at_angles(spark, degrees):
+    rows = [(i, 1, [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]) for i, d in enumerate(degrees)]
+    return spark.createDataFrame(rows, "pid long, label long, unit array<double>")
+
+
+def test_range_expansion_crosses_shards_until_nothing_is_new(spark):
+    pair = "a long, b long"
+    links, graph = spark.createDataFrame([(0, 1)], pair), spark.createDataFrame([(1, 2), (2, 3), (3, 4)], pair)
+    got = vector_graph._expand(at_angles(spark, [0, 3, 6, 9, 20]), links, graph, 0.98).collect()
+    assert {(r.a, r.b) for r in got} >= {(0, 1), (0, 2), (0, 3)} and all(r.b < 4 for r in got)
+
+
+def test_lost_links_are_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD_MOST", 60)
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(vector_graph, "_links", lambda points, threshold, overlap: (none, none))
+    rows = corpus(5, 300)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), overlap=24).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute(rows)
+
+
+def test_an_audit_with_too_few_links_says_so(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "AUDIT", 4)
+    monkeypatch.setattr(vector_graph, "AUDIT_MOST", 4)
+    points = at_angles(spark, [40 * k for k in range(8)] + [1])
+    none = spark.createDataFrame([], "a long, b long")
+    assert vector_graph._audited(points, none, 0.98) is None
+    monkeypatch.setattr(vector_graph, "AUDIT_MOST", 64)
+    assert vector_graph._audited(points, none, 0.98) == 0.0

@@ -7,9 +7,11 @@
    and nothing is left out.
 3. Each shard builds a robust-pruned neighbour graph and every point searches it from the shard's medoid: a greedy
    beam, then range expansion through all nodes that lie in range. The adjacency lists of a point's shards are united.
-4. Every link is verified in double precision. Recall is audited against brute force on ``AUDIT`` points.
-5. Below ``target``, links spread over the united lists (the neighbours of a link's one end are compared with its
-   other end); if that is not enough, the shards are made again with twice the overlap.
+4. Range expansion goes on over the united lists, across shards, on every input: the neighbours of each point in
+   range of a query are compared with the query, until a round finds nothing new. Links are verified in double precision.
+5. Recall is audited against brute force on as many points as hold ``AUDIT_LINKS`` links. Below ``target`` the shards
+   are made again with twice the overlap; if it stays below ``FLOOR``, or ``AUDIT_MOST`` points hold too few links to
+   tell, all points of a label are compared exactly, block by block.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null
 label, link with nothing; vectors of different lengths link with nothing; repeated rows and repeated ids each count;
@@ -32,8 +34,8 @@ from .graph import components
 SHARD, SHARD_MOST, CENTROIDS = 400, 1500, 16_384
 #: Out-degree, candidates and slack of the pruning rule, width of the search beam.
 DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 48
-#: Points that are held against brute force.
-AUDIT = 256
+#: Points that are first held against brute force, and at most; links they must hold; least recall of a graph's result.
+AUDIT, AUDIT_MOST, AUDIT_LINKS, FLOOR = 256, 4096, 200, 0.9
 
 
 def normalised(rows: DataFrame, vec: str) -> DataFrame:
@@ -131,6 +133,21 @@ def _shard(threshold: float):
     return run
 
 
+def _compare(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows (a, b, sim): all links of a block."""
+        parts = [pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})]
+        for _, some in pdf.groupby(pdf["unit"].map(len)):
+            some = some.drop_duplicates("pid")
+            ids, x = some["pid"].to_numpy(), np.stack(some["unit"].to_numpy())
+            gram = x @ x.T
+            a, b = np.nonzero(np.triu(gram >= threshold - 1e-12, 1))
+            parts.append(pd.DataFrame({"a": ids[a], "b": ids[b], "sim": gram[a, b]}))
+        return pd.concat(parts)
+
+    return run
+
+
 def _assign(sent, overlap: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_label = sent.value
@@ -172,6 +189,28 @@ def _by_label(rows) -> dict:
     return out
 
 
+def _straight(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _blocks(shards: DataFrame) -> DataFrame:
+    """The points of each shard dealt into pairs of blocks (lo, hi); a shard of ``SHARD_MOST`` points or fewer is one block."""
+    counts = written(shards.groupBy("label", "shard").agg(F.count("*").alias("n")), "vectors-counts")
+    half = SHARD_MOST // 2
+    blocks = F.when(F.col("n") <= SHARD_MOST, F.lit(1)).otherwise(F.ceil(F.col("n") * 1.15 / half)).cast("int")
+    own = F.pmod(F.xxhash64("pid", F.lit(5)), F.col("blocks")).cast("int")
+    dealt = shards.join(counts, ["label", "shard"]).withColumn("blocks", blocks).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("pid", "unit", "label", "shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+def exact_links(points: DataFrame, threshold: float) -> DataFrame:
+    """Written (a, b), a < b: the links that comparing all points of each label finds."""
+    every = points.select("pid", "label", "unit", F.lit(0).alias("shard"))
+    found = _blocks(every).groupBy("label", "shard", "lo", "hi").applyInPandas(_compare(threshold), "a long, b long, sim double")
+    return written(_straight(found), "vectors-exact-links")
+
+
 def _links(points: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame, DataFrame]:
     """Written (a, b), a < b: linked points, and the edges of the united lists between near points."""
     spark = points.sparkSession
@@ -185,41 +224,63 @@ def _links(points: DataFrame, threshold: float, overlap: int) -> tuple[DataFrame
     centroids = {k: np.array([r["unit"] for r in rows]) for k, rows in _by_label(drawn).items() if len(rows) > 1}
     sent = spark.sparkContext.broadcast(centroids)
     shards = written(points.select("pid", "label", "unit").mapInPandas(_assign(sent, overlap), "pid long, label long, unit array<double>, shard int"), "vectors-shards")
-    counts = written(shards.groupBy("label", "shard").agg(F.count("*").alias("n")), "vectors-counts")
-    half = SHARD_MOST // 2
-    blocks = F.when(F.col("n") <= SHARD_MOST, F.lit(1)).otherwise(F.ceil(F.col("n") * 1.15 / half)).cast("int")
-    own = F.pmod(F.xxhash64("pid", F.lit(5)), F.col("blocks")).cast("int")
-    dealt = shards.join(counts, ["label", "shard"]).withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("pid", "unit", "label", "shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    found = written(dealt.groupBy("label", "shard", "lo", "hi").applyInPandas(_shard(threshold), "a long, b long, sim double"), "vectors-found")
-    straight = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    links = written(straight(found.where("sim IS NOT NULL AND NOT isnan(sim)")), "vectors-links")
-    return links, written(straight(found), "vectors-graph")
-
-
-def _spread(points: DataFrame, links: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
-    """``links`` and those found one hop over the united lists from either end of a link, verified."""
-    straight = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    both = lambda df: df.union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hop = both(links).alias("l").join(written(both(graph), "vectors-lists").alias("g"), F.col("l.b") == F.col("g.a"))
-    hop = straight(hop.select(F.col("l.a").alias("a"), F.col("g.b").alias("b"))).join(links, ["a", "b"], "left_anti")
-    hop = written(hop, "vectors-hop")
+    found = written(_blocks(shards).groupBy("label", "shard", "lo", "hi").applyInPandas(_shard(threshold), "a long, b long, sim double"), "vectors-found")
+    links = written(_straight(found.where("sim IS NOT NULL AND NOT isnan(sim)")), "vectors-links")
+    return links, written(_straight(found), "vectors-graph")
+
+
+def _expand(points: DataFrame, links: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
+    """``links`` and what range expansion over the united lists finds from them, verified, until nothing is new."""
+    both = lambda df: df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lists = written(both(graph), "vectors-lists")
     x, y = points.select(F.col("pid").alias("a"), F.col("unit").alias("ua"), F.col("label").alias("la")), points.select(F.col("pid").alias("b"), F.col("unit").alias("ub"), F.col("label").alias("lb"))
     dot = F.aggregate(F.zip_with("ua", "ub", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    more = hop.join(x, "a").join(y, "b").where((F.col("la") == F.col("lb")) & (F.size("ua") == F.size("ub")) & (dot >= threshold - 1e-12)).select("a", "b")
-    return written(links.union(more), "vectors-all-links")
+    near = (F.col("la") == F.col("lb")) & (F.size("ua") == F.size("ub")) & (dot >= threshold - 1e-12)
+    tested = new = links
+    while True:
+        hop = both(new).alias("l").join(lists.alias("g"), F.col("l.b") == F.col("g.a"))
+        hop = _straight(hop.select(F.col("l.a").alias("a"), F.col("g.b").alias("b"))).join(tested, ["a", "b"], "left_anti")
+        hop = written(hop, "vectors-hop")
+        new = written(hop.join(x, "a").join(y, "b").where(near).select("a", "b"), "vectors-hop-links")
+        if new.isEmpty():
+            return links
+        links, tested = written(links.union(new), "vectors-all-links"), written(tested.union(hop), "vectors-tested")
 
 
-def audit_recall(points: DataFrame, links: DataFrame, threshold: float, n: int = AUDIT) -> float:
-    """Share of the links of ``n`` points, chosen by a hash, that brute force over all points finds and ``links`` has."""
+def audit_recall(points: DataFrame, links: DataFrame, threshold: float, n: int = AUDIT) -> tuple[float, int]:
+    """Share of the links of ``n`` points, chosen by a hash, that brute force over all points finds and ``links`` has; their number."""
     rows = points.orderBy(F.xxhash64("pid", F.lit(3))).limit(n).select("pid", "label", "unit").collect()
     queries = {k: (np.array([r["pid"] for r in v]), np.array([r["unit"] for r in v])) for k, v in _by_label(rows).items()}
     sent = points.sparkSession.sparkContext.broadcast(queries)
     true = written(points.select("pid", "label", "unit").mapInPandas(_brute(sent, threshold), "a long, b long"), "vectors-audit")
-    true = true.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    true = _straight(true)
     got = true.join(links.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*"), F.count("hit")).first()
-    return got[1] / got[0] if got[0] else 1.0
+    return got[1] / got[0] if got[0] else 1.0, got[0]
+
+
+def _audited(points: DataFrame, links: DataFrame, threshold: float) -> float | None:
+    """Recall on points that hold ``AUDIT_LINKS`` links, or on all; None if ``AUDIT_MOST`` points hold fewer."""
+    total, n = points.count(), AUDIT
+    while True:
+        recall, true = audit_recall(points, links, threshold, n)
+        if true >= AUDIT_LINKS or n >= total:
+            return recall
+        if n >= AUDIT_MOST:
+            return None
+        n *= 4
+
+
+def all_links(points: DataFrame, threshold: float, overlap: int, target: float) -> DataFrame:
+    """Written (a, b), a < b: the audited links of the graph, or those of the exact comparison."""
+    while True:
+        links, graph = _links(points, threshold, overlap)
+        links = _expand(points, links, graph, threshold)
+        recall = _audited(points, links, threshold)
+        if recall is not None and (recall >= target or overlap >= 24 and recall >= FLOOR):
+            return links
+        if recall is None or overlap >= 24:
+            return exact_links(points, threshold)
+        overlap *= 2
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.98, overlap: int = 3, target: float = 0.98, vec_id: str = "vec_id", vec: str = "embedding", label: str = "label") -> DataFrame:
@@ -232,14 +293,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, overlap: int = 3,
     weight = held.groupBy("pid").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     weight = written(weight, "vectors-weights")
     points = written(held.select("pid", "label", "unit").dropDuplicates(["pid"]), "vectors-points")
-    while True:
-        links, graph = _links(points, threshold, overlap)
-        if audit_recall(points, links, threshold) >= target:
-            break
-        links = _spread(points, links, graph, threshold)
-        if overlap >= 24 or audit_recall(points, links, threshold) >= target:
-            break
-        overlap *= 2
+    links = all_links(points, threshold, overlap, target)
     ends = links.select(F.col("a").alias("pid"), F.col("b").alias("o")).union(links.select("b", "a"))
     ends = ends.join(weight.select(F.col("pid").alias("o"), "weight"), "o").groupBy("pid").agg(F.sum("weight").alias("linked"))
     comp = components(links).select(F.col("id").alias("pid"), "comp")
