@@ -39,3 +39,12 @@ def test_host_path_wins(spark):
     assert got[9].text == "short" and got[0].text == ("long text " * 9).strip()
     assert got[10].text == "" and got[11].n_chars == 0
     assert html_main.extract_pages(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_headline_and_lead_before_the_body_stay():
+    body = "<div class=body><p>%s</p></div>" % ("text " * 80).strip()
+    text = ("text " * 80).strip()
+    for page in ("<article><h1>Head</h1><p>lead</p>%s</article>", "<div class=post><h1>Head</h1><p>lead</p>%s</div>", "<div class=post><div class=top><h1>Head</h1><p>lead</p></div>%s</div>", "<main><div><p>Head</p></div><p>lead</p>%s</main>"):
+        assert extract("<body><nav>menu</nav>" + page % body + "</body>", None) == "Head\nlead\n" + text
+    # A box next to the article, with neither heading nor text around it, is no part of it.
+    assert extract("<body>" + body + "<div class=x><p>x</p></div></body>", None) == text

@@ -2,7 +2,8 @@
 
 1. Every page is parsed once; the smallest container that holds nearly all of its content text (text outside menus,
    page headers, footers, sidebars, notices, adverts, forms, comments) is the page's candidate, named by its
-   generalised tag-class path.
+   generalised tag-class path. Where containers around it hold text of their own or a heading outside of it (a headline
+   or lead before the box of the body), or are an article or main, the outermost of them is taken instead.
 2. Spark counts the candidates of each host; the path with the most votes wins.
 3. Every page is read again with its host's winning path; a page that lacks it, or has no text there, uses its own
    candidate.
@@ -33,6 +34,7 @@ _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _CLASS_ONLY = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div td body".split())
 BLOCKS = CONTAINERS | frozenset(
@@ -59,6 +61,9 @@ class Node:
     aside: bool
     parent: int
     size: int = 0
+    #: Text outside of inner containers, and headings anywhere inside.
+    own: int = 0
+    heads: int = 0
 
 
 @dataclass
@@ -153,22 +158,37 @@ def parse(html: str) -> Page:
             path = f"{up.path}>{name}" if up.depth < DEPTH else up.path
             page.nodes.append(Node(tag, path, up.depth + 1, aside, container))
             container = len(page.nodes) - 1
+        if tag in HEADINGS and not aside:
+            page.nodes[container].heads += 1
         stack.append((tag, container, aside))
     say(html[at:])
     flush()
     for container, block in page.blocks:
         page.nodes[container].size += len(block)
+        page.nodes[container].own += len(block)
     for node in reversed(page.nodes):
         if node.parent >= 0:
             page.nodes[node.parent].size += node.size
+            page.nodes[node.parent].heads += node.heads
     return page
 
 
 def candidate(page: Page) -> int:
-    """The smallest, deepest container with nearly all of the page's content."""
+    """The smallest, deepest container with nearly all of the page's content, widened by ``_whole_article``."""
     whole = page.nodes[0].size
     fits = [i for i, node in enumerate(page.nodes) if node.size >= HELD * whole and not node.aside]
-    return max(fits, key=lambda i: (page.nodes[i].depth, -i), default=0) if whole else 0
+    return _whole_article(page, max(fits, key=lambda i: (page.nodes[i].depth, -i), default=0)) if whole else 0
+
+
+def _whole_article(page: Page, chosen: int) -> int:
+    """The outermost container around ``chosen`` that adds text of its own or a heading, or is an article or main; else ``chosen``."""
+    best, up = chosen, page.nodes[chosen].parent
+    while up >= 0:
+        node = page.nodes[up]
+        if not node.aside and node.size > page.nodes[best].size and (node.own or node.heads > page.nodes[best].heads or node.tag in ("article", "main")):
+            best = up
+        up = node.parent
+    return best
 
 
 def extract(html: str | None, path: str | None) -> str:
