@@ -125,3 +125,16 @@ def test_python_queries(spark):
     forms = extras.answer_clusters(spark, SF).collect()
     assert len({r.canonical for r in forms}) == 6
     assert extras.online_conversion(spark, SF).count() > 0
+
+
+def test_carried_points_and_set_operations_cover_all_rows(spark):
+    import __spark_entry__ as driver
+
+    d = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{d}/events.parquet")
+    q = driver.queries()
+    assert q["carried_points_all"](spark, d).select("question_id").distinct().count() == events.select("user_id").distinct().count()
+    n = q["set_operations_all"](spark, d).agg({"n": "sum"}).first()[0]
+    # Only groups of a single vote of the second phase are taken out by the difference.
+    alone = events.where("event_id % 8 >= 4").groupBy("user_id").count().where("count = 1").count()
+    assert n == events.count() - alone

@@ -600,6 +600,32 @@ def set_operations(spark, d):
     return u.exceptAll(u.intersect(gone))
 
 
+@query(
+    f"{W}, p AS (SELECT question_id, idx // 500 AS step, sum(weight) AS v FROM votes GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT question_id FROM p), (SELECT DISTINCT idx // 500 AS step FROM votes))"
+    " SELECT g.question_id, g.step::BIGINT AS step, round(last_value(v IGNORE NULLS) OVER (PARTITION BY g.question_id ORDER BY g.step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS v FROM g LEFT JOIN p ON p.question_id = g.question_id AND p.step = g.step"
+)
+def carried_points_all(spark, d):
+    """Metric points of all questions on a grid of steps; a missing one repeats the previous."""
+    from traceloom.sources.readers import metric_points
+
+    p = A.votes(spark, d).groupBy("question_id", F.floor(F.col("idx") / 500).alias("step")).agg(F.sum("weight").alias("v"))
+    g = p.select("question_id").distinct().crossJoin(F.broadcast(p.select("step").distinct()))  # steps are a short axis
+    return metric_points(p, g, ["question_id"], "step", ["v"]).select("question_id", "step", F.round("v", 4).alias("v"))
+
+
+@query(
+    f"{W}, u AS (SELECT question_id, answer, idx, 0 AS phase FROM votes WHERE run < 4 UNION ALL SELECT question_id, answer, idx, 1 FROM votes WHERE run >= 4)"
+    " SELECT question_id, phase, count(*) AS n, count(DISTINCT answer) AS n_answers, first(answer ORDER BY idx) AS first_answer FROM u GROUP BY 1, 2 EXCEPT SELECT question_id, 1, 1, 1, answer FROM votes WHERE run >= 4"
+)
+def set_operations_all(spark, d):
+    """Union of the two phases of all events, distinct answers, and a difference."""
+    v = A.votes(spark, d).select("question_id", "answer", "idx", "run")
+    a, b = v.where("run < 4").withColumn("phase", F.lit(0)), v.where("run >= 4").withColumn("phase", F.lit(1))
+    u = a.unionByName(b).groupBy("question_id", "phase").agg(F.count("*").alias("n"), F.count_distinct("answer").alias("n_answers"), F.min_by("answer", "idx").alias("first_answer"))
+    gone = b.select("question_id", F.lit(1).alias("phase"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_answers"), F.col("answer").alias("first_answer"))
+    return u.exceptAll(u.intersect(gone))
+
+
 @query("SELECT c_custkey % 7 AS source, count(*) AS n, sum(strlen(c_name))::BIGINT AS bytes, min(strlen(c_name))::BIGINT AS least, max(strlen(c_name))::BIGINT AS most, round(avg(strlen(c_name)), 6) AS mean FROM customer GROUP BY 1")
 def size_report(spark, d):
     """Totals and extremes of byte sizes by group."""
