@@ -138,3 +138,13 @@ def test_carried_points_and_set_operations_cover_all_rows(spark):
     # Only groups of a single vote of the second phase are taken out by the difference.
     alone = events.where("event_id % 8 >= 4").groupBy("user_id").count().where("count = 1").count()
     assert n == events.count() - alone
+
+
+def test_warmup_entropy_of_few_traces_is_that_of_all(spark, monkeypatch):
+    from traceloom.plans import adapters, catalog
+
+    rows = [(1, i, a, 10) for i, a in enumerate("aabb")] + [(2, i, "ab"[i % 2], 1) for i in range(40)]
+    monkeypatch.setattr(adapters, "traces", lambda s, d: s.createDataFrame(rows, "question_id long, trace_idx long, answer string, num_tokens long"))
+    got = {r.question_id: r for r in catalog.warmup_entropy(spark, "").collect()}
+    assert (got[1].draws, got[1].mean_entropy, got[1].var_entropy, got[1].tokens) == (4, 1.0, 0.0, 160)
+    assert got[2].tokens == 32 and 0 <= got[2].mean_entropy <= 1

@@ -626,6 +626,58 @@ def set_operations_all(spark, d):
     return u.exceptAll(u.intersect(gone))
 
 
+def bootstrap_records(spark: SparkSession, d: str) -> DataFrame:
+    """The seven methods on each of 64 resamples of at most 512 traces of each question."""
+    t = A.traces(spark, d)
+    sample = sampling.bootstrap(t, ["question_id"], "trace_idx", 64, 512).drop("trace_idx").withColumnRenamed("slot", "trace_idx")
+    return experiment(sample, A.question_truths(t), ["question_id", "bootstrap_idx"])
+
+
+SQL_BOOTSTRAP = (
+    f"WITH {A.SQL_TRACES}, p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY trace_idx) - 1 AS place, count(*) OVER (PARTITION BY question_id) AS c FROM traces), g AS (SELECT DISTINCT question_id, c FROM p),"
+    f" sl AS (SELECT question_id, b, s, {_DRAW} % c AS place FROM g, (SELECT unnest(range(0, 64)) AS b), (SELECT unnest(range(0, 512)) AS s) WHERE s < least(512, c)),"
+    " drawn AS (SELECT sl.question_id * 64 + b AS question_id, s AS trace_idx, answer, mean_conf, tail_conf, bottom_conf, min_conf FROM sl JOIN p ON p.question_id = sl.question_id AND p.place = sl.place),"
+    " known AS (SELECT question_id * 64 + b AS question_id, ground_truth FROM gt, (SELECT unnest(range(0, 64)) AS b)),"
+    f" boot AS (SELECT * FROM (WITH traces AS (SELECT * FROM drawn), gt AS (SELECT * FROM known), {SQL_METHOD_ROWS} SELECT question_id // 64 AS q, question_id % 64 AS b, * EXCLUDE (question_id) FROM records))"
+)
+
+
+@query(f"{SQL_BOOTSTRAP} SELECT q AS question_id, b AS bootstrap_idx, (SELECT max(n) FROM (SELECT least(512, c) AS n, question_id AS k FROM g) WHERE k = q) AS bootstrap_size, voting_method, predicted_answer, is_correct, num_votes, round(avg_confidence, 6) AS avg_confidence FROM boot")
+def bootstrap_methods_long(spark, d):
+    """One row per question, resample and method."""
+    sizes = A.traces(spark, d).groupBy("question_id").agg(F.least(F.lit(512), F.count("*")).alias("bootstrap_size"))
+    r = bootstrap_records(spark, d).join(sizes, "question_id")
+    return r.select("question_id", "bootstrap_idx", "bootstrap_size", "voting_method", "predicted_answer", "is_correct", "num_votes", F.round("avg_confidence", 6).alias("avg_confidence"))
+
+
+@query(
+    f"{SQL_BOOTSTRAP}, m AS (SELECT q, voting_method, count(*) AS n, round(avg(is_correct::INT), 4) AS mean_correct, round(avg(num_votes), 4) AS mean_votes, round(avg(avg_confidence), 4) AS mean_confidence FROM boot GROUP BY 1, 2),"
+    " w AS (SELECT q, voting_method, first(predicted_answer ORDER BY k DESC, f) AS winner FROM (SELECT q, voting_method, predicted_answer, count(*) AS k, min(b) AS f FROM boot GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+    " SELECT q AS question_id, voting_method, n, mean_correct, mean_votes, mean_confidence, winner FROM m JOIN w USING (q, voting_method)"
+)
+def bootstrap_methods_averaged(spark, d):
+    """Means over the resamples and the answer that wins most of them, by question and method."""
+    by = ["question_id", "voting_method"]
+    wins = bootstrap_records(spark, d).groupBy(*by, "predicted_answer").agg(
+        F.count("*").alias("k"), F.min("bootstrap_idx").alias("f"), F.sum(F.col("is_correct").cast("int")).alias("ok"), F.sum("num_votes").alias("votes"), F.sum("avg_confidence").alias("conf")
+    )
+    n = F.sum("k")
+    return wins.groupBy(*by).agg(
+        n.alias("n"), F.round(F.sum("ok") / n, 4).alias("mean_correct"), F.round(F.sum("votes") / n, 4).alias("mean_votes"), F.round(F.sum("conf") / n, 4).alias("mean_confidence"),
+        F.max_by("predicted_answer", F.struct("k", -F.col("f"))).alias("winner"),
+    )
+
+
+@query()
+def warmup_entropy(spark, d):
+    """Base-2 entropy of the answers of 8 traces drawn without replacement, its mean and population variance over 4 draws, and the draws' tokens."""
+    t = A.traces(spark, d).select("question_id", "trace_idx", "answer", "num_tokens")
+    draws = [sampling.sample_without_replacement(t, ["question_id"], "trace_idx", 8, seed).withColumn("draw", F.lit(seed)) for seed in range(4)]
+    tally = draws[0].union(draws[1]).union(draws[2]).union(draws[3]).groupBy("question_id", "draw", "answer").agg(F.count("*").alias("n"), F.sum("num_tokens").alias("tokens"))
+    h = statistics.entropy(tally, ["question_id", "draw"], "n", "2", "h").join(tally.groupBy("question_id", "draw").agg(F.sum("tokens").alias("tokens")), ["question_id", "draw"])
+    return h.groupBy("question_id").agg(F.count("*").alias("draws"), F.round(F.avg("h"), 6).alias("mean_entropy"), F.round(F.var_pop("h"), 6).alias("var_entropy"), F.sum("tokens").alias("tokens"))
+
+
 @query("SELECT c_custkey % 7 AS source, count(*) AS n, sum(strlen(c_name))::BIGINT AS bytes, min(strlen(c_name))::BIGINT AS least, max(strlen(c_name))::BIGINT AS most, round(avg(strlen(c_name)), 6) AS mean FROM customer GROUP BY 1")
 def size_report(spark, d):
     """Totals and extremes of byte sizes by group."""
