@@ -61,6 +61,18 @@ def sized(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def private(df: DataFrame, *labels: str) -> list[str]:
+    """Column names like ``labels`` that ``df`` does not have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for label in labels:
+        while label.lower() in taken:
+            label += "_"
+        taken.add(label.lower())
+        out.append(label)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over: it does so once the driver has collected its garbage."""
     gc.collect()

@@ -8,13 +8,15 @@ Documents with equal sets form one class, and only classes are joined. A class i
 * any link with a heavy set is found by scanning inverted lists: each set enters the lists of its first
   ``n - ceil(t n) + 1`` elements in one global order, and linked sets share at least one of them.
 
-The boundary is the largest size at which enumerating costs no more than scanning lists of the average length
-measured on all documents. The global order puts shingles that are frequent in some stretch of documents last, the
-more frequent the later, then longer shingles first. Any total order gives whole results; this one keeps lists short.
-Lists and subsets are buckets for ``linkage.link_components``, which verifies exact Jaccard similarity.
-
-Defined results: a null or wordless text has an empty set and links with nothing; rows with a null ``doc_id`` are
-returned with their set size and a null component; rows that repeat a ``doc_id`` each count; other columns are ignored.
+The boundary is the largest size up to which enumerating costs no more than scanning lists of the average length over
+all documents: shingles of all classes by distinct shingles, which a HyperLogLog sketch counts. The global order puts
+shingles that are frequent in some stretch of documents last, the more frequent the later, then longer shingles first.
+Any total order gives whole results; this one keeps lists short. Lists and subsets are buckets for
+``linkage.link_components``; exact Jaccard similarity decides.
+
+Defined results: a null or wordless text has an empty set and links with nothing; rows with a null ``doc_id`` take part
+and are returned with their set size and a null component; rows that repeat a ``doc_id`` each count; equal sets are
+linked, whatever their number; a text of any length is one set; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,17 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import discard, release, sized, small_batches, tidy, written
-from .linkage import link_components
+from .common import discard, private, release, sized, small_batches, tidy, written
+from .linkage import BITS, SKETCH, WORDS, link_components, xor_bits
 
 #: Most shingles that the global order treats as frequent: 16 bytes each when sent to the executors.
 FREQUENT = 1 << 16
 #: Shingles are counted in stretches of this many; one seen at least so often in a stretch counts as frequent there.
 STRETCH, OFTEN = 1 << 20, 8
 #: Up to so many keys or pairs of numbers (8 to 24 bytes each) are sent to the executors; more are joined by a shuffle.
-FEW_IDS = 1_000_000
-#: No light set is larger, whatever the costs say: beyond, the number of subsets explodes.
-LARGEST_LIGHT = 30
+FEW_IDS = 200_000
+#: Registers of the count of distinct shingles: a standard error of 1.6 %.
+REGISTERS = 1 << 12
 
 
 def overlap(n: int, m: int, percent: int) -> int:
@@ -58,44 +60,63 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def light_boundary(mean_list: float, percent: int) -> int:
-    best = 0
-    for n in range(1, LARGEST_LIGHT + 1):
-        if sum(math.comb(n, c) for c in subset_sizes(n, percent)) > prefix_length(n, percent) * (1 + mean_list):
-            break
-        best = n
-    return best
+    """The largest size up to which no set has more subsets to enumerate than rows to scan."""
+    n = 1
+    while sum(math.comb(n, c) for c in subset_sizes(n, percent)) <= prefix_length(n, percent) * (1 + mean_list):
+        n += 1
+    return n - 1
+
+
+def distinct_count(registers: np.ndarray) -> float:
+    """What a HyperLogLog sketch of ``REGISTERS`` registers estimates."""
+    m = REGISTERS
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / np.sum(np.exp2(-registers.astype(float)))
+    empty = int((registers == 0).sum())
+    return m * math.log(m / empty) if raw <= 2.5 * m and empty else float(raw)
+
+
+_SURVEY = f"kind int, row long, doc_id long, n long, cls long, {SKETCH}"
 
 
 def _survey(k: int):
-    """(doc_id, n, cls) of each row, and rows of frequent shingles: kind 0 a document, 1 a shingle, 2 totals."""
+    """(row, doc_id, n, cls, sketch) of each document; then rows of what is counted: kind 1 a frequent shingle, 2 a register."""
+
+    def counted(kind: int, n: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(n), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), none, none, pa.array(n), pa.array(cls), *[none] * WORDS], names)
+
+    names = ["kind", "row", "doc_id", "n", "cls", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
+        registers = np.zeros(REGISTERS, np.int64)
 
-        def stretch() -> tuple[list, list, list, list]:
+        def stretch() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
+            np.maximum.at(registers, (values % REGISTERS).astype(np.int64), 53 - np.frexp((values >> np.uint64(12)).astype(float))[1])
             often = counts >= OFTEN
-            v, c = values[often].view(np.int64).tolist(), counts[often].tolist()
-            return [1] * len(v) + [2], [None] * (len(v) + 1), [*c, int(counts.sum())], [*v, len(values)]
+            return counted(1, counts[often], values[often].view(np.int64))
 
         for batch in batches:
-            kind, ids, ns, cls = [], batch.column(0).to_pylist(), [], []
-            for text in batch.column(1).to_pylist():
+            ns, cls, bits = [], [], []
+            for text in batch.column(2).to_pylist():
                 s = shingles.shingle_set(text, k)
                 ns.append(len(s))
                 cls.append(shingles.digest(s) if len(s) else None)
+                bits.append(xor_bits(s))
                 held.append(s)
                 size += len(s)
-            kind = [0] * len(ids)
+            if ns:
+                bits = np.array(bits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(bits[:, w]) for w in range(WORDS))], names)
             if size >= STRETCH:
-                a, b, c, d = stretch()
-                kind, ids, ns, cls = kind + a, ids + b, ns + c, cls + d
+                yield stretch()
                 held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(cls, pa.int64())], ["kind", "doc_id", "n", "cls"])
         if size:
-            a, b, c, d = stretch()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], ["kind", "doc_id", "n", "cls"])
+            yield stretch()
+        used = np.flatnonzero(registers)
+        yield counted(2, registers[used], used)
         tidy()
 
     return run
@@ -152,9 +173,8 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [shingles.shingle_set(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
-            own = [shingles.digest(s.view(np.uint64)) if len(s) else None for s in got]
             grams = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in got])]).astype(np.int32), np.concatenate(got) if got else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), grams], ["id", "own", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), grams], ["id", "grams"])
         tidy()
 
     return run
@@ -164,70 +184,91 @@ def _sets(k: int):
 SALTS = 1024
 
 
-def verify_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, sim): Jaccard similarity of the arrays ``grams`` that ``sets`` (id, grams) has for a and b."""
+def verify_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose arrays ``grams`` in ``sets`` (id, grams) link, compared as whole numbers.
+
+    Pairs that name a class a meet its set by salts, and ``pairs`` holds few of each b: ``linkage`` asks for one first.
+    """
     salted = written(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))), "join-salted")
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")).join(sized(salted.select("a", "salt").distinct(), FEW_IDS), "a")
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")).join(sized(salted, FEW_IDS), "b")
     both = right.join(left, ["a", "salt"])
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("sim"))
+    shared = F.size(F.array_intersect("ga", "gb")).cast("long")
+    return both.select("a", "b", shared.alias("i"), (F.size("ga") + F.size("gb")).alias("s")).where(f"{100 + percent} * i >= {percent} * s").select("a", "b")
 
 
-def jaccard_join(documents: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (first of its component, or linked with nothing)."""
+def _classes(documents: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Written (row, doc_id, n, cls, comp) of each document; ``row`` hashes id and text; comp and cls null: an empty set."""
     spark = documents.sparkSession
     small_batches(spark)
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    surveyed = written(docs.mapInArrow(_survey(k), "kind int, doc_id long, n long, cls long"), "join-survey")
-    info = surveyed.where("kind = 0").select("doc_id", "n", "cls")
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
+    surveyed = written(docs.mapInArrow(_survey(k), _SURVEY), "join-survey")
+    info = surveyed.where("kind = 0 AND cls IS NOT NULL")
+    first = written(info.groupBy("cls").agg(F.min("row").alias("row"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS]), "join-first")
     often = surveyed.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(FREQUENT).collect()
-    total = surveyed.where("kind = 2").agg(F.sum("n"), F.sum("cls")).first()
     frequent = np.array([r["cls"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(frequent)
     counts = np.array([r["n"] for r in often], np.int64)
     sent = spark.sparkContext.broadcast((frequent[order], np.minimum(counts, 1 << 40)[order]))
-    boundary = light_boundary((total[0] or 0) / max(total[1] or 0, 1), percent)
-
-    known = docs.where("doc_id IS NOT NULL").select("text")
-    postings = written(known.mapInArrow(_postings(k, percent, boundary, sent), "key long, id long, n long"), "join-postings")
-    # A key that one class brought in twice, from two tasks, passes here too; the distinct below leaves it one member.
-    shared = written(postings.groupBy("key").count().where("count > 1").select("key"), "join-keys")
-    release(spark)
-    members = written(postings.join(sized(shared, FEW_IDS), "key").distinct(), "join-members")
-    discard(postings)
+    registers = np.zeros(REGISTERS, np.int64)
+    for r in surveyed.where("kind = 2").groupBy("cls").agg(F.max("n").alias("n")).collect():
+        registers[r["cls"]] = r["n"]
+    total = first.agg(F.sum("n")).first()[0] or 0
+    boundary = light_boundary(total / max(distinct_count(registers), 1.0), percent)
 
-    first = info.where("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    first = written(first, "join-first")
+    postings = written(docs.select("text").mapInArrow(_postings(k, percent, boundary, sent), "key long, id long, n long"), "join-postings")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Sets are made again from the texts, but only of the classes that a pair names."""
-        needed = pairs.select(F.col("a").alias("cls")).distinct().union(pairs.select("b").distinct()).distinct().join(first, "cls")
-        texts = docs.join(sized(written(needed, "join-needed"), FEW_IDS), "doc_id").select("cls", "text")
-        sets = texts.mapInArrow(_sets(k), "id long, own long, grams array<long>").where("id = own").select("id", "grams")  # a repeated row only repeats a pair
-        sets = written(sets, "join-sets")
-        sims = written(verify_sets(pairs, sets), "join-sims")
+        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first.select("cls", "row"), "cls")
+        texts = docs.join(sized(written(needed, "join-needed"), FEW_IDS), "row").select("cls", "text")
+        # A repeated row only repeats a pair.
+        sets = written(texts.mapInArrow(_sets(k), "id long, grams array<long>"), "join-sets")
+        linked = written(verify_sets(pairs, sets, percent), "join-linked")
         discard(sets)
-        return sims
+        return linked
 
-    sizes = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
     # The prefixes of two sets share at least this many elements, if neither is light and they link.
     lack = f"ceil({percent} * (a_n + b_n) / {100 + percent})"
     spare = [f"({x}_n - ceil({percent} * {x}_n / 100) + 1 - ({x}_n - {lack}))" for x in "ab"]
     enough = f"least(a_n, b_n) <= {boundary} OR common >= least({spare[0]}, {spare[1]})"
-    comp = link_components(members, verify, percent / 100, sizes, enough)
-    labelled = info.join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left")
-    # What has no class of its own (empty sets) or a null id is a component by itself.
-    alone = F.xxhash64("doc_id", F.lit(1))
-    labelled = labelled.withColumn("comp", F.when(F.col("cls").isNull() | F.col("doc_id").isNull(), alone).otherwise(F.coalesce("comp", F.xxhash64("cls"))))
-    labelled = written(labelled.select("doc_id", "n", "cls", "comp"), "join-labelled")
-    least = written(labelled.where("doc_id IS NOT NULL AND cls IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "join-components")
-    out = labelled.join(least, "comp", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    sketches = first.select(F.col("cls").alias("id"), "n", *BITS)
+    comp = link_components(postings, sketches, verify, percent / 100, sized_sets=True, enough=enough)
+    discard(postings)
+    labelled = surveyed.where("kind = 0").select("row", "doc_id", "n", "cls").join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left")
+    # Rows without a class need none of the joins; a class that links with no other is a component by itself.
+    return written(labelled.select("row", "doc_id", "n", "cls", F.when(F.col("cls").isNotNull(), F.coalesce("comp", F.xxhash64("cls"))).alias("comp")), "join-labelled")
+
+
+def row_key(doc_id: str, text: str):
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
+def jaccard_join(documents: DataFrame, k: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept (first of its component, or linked with nothing)."""
+    labelled = _classes(documents, k, percent, doc_id, text)
+    least = written(labelled.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "join-components")
+    # Documents without a component get keys of their own, so that they do not meet in one task of the join.
+    out = labelled.withColumn("comp", F.coalesce("comp", F.xxhash64("row", F.lit(1)))).join(least, "comp", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(documents: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``documents`` with one document of each component, the one with the least ``doc_id``; all columns as they are."""
-    gone = written(jaccard_join(documents, k, percent, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    return documents.join(sized(gone, FEW_IDS), documents[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    """``documents`` with one row of each component, all columns as they are, whatever their names.
+
+    The row with the least ``doc_id`` stays; null ids come last, rows with one id go by a hash of their text, and of rows
+    equal in both one stays. Documents without words stay.
+    """
+    labelled = _classes(documents, k, percent, doc_id, text).where("comp IS NOT NULL")
+    best = labelled.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("m"), F.count("*").alias("n")).where("n > 1")
+    best = written(best.select("comp", F.col("m.row").alias("stays")), "join-best")
+    fate = written(labelled.join(best, "comp").groupBy("row", "stays").agg(F.count("*").alias("n")), "join-fate")
+    (mark,) = private(documents, "row_key")
+    gone = written(fate.where("row <> stays").select(F.col("row").alias(mark)).distinct(), "join-gone")
+    again = written(fate.where("row = stays AND n > 1").select(F.col("row").alias(mark)).distinct(), "join-again")
+    left = documents.withColumn(mark, row_key(doc_id, text)).join(sized(gone, FEW_IDS), mark, "left_anti")
+    if not again.isEmpty():
+        again = sized(again, FEW_IDS)
+        left = left.join(again, mark, "left_anti").unionByName(left.join(again, mark, "left_semi").dropDuplicates([mark]))
+    return left.select(*documents.columns)

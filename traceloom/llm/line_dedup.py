@@ -2,16 +2,15 @@
 
 1. Every non-blank line gets the set of its character shingles and a one-permutation MinHash signature, densified so
    that empty bins borrow from full ones. Lines are reduced to a 64-bit hash, so equal lines are one item from here on.
-2. Bands of the signature bring lines together in families; texts are fetched only for lines that meet another one,
-   and the Jaccard similarity of their whole shingle sets decides (``families``, which compares block by block and
-   never makes rows of pairs). Shingles are compared by 64-bit hashes.
+2. Bands of the signature bring lines together; ``linkage`` rules out pairs by a bitmap sketch of their shingles, which
+   loses none, and the Jaccard similarity of the shingle sets of the texts, fetched only for pairs left, decides.
 3. Distributed union-find joins linked lines; of each component the first line, by (doc_id, row, position), stays.
 
 Blank lines are layout: they never count as duplicates and stay where any line of their document stays.
 
-Defined results: a null text counts as empty; rows equal in ``doc_id`` and text are one document and lose the same
-lines; rows with a null ``doc_id`` come first; lines shorter than a shingle are one shingle; an empty table gives no rows; other columns
-(also ones with clashing names) pass through.
+Defined results: a null text counts as empty; of rows equal in ``doc_id`` and text one keeps its lines and the others
+lose all; rows with a null ``doc_id`` come first; lines shorter than a shingle are one shingle; a line of any length is
+compared whole; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, small_batches, tidy, written
-from .families import link_families
+from .common import private, sized, small_batches, tidy, written
+from .linkage import BITS, WORDS, link_components, or_bits
 from .shingles import mix, powers
 
 _U = np.uint64
-#: Characters in a shingle; bins of the signature; bins in a band: 8 bands of 4.
-WIDTH, BINS, BAND = 5, 32, 4
+#: Characters in a shingle; bins of the signature; bands and the bins in each. Lines at a similarity of 0.8 share a band
+#: with a probability of 0.991. Unrelated lines of one language are at 0.03 to 0.13, so that bands of fewer bins bring
+#: together ever more of them the more lines there are.
+WIDTH, BINS, BANDS, BAND = 5, 64, 12, 5
 _RNG = np.random.Generator(np.random.PCG64(977))
 _LOW = _RNG.integers(1, 2**63, 1 << 16, dtype=np.uint64)
 _HIGH = _RNG.integers(1, 2**63, 1 << 5, dtype=np.uint64)
@@ -74,17 +75,20 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One-permutation MinHash of each line, densified: (lines, BINS)."""
     lines = len(first) - 1
     owner = np.repeat(np.arange(lines), np.diff(first))
-    cell = owner * BINS + (h >> _U(59)).astype(np.int64)
+    cell = owner * BINS + (h >> _U(58)).astype(np.int64)
     empty = _U(2**64 - 1)
     sig = np.full(lines * BINS, empty)
     np.minimum.at(sig, cell, h)
     sig = sig.reshape(lines, BINS)
     out = sig.copy()
+    left = np.flatnonzero((out == empty).any(axis=1))
     for ask in _ASK:
-        gaps = out == empty
-        if not gaps.any():
+        if not len(left):
             return out
-        out = np.where(gaps, sig[:, ask], out)
+        part = out[left]
+        part = np.where(part == empty, sig[left][:, ask], part)
+        out[left] = part
+        left = left[(part == empty).any(axis=1)]
     for line, bin_ in zip(*np.nonzero(out == empty), strict=True):  # after 256 attempts hardly ever
         full = np.flatnonzero(sig[line] != empty)
         out[line, bin_] = sig[line, full[(full > bin_).argmax()]]
@@ -110,8 +114,9 @@ def _spans(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
+    names = ["row", "place", "line", "bands", "n", *BITS]
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
         for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             code = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
             start, end, place = _spans(code)
@@ -121,11 +126,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0].append(np.full(len(start), row, np.int64))
             out[1].append(place)
             out[2].append(lines.view(np.int64))
-            # Bands only for a line's first occurrence in this task, a stretch of lines at a time.
+            # Bands and sketch only for a line's first occurrence in this task, a stretch of lines at a time.
             new = [k for k, x in enumerate(lines.tolist()) if x not in seen and not seen.add(x)]
             if len(seen) > 1 << 19:
                 seen.clear()
-            bands = np.zeros((len(start), BINS // BAND), np.uint64)
+            bands = np.zeros((len(start), BANDS), np.uint64)
+            bits, size_of = np.zeros((len(start), WORDS), np.int64), np.zeros(len(start), np.int64)
             held = np.zeros(len(start), bool)
             at = 0
             while at < len(new):
@@ -134,18 +140,22 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size += end[new[upto]] - start[new[upto]]
                     upto += 1
                 k = np.array(new[at:upto])
-                sig = signatures(*_shingles(code, start[k], end[k], lines[k]))
-                for b in range(BINS // BAND):
+                h, first = _shingles(code, start[k], end[k], lines[k])
+                sig = signatures(h, first)
+                size_of[k] = np.diff(first)
+                bits[k] = or_bits(h, np.repeat(np.arange(len(k)), size_of[k]), len(k))
+                for b in range(BANDS):
                     bands[k, b] = mix((sig[:, b * BAND : (b + 1) * BAND] * _BAND).sum(axis=1, dtype=np.uint64) + _U(b))
                 held[k] = True
                 at = upto
-            out[3].append(bands)
-            out[4].append(held)
+            for x, y in zip(out[3:], (bands, held, size_of, bits), strict=True):
+                x.append(y)
         if out[0]:
-            bands, held = np.concatenate(out[3]), np.concatenate(out[4])
+            bands, held, size_of, bits = map(np.concatenate, out[3:])
             offsets = np.concatenate([[0], np.cumsum(held * bands.shape[1])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(offsets, bands[held].reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:3]), keys], ["row", "place", "line", "bands"])
+            sketch = [pa.array(x, mask=~held) for x in (size_of, *bits.T)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:3]), keys, *sketch], names)
     seen.clear()
     tidy()
 
@@ -171,37 +181,50 @@ def jaccard(a: str, b: str) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Distinct hashes of the shingles of one line."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    if len(code) < WIDTH:
-        return mix(line_hash(code, np.array([0]), np.array([len(code)])))
-    return np.unique(_windows(code))
+def _linked(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            near = pa.array([jaccard(x, y) >= threshold - 1e-12 for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(near)
+        tidy()
+
+    return run
+
+
+#: Rows with their lines' places that are sent to all executors at most, and places in all; more are joined by a shuffle.
+FEW_ROWS, FEW_PLACES = 200_000, 1_000_000
 
 
-#: Shared bands (8 bytes each) and rows with their lines' places (some dozens of bytes) that are sent to all executors
-#: at most; more are joined by a shuffle.
-FEW_KEYS, FEW_ROWS = 1_000_000, 200_000
+def few_places(lists: DataFrame, places: str) -> DataFrame:
+    """``lists``, marked for broadcast if its rows and the places that they hold are counted to be few."""
+    rows, held = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(places)), F.lit(0))).first()
+    return F.broadcast(lists) if rows <= FEW_ROWS and held <= FEW_PLACES else lists
 
 
 def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(row, place, line, comp, first) of every non-blank line of ``rows`` (doc_id, row, text); ``first``: it stays."""
+    """(row, place, line, comp, first) of the lines of ``rows`` (doc_id, row, text) that have duplicates; ``first``: it stays."""
     small_batches(rows.sparkSession)
-    signed = written(rows.select("doc_id", "row", "text").mapInArrow(_signed, "row long, place long, line long, bands array<long>"), "lines-signed")
-    bands = signed.select("line", F.explode("bands").alias("key"))
-    shared = written(bands.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("key"), "lines-keys")
-    members = written(bands.join(sized(shared, FEW_KEYS), "key").select("key", F.col("line").alias("id")).distinct(), "lines-members")
+    sketch = "n long, " + ", ".join(f"{b} long" for b in BITS)
+    signed = written(rows.select("doc_id", "row", "text").mapInArrow(_signed, f"row long, place long, line long, bands array<long>, {sketch}"), "lines-signed")
+    new = signed.where("n IS NOT NULL")
+    members = new.select(F.explode("bands").alias("key"), F.col("line").alias("id"), "n")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """The text of one occurrence of each line, written."""
         needed = ids.select(F.col("id").alias("line"))
-        where = written(signed.select("line", "row", "place").join(needed, "line").groupBy("line").agg(F.min("row").alias("row")), "lines-where")
-        spots = signed.select("line", "row", "place").join(where, ["line", "row"]).groupBy("row", "line").agg(F.min("place").alias("place"))
+        where = new.select("line", "row", "place").join(needed, "line").groupBy("line").agg(F.min("row").alias("row"))
+        spots = new.select("line", "row", "place").join(written(where, "lines-where"), ["line", "row"]).groupBy("row", "line").agg(F.min("place").alias("place"))
         wanted = written(spots.groupBy("row").agg(F.collect_list(F.struct("place", "line")).alias("w")), "lines-wanted")
-        found = rows.select("row", "text").join(sized(wanted, FEW_ROWS), "row").select("text", F.col("w.place").alias("p"), F.col("w.line").alias("l"))
+        found = rows.select("row", "text").join(few_places(wanted, "w"), "row").select("text", F.col("w.place").alias("p"), F.col("w.line").alias("l"))
         return written(found.mapInArrow(_texts, "id long, payload string"), "lines-texts")
 
-    comp = link_families(members, texts_of, shingle_set, threshold)
+    def verify(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("payload").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("payload").alias("tb")), "b")
+        return written(both.select("a", "b", "ta", "tb").mapInArrow(_linked(threshold), "a long, b long"), "lines-linked")
+
+    comp = link_components(members, new.select(F.col("line").alias("id"), "n", *BITS), verify, threshold)
     # A line's order is that of its document, then of its row and place; document ids come in by row.
     lines = signed.select("row", "place", "line").join(comp.select(F.col("id").alias("line"), "comp"), "line", "left")
     lines = lines.withColumn("comp", F.coalesce("comp", F.xxhash64("line"))).join(written(rows.select("row", "doc_id"), "lines-rows"), "row")
@@ -232,15 +255,30 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text", "n_lines", "n_kept"])
 
 
+def _gone(documents: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Written (row, gone), the places that a row loses, and (row, n) of the rows that are there n > 1 times."""
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
+    gone = duplicate_lines(rows, threshold).where("NOT first").groupBy("row").agg(F.collect_set("place").alias("gone"))
+    again = rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
+    return written(gone, "lines-gone"), written(again, "lines-again")
+
+
 def dedup_lines(documents: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, doc_id, text, n_lines, n_kept): each document without the lines that repeat an earlier one.
 
     ``row`` is a hash of id and text, which ties the result to its source row.
     """
+    gone, again = _gone(documents, doc_id, text, threshold)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
-    gone = duplicate_lines(rows, threshold).where("NOT first").groupBy("row").agg(F.collect_list("place").alias("_gone"))
-    joined = rows.join(sized(written(gone, "lines-gone"), FEW_ROWS), "row", "left").select("row", "doc_id", "text", "_gone")
-    return joined.mapInArrow(_without, "row long, doc_id long, text string, n_lines long, n_kept long")
+    joined = rows.join(few_places(gone, "gone"), "row", "left").select("row", "doc_id", "text", "gone")
+    out = joined.mapInArrow(_without, "row long, doc_id long, text string, n_lines long, n_kept long")
+    if again.isEmpty():
+        return out
+    # Of equal rows one keeps its lines; the others are told by their number alone.
+    first = out.join(sized(again, FEW_ROWS), "row").dropDuplicates(["row"]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    own = F.col("nth") == 1
+    first = first.select("row", "doc_id", F.when(own, F.col("text")).otherwise("").alias("text"), "n_lines", F.when(own, F.col("n_kept")).otherwise(0).alias("n_kept"))
+    return out.join(sized(again, FEW_ROWS), "row", "left_anti").unionByName(first)
 
 
 def row_key(doc_id: str, text: str):
@@ -273,13 +311,20 @@ def _cut(text_at: int, chars_at: int | None, gone_at: int, keep: list[int]):
 def drop_repeated_lines(documents: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``documents`` with the lines removed that repeat an earlier one, and ``n_chars`` counted anew.
 
-    A document that loses all its lines goes; one that never had a non-blank line stays as it is.
+    A document that loses all its lines goes, and so do all but one of rows that are equal in id and text; one that never
+    had a non-blank line stays as it is.
     """
-    small_batches(documents.sparkSession)
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
-    gone = duplicate_lines(rows, threshold).where("NOT first").groupBy("row").agg(F.collect_list("place").alias("_gone")).withColumnRenamed("row", "_row")
-    own = documents.withColumn("_row", F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
-    joined = own.join(sized(written(gone, "lines-gone"), FEW_ROWS), "_row", "left").select(*documents.columns, "_gone")
+    gone, again = _gone(documents, doc_id, text, threshold)
     names = documents.columns
+    mark, places = private(documents, "row_key", "gone")
+    own = documents.withColumn(mark, row_key(doc_id, text))
+    if not again.isEmpty():
+        again = sized(again.select(F.col("row").alias(mark)), FEW_ROWS)
+        # Of equal rows one stays; those without any line stay all.
+        wordless = own.join(again, mark, "left_semi").where(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+        once = own.join(again, mark, "left_semi").where(F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).dropDuplicates([mark])
+        own = own.join(again, mark, "left_anti").unionByName(once).unionByName(wordless)
+    lists = gone.select(F.col("row").alias(mark), F.col("gone").alias(places))
+    joined = own.join(few_places(lists, places), mark, "left").select(*names, places)
     chars = names.index(n_chars) if n_chars in names else None
     return joined.mapInArrow(_cut(names.index(text), chars, len(names), list(range(len(names)))), documents.schema)

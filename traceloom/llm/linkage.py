@@ -1,109 +1,212 @@
 """Components of a similarity graph from buckets, without listing all pairs of a large bucket.
 
-Given memberships (key, id) such that any two ids that link share a key, ``link_components`` returns the components
-of the graph of links. Similarity must be one minus a metric (Jaccard is), because pairs are excluded by the triangle
-inequality. Buckets of at most ``SMALL_BUCKET`` members compare all their compatible pairs at once. A larger bucket
-compares some pivots with those of its members that are not yet in the pivot's component; linked members join that
-component at once, so a bucket of n alike members costs about n comparisons. Buckets that still hold several
-components get more pivots in the next round, up to all their members: nothing is capped, and what is never compared
-is either already connected or provably unlinked.
+Given memberships (key, id, n) such that any two ids that link share a key, ``link_components`` returns the components
+of the graph of links. Every id has a sketch, a bitmap of ``WORDS`` longs that bounds similarity from above: two sets
+differ in at least as many elements as their bitmaps in bits (``or_bits`` sets a bit per element, ``xor_bits`` flips
+it; neither loses a link). What a sketch rules out is never looked at again.
+
+* Buckets of at most ``SMALL_BUCKET`` members pair their members within the bucket; sketches and the number of shared
+  keys rule pairs out; of the others each id verifies one, and the rest only where its ends are still apart.
+* A larger bucket first compares its most central member with the others. What is then still outside the bucket's main
+  component is compared with the whole bucket, by sketches, block by block inside tasks: no pair becomes a row unless
+  its sketches pass. First each task sends only a forest of such pairs, then all pairs whose ends are still apart.
+
+Nothing is capped: what is never verified is either already connected or provably unlinked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, tidy, written
 from .graph import components
 
-#: Buckets of at most this many members compare all pairs in the first round: a bound on the rows made per member.
+#: Buckets of at most this many members pair them by a join: a bound on the rows made per member.
 SMALL_BUCKET = 24
-#: Growth of the number of pivots per round in larger buckets.
-PIVOT_GROWTH = 24
+#: Members in a part of what is outside, and in a block of the bucket, that one task compares.
+PART, BLOCK = 512, 2048
+#: Longs in a sketch.
+WORDS = 8
+BITS = [f"s{i}" for i in range(WORDS)]
+SKETCH = ", ".join(f"{b} long" for b in BITS)
+#: Large buckets (24 bytes each) that are sent to all executors; more are joined by a shuffle.
+FEW_KEYS = 1_000_000
+
+
+def or_bits(h: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, WORDS) sketches of sets that may name an element repeatedly: elements ``h`` belong to the sets ``owner``."""
+    cells = np.zeros(rows * WORDS * 64, bool)
+    cells[owner * (WORDS * 64) + (h & np.uint64(WORDS * 64 - 1)).astype(np.int64)] = True
+    return np.packbits(cells).view(np.int64).reshape(rows, WORDS)
+
+
+def xor_bits(h: np.ndarray) -> np.ndarray:
+    """The sketch of one set of distinct elements."""
+    counts = np.bincount((h & np.uint64(WORDS * 64 - 1)).astype(np.int64), minlength=WORDS * 64)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64)
+
+
+def _near(p: np.ndarray, q: np.ndarray, p_n: np.ndarray, q_n: np.ndarray, slack: float, ratio: float) -> np.ndarray:
+    """Boolean (p, q): pairs that sketches, and sizes further apart than ``ratio``, do not rule out."""
+    out = np.zeros((len(p), len(q)), bool)
+    for at in range(0, len(p), 64):
+        differ = np.zeros((len(p[at : at + 64]), len(q)), np.int32)
+        for w in range(WORDS):
+            differ += np.bitwise_count(p[at : at + 64, None, w] ^ q[None, :, w])
+        a, b = p_n[at : at + 64, None], q_n[None, :]
+        out[at : at + 64] = (differ <= slack * (a + b) + 1e-6) & (np.minimum(a, b) >= ratio * np.maximum(a, b) - 1e-6)
+    return out
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of the pairs (a, b) that a spanning forest takes, first come first taken."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    taken = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[x] = y
+            taken.append(i)
+    return np.array(taken, np.int64)
+
+
+def _compare(slack: float, ratio: float, forest: bool):
+    """Over rows (task, block, id, comp, n, sketch) sorted by task: near pairs of a task's part and block that are apart."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, []
 
-def link_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, compatible: str = "true", enough: str | None = None) -> DataFrame:
+        def pairs() -> pa.RecordBatch | None:
+            if not held:
+                return None
+            rows = np.concatenate(held, axis=1)
+            inside = rows[1] == 1
+            p, q = rows[:, ~inside], rows[:, inside]
+            if not p.size or not q.size:
+                return None
+            near = _near(p[5:].T, q[5:].T, p[4], q[4], slack, ratio) & (p[3][:, None] != q[3][None, :])
+            i, j = np.nonzero(near)
+            if not len(i):
+                return None
+            if forest:
+                _, one = np.unique(np.stack([p[3][i], q[3][j]]), axis=1, return_index=True)
+                i, j = i[one], j[one]
+                taken = _forest(p[3][i], q[3][j])
+                i, j = i[taken], j[taken]
+            a, b = p[2][i], q[2][j]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            cuts = np.flatnonzero(np.diff(rows[0])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, rows.shape[1]], strict=True):
+                if lo == hi:
+                    continue
+                if rows[0, lo] != task:
+                    if (out := pairs()) is not None:
+                        yield out
+                    task, held = rows[0, lo], []
+                held.append(rows[:, lo:hi].copy())
+        if (out := pairs()) is not None:
+            yield out
+        held = []
+        tidy()
+
+    return run
+
+
+def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, sized_sets: bool = False, enough: str | None = None) -> DataFrame:
     """(id, comp) of the ids that link with another one.
 
-    ``members``: (key, id, n) distinct, n an attribute of the id for ``compatible``, an SQL condition over a_n and b_n
-    that links imply. ``verify``: (a, b) -> (a, b, sim). ``enough``: a further such condition, which may also use
-    ``common``, the number of keys that both have.
+    ``members``: (key, id, n), rows may repeat. ``sketches``: (id, n, BITS). n is at least the size of the id's set, and
+    the size itself if ``sized_sets``, so that sizes rule pairs out, too. ``verify``: (a, b) -> written (a, b) of those
+    that link. ``enough``: a condition that links imply over a_n, b_n and ``common``, a bound on the keys both have.
     """
-    slack = 1.0 - threshold + 1e-9
-    sizes = written(members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "link-sizes")
-    held = written(members.join(sizes, "key"), "link-members")
-
-    fits = lambda a, b: F.expr(compatible.replace("a_n", a).replace("b_n", b))
-    few = held.where(F.col("size") <= SMALL_BUCKET).select("key", "id", "n")
+    slack, ratio = (1.0 - threshold) / (1.0 + threshold), threshold if sized_sets else 0.0
+    fits = lambda a, b: F.least(a, b) >= F.lit(ratio) * F.greatest(a, b) - 1e-6
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    held = written(members.join(shared, "key").distinct(), "link-members")
+    large_keys = written(held.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET), "link-large-keys")
+    large_keys = sized(large_keys, FEW_KEYS)
+    few = held.join(large_keys.select("key"), "key", "left_anti")
     x, y = few.alias("x"), few.alias("y")
     within = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & fits("x.n", "y.n"))
     within = within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"))
-    # The first pivot of a large bucket is its most central member, the one that shares most places in such buckets:
-    # of copies with various edits that is most likely what they were copied from.
-    large = held.where(F.col("size") > SMALL_BUCKET)
-    weight = written(large.groupBy("id").agg(F.sum("size").alias("weight")), "link-weights")
-    central = large.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id", "n")).alias("p"))
+    large = written(held.join(large_keys, "key"), "link-large")
+    many = written(large.groupBy("id").agg(F.count("*").alias("large"), F.sum("size").alias("weight")), "link-weights")
+    needed = held.groupBy("id").agg(F.count("*").alias("places")).drop("places")
+    sketch = sketches.join(needed, "id").dropDuplicates(["id"]).join(many.select("id", "large"), "id", "left")
+    sketch = written(sketch.select("id", F.col("n").alias("of"), F.coalesce("large", F.lit(0)).alias("large"), *BITS), "link-sketches")
+
+    def plausible(pairs: DataFrame, counted: bool) -> DataFrame:
+        """Distinct (a, b) of ``pairs`` (a, b, a_n, b_n) that neither sketches nor, if they are ``counted``, shared keys rule out."""
+        out = pairs.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.count("*").alias("common"))
+        for end in ("a", "b"):
+            out = out.join(sketch.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("of", "large", *BITS)]), end)
+        differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in BITS), F.lit(0))
+        out = out.where(differ <= F.lit(slack) * (F.col("a_of") + F.col("b_of")) + 1e-6)
+        if counted and enough is not None:
+            out = out.withColumn("common", F.col("common") + F.least("a_large", "b_large")).where(enough)
+        return out.select("a", "b")
+
+    none = members.sparkSession.createDataFrame([], "a long, b long")
+
+    def settled(pairs: DataFrame, links: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Links and components with ``pairs`` decided: one pair of each b first, then those that are still apart."""
+        first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "link-first")
+        if first.isEmpty():
+            return links, comp if comp is not None else components(links)
+        links = written(links.unionByName(verify(first)), "link-found")
+        comp = components(links)
+        left = pairs.join(first, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            left = left.join(comp.select(F.col("id").alias(end), F.col("comp").alias(f"{end}_comp")), end, "left")
+        left = written(left.where("NOT (a_comp <=> b_comp) OR a_comp IS NULL").select("a", "b"), "link-apart")
+        if not left.isEmpty():
+            links = written(links.unionByName(verify(left)), "link-found")
+            comp = components(links)
+        return links, comp
+
+    # The member that shares most places in large buckets: of copies with various edits most likely their source.
+    central = large.join(many, "id").groupBy("key").agg(F.max(F.struct("weight", "id", "n")).alias("p"))
     central = written(central.select("key", F.col("p.id").alias("first"), F.col("p.n").alias("first_n")), "link-central")
-    active = written(large.join(central, "key"), "link-active")
-    star = active.where(F.col("id") != F.col("first")).where(fits("first_n", "n"))
-    star = star.select("id", "first", "n", "first_n")
+    star = large.join(sized(central, FEW_KEYS), "key").where(F.col("id") != F.col("first")).where(fits("first_n", "n"))
     swap = F.col("first") > F.col("id")
     star = star.select(*[F.when(swap, F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("id", "first", "a"), ("first", "id", "b"), ("n", "first_n", "a_n"), ("first_n", "n", "b_n"))])
-    keys_of = written(held.groupBy("id").agg(F.collect_list("key").alias("keys")), "link-keys") if enough else None
+    tested = written(plausible(within, True).union(plausible(star, False)).distinct(), "link-tested")
+    links, comp = settled(tested, none, None)
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b) of ``pairs`` (a, b, a_n, b_n) that share enough keys to link: far cheaper than verifying them."""
-        pairs = written(pairs.distinct(), "link-pairs")
-        if enough is None:
-            return pairs.select("a", "b")
-        for end in ("a", "b"):
-            pairs = pairs.join(keys_of.select(F.col("id").alias(end), F.col("keys").alias(f"{end}_keys")), end)
-        common = F.size(F.array_intersect("a_keys", "b_keys"))
-        return written(pairs.withColumn("common", common).where(enough).select("a", "b"), "link-plausible")
-
-    pairs = plausible(within.union(star))
-    sims = written(verify(pairs), "link-sims")
-    found = [sims.where(F.col("sim") >= threshold).select("a", "b")]
-    comp = components(found[0])
-    known = sims
-    pivots = 1
-    while not active.isEmpty():
-        pivots *= PIVOT_GROWTH
-        labelled = active.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", F.xxhash64("id")))
-        labelled = written(labelled, "link-labelled")
-        open_keys = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        # The distance of each member to the bucket's first one is known where it was compared.
-        held = labelled.join(written(open_keys, "link-open"), "key")
-        ends = sims.select(F.col("a").alias("first"), F.col("b").alias("id"), "sim").union(sims.select("b", "a", "sim"))
-        held = held.join(ends, ["first", "id"], "left")
-        held = held.withColumn("sim", F.when(F.col("id") == F.col("first"), F.lit(1.0)).otherwise(F.col("sim")))
-        held = written(held.select("key", "id", "n", "comp", "size", "sim"), "link-held")
-        if held.isEmpty():
-            break
-        share = F.when(F.col("size") <= pivots, F.lit(1.0)).otherwise(F.lit(float(pivots)) / F.col("size"))
-        unit = F.pmod(F.xxhash64("key", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = written(held.where(unit < share), "link-pivots")
-        x, y = chosen.alias("x"), held.alias("y")
-        apart = (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n")
-        possible = F.coalesce(F.abs(F.col("x.sim") - F.col("y.sim")) <= slack, F.lit(True))
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & possible)
-        less = F.col("x.id") < F.col("y.id")
-        one = lambda c, d: F.when(less, F.col(c)).otherwise(F.col(d))
-        pairs = pairs.select(one("x.id", "y.id").alias("a"), one("y.id", "x.id").alias("b"), one("x.n", "y.n").alias("a_n"), one("y.n", "x.n").alias("b_n"))
-        pairs = written(plausible(pairs).join(known.select("a", "b"), ["a", "b"], "left_anti"), "link-pairs")
-        full = held.where(F.col("size") > pivots).isEmpty()
-        if not pairs.isEmpty():
-            new = written(verify(pairs), "link-sims")
-            known = known.select("a", "b", "sim").unionByName(new.select("a", "b", "sim"))
-            found.append(new.where(F.col("sim") >= threshold).select("a", "b"))
-            edges = found[0]
-            for f in found[1:]:
-                edges = edges.union(f)
-            comp = components(edges)
-        if full:
-            break
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for forest in (True, False):
+        labelled = large.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", F.xxhash64("id")))
+        labelled = written(labelled.join(sketch.drop("large"), "id"), "link-labelled")
+        counted = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        state = counted.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).where("size > m.n")
+        state = state.select("key", F.col("m.comp").alias("main"), F.ceil((F.col("size") - F.col("m.n")) / PART).cast("int").alias("parts"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        state = written(state, "link-open")
+        if state.isEmpty():
+            return comp
+        open_ = labelled.drop("size").join(sized(state, FEW_KEYS), "key")
+        deal = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(k)).cast("int")
+        part, block = deal(1, "parts"), deal(2, "blocks")
+        outside = open_.where("comp <> main").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        every = open_.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = [df.select(F.xxhash64("key", "part", "block").alias("task"), F.lit(side).cast("long").alias("side"), "id", "comp", F.col("of").cast("long").alias("of"), *BITS) for df, side in ((outside, 0), (every, 1))]
+        dealt = rows[0].union(rows[1]).repartition(n, "task").sortWithinPartitions("task")
+        found = dealt.mapInArrow(_compare(slack, ratio, forest), "a long, b long").distinct()
+        found = written(found.join(tested, ["a", "b"], "left_anti"), "link-near")
+        if not found.isEmpty():
+            tested = written(tested.union(found), "link-tested")
+            links, comp = settled(found, links, comp)
     return comp
-
