@@ -86,3 +86,11 @@ def test_with_equivalence_keeps_rows(spark):
     got = equivalence.with_equivalence(spark.createDataFrame(rows, "a string, b string"), "a", "b").collect()
     assert sorted(r.is_equiv for r in got) == [False, False, True, True, True]
     assert math.isclose(equivalence.values("\\pi")[0], math.pi)
+
+
+def test_braced_answers_are_stripped_and_text_unwraps_at_any_depth(spark):
+    for raw, want in (("\\boxed{ 17 }", "17"), ("\\boxed{ \\frac{1}{2}\n}.", "\\frac{1}{2}"), ("\\boxed{ 5", "5"), ("\\boxed{ }", "")):
+        assert one(spark, text.extract_answer("t"), t=raw) == want
+    assert one(spark, text.unwrap_text("t"), t="\\text{" * 6 + "x" + "}" * 6) == "x"
+    assert one(spark, text.unwrap_text("t"), t="\\text{a \\text{b} c \\text{d} e} f") == "a b c d e f"
+    assert one(spark, text.unwrap_text("t"), t="}}") == "}}"

@@ -36,6 +36,27 @@ def test_pickles_that_load_code_are_refused():
         readers._Plain(io.BytesIO(pickle.dumps(Evil()))).load()
 
 
+def test_result_documents_with_numpy_numbers_batches_and_single_traces(spark, tmp_path):
+    import numpy as np
+
+    trace = {"text": "t", "num_tokens": np.int64(2), "confs": [np.float64(1.5), np.float32(2.0)], "min_conf": np.float64(0.5), "extracted_answer": "5", "is_correct": np.bool_(True)}
+    (tmp_path / "qid3_batch02.pkl").write_bytes(pickle.dumps([trace, trace]))
+    one = tmp_path / "qid4_rid0"
+    one.mkdir()
+    (one / "trace_0007.pkl").write_bytes(pickle.dumps(trace))
+    (tmp_path / "x_qid5_rid1_20250101_000000.pkl").write_bytes(pickle.dumps({"ground_truth": "5", "conf_bar": np.float64(12.5), "warmup_traces": [trace], "final_traces": []}))
+    rows = readers.result_documents(spark, str(tmp_path)).select("question_id", "phase", "batch", "trace_idx", "conf_bar", "confs", "min_conf", "num_tokens", "is_correct").collect()
+    want = [(3, "all", 2, 0, None), (3, "all", 2, 1, None), (4, "all", None, 7, None), (5, "warmup", None, 0, 12.5)]
+    assert sorted((tuple(r)[:5] for r in rows), key=str) == sorted(want, key=str)
+    assert {(tuple(r.confs), r.min_conf, r.num_tokens, r.is_correct) for r in rows} == {((1.5, 2.0), 0.5, 2, True)}
+
+
+def test_blank_lines_with_carriage_returns_are_no_questions(spark, tmp_path):
+    p = tmp_path / "q.jsonl"
+    p.write_bytes(b'{"question": "a?", "answer": "1"}\r\n\t\r\n{"question": "b?", "answer": "2"}\r\n')
+    assert [r.question_id for r in readers.questions(spark, str(p)).orderBy("question_id").collect()] == [0, 2]
+
+
 def test_batch_records(spark, tmp_path):
     def record(key, *content):
         return {"recordId": key, "modelOutput": {"stopReason": "end_turn", "output": {"message": {"content": list(content)}}}}

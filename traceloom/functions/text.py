@@ -18,7 +18,8 @@ def strip(c: Column | str) -> Column:
 def extract_answer(text: Column | str) -> Column:
     """The content after the last ``boxed``: balanced braces, else up to the first ``$``; null without ``boxed``.
 
-    An unbalanced brace runs to the end; nothing after ``boxed`` gives an empty string.
+    An unbalanced brace runs to the end; nothing after ``boxed`` gives an empty string. White space around the content
+    is dropped in either form.
     """
     t = _col(text)
     tail = F.element_at(F.split(t, "boxed"), -1)
@@ -36,7 +37,7 @@ def extract_answer(text: Column | str) -> Column:
     )
     braced = F.when(state["end"] < 0, F.substring(tail, 2, 1 << 30)).otherwise(F.substring(tail, F.lit(2), state["end"] - 1))
     plain = strip(F.element_at(F.split(tail, r"\$"), 1))
-    return F.when(~t.contains("boxed"), F.lit(None)).when(tail == "", F.lit("")).when(tail.startswith("{"), braced).otherwise(plain)
+    return F.when(~t.contains("boxed"), F.lit(None)).when(tail == "", F.lit("")).when(tail.startswith("{"), strip(braced)).otherwise(plain)
 
 
 def extract_simple_answer(text: Column | str) -> Column:
@@ -44,12 +45,13 @@ def extract_simple_answer(text: Column | str) -> Column:
     return F.nullif(F.regexp_extract(_col(text), r"(?s)^.*boxed\{([^{}]*)\}", 1), F.lit(""))
 
 
-def unwrap_text(answer: Column | str, depth: int = 3) -> Column:
-    r"""Each ``\text{...}`` replaced by its content, innermost last; an unclosed one is left alone."""
-    out = _col(answer)
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\\text\{([^}]*)\}", "$1")
-    return out
+def unwrap_text(answer: Column | str) -> Column:
+    r"""Each ``\text{...}`` replaced by its content, however deep; an unclosed one is left alone."""
+    a = _col(answer)
+    # Every step removes the first one together with a closing brace, so there are at most as many steps as such braces.
+    steps = F.sequence(F.lit(1), F.greatest(F.regexp_count(a, F.lit(r"\}")), F.lit(1)))
+    unwrapped = F.aggregate(steps, a, lambda s, _: F.regexp_replace(s, r"(?s)^(.*?)\\text\{([^}]*)\}", "$1$2"))
+    return F.when(a.contains("\\text{"), unwrapped).otherwise(a)
 
 
 def normalize_answer(answer: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import pickle
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     """question_id (0-based line number), question, ground_truth. Blank lines are skipped but keep their number."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("question_id", "line"))
     row = F.from_json("line", schemas.QUESTIONS)
-    return lines.where(F.trim("line") != "").select("question_id", row.alias("q")).select("question_id", "q.question", F.col("q.answer").alias("ground_truth"))
+    return lines.where(text.strip("line") != "").select("question_id", row.alias("q")).select("question_id", "q.question", F.col("q.answer").alias("ground_truth"))
 
 
 def thresholds(spark: SparkSession, by_question: dict[int, float]) -> DataFrame:
@@ -30,13 +31,44 @@ def traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TRACES).option("recursiveFileLookup", "true").parquet(path)
 
 
+def _number(dtype, data: bytes):
+    import numpy as np
+
+    if dtype.kind not in "biuf":
+        raise pickle.UnpicklingError(f"{dtype} is no number")
+    return np.frombuffer(data, dtype)[0].item()
+
+
+def _dtype(name: str, *_):
+    import numpy as np
+
+    if not re.fullmatch(r"[<>=|]?[biuf]\d+", name):
+        raise pickle.UnpicklingError(f"{name} is no type of numbers")
+    return np.dtype(name)
+
+
 class _Plain(pickle.Unpickler):
-    """Unpickles containers, strings and numbers only: no global may be loaded, so nothing can run."""
+    """Unpickles containers, strings and numbers only: no global may be loaded, so nothing can run.
+
+    Numbers of numpy are read by functions of this module and become plain ones.
+    """
 
     def find_class(self, module, name):
+        if (module, name) == ("numpy", "dtype"):
+            return _dtype
+        if module in ("numpy._core.multiarray", "numpy.core.multiarray") and name == "scalar":
+            return _number
         raise pickle.UnpicklingError(f"{module}.{name} is not plain data")
 
 
+def _phases(data) -> dict[str, list]:
+    """Traces by phase of a document, of a batch (a bare list) or of a file with one trace."""
+    if isinstance(data, list):
+        return {"all": data}
+    by_phase = {phase: data.get(f"{phase}_traces") for phase in ("all", "warmup", "final")}
+    return {"all": [data]} if all(v is None for v in by_phase.values()) and ("text" in data or "confs" in data) else by_phase
+
+
 def _unpickled(batches):
     import pandas as pd
 
@@ -45,22 +77,31 @@ def _unpickled(batches):
         rows = []
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
             data = _Plain(io.BytesIO(content)).load()
-            phases = {"all": data.get("all_traces"), "warmup": data.get("warmup_traces"), "final": data.get("final_traces")}
-            for phase, some in phases.items():
+            whole = data if isinstance(data, dict) else {}
+            nth = re.search(r"trace_(\d+)\.pkl$", path)
+            for phase, some in _phases(data).items():
                 for i, t in enumerate(some or []):
-                    rows.append({"path": path, "phase": phase, "trace_idx": i, "ground_truth": data.get("ground_truth")} | {n: t.get(n) for n in names})
-        yield pd.DataFrame(rows, columns=["path", "phase", "trace_idx", "ground_truth", *names])
+                    at = {"path": path, "phase": phase, "trace_idx": int(nth[1]) if nth else i}
+                    rows.append(at | {"ground_truth": whole.get("ground_truth"), "conf_bar": whole.get("conf_bar")} | {n: t.get(n) for n in names})
+        yield pd.DataFrame(rows, columns=["path", "phase", "trace_idx", "ground_truth", "conf_bar", *names])
 
 
 def result_documents(spark: SparkSession, path: str) -> DataFrame:
     """Traces of result documents written by the pickle protocol, with method, question and run from the file name.
 
+    Files of one trace (``qid3_rid0/trace_0007.pkl``) and batches (``qid3_batch02.pkl``, a bare list) are read, too:
+    their question comes from the path, ``batch`` orders a question's batches, and ``trace_idx`` is the number in the
+    file name or the place in the batch. ``conf_bar`` is null where a document has none.
+
     A one-off conversion: write the result as Parquet and read that. Only plain data is accepted.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pkl").load(path).select("path", "content")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.TRACE.fields)
-    rows = files.mapInPandas(_unpickled, f"path string, phase string, trace_idx int, ground_truth string, {fields}")
-    return rows.withColumn("file", text.parse_file_name(F.element_at(F.split("path", "/"), -1))).select("file.*", *[c for c in rows.columns])
+    rows = files.mapInPandas(_unpickled, f"path string, phase string, trace_idx int, ground_truth string, conf_bar double, {fields}")
+    named = rows.withColumn("file", text.parse_file_name(F.element_at(F.split("path", "/"), -1)))
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).try_cast("int")
+    out = named.select("file.*", *rows.columns, number(r"_batch(\d+)\.pkl$").alias("batch"))
+    return out.withColumn("question_id", F.coalesce(number(r"qid(\d+)(?:_batch\d+\.pkl|_rid[^/]*/trace_\d+\.pkl)$"), "question_id"))
 
 
 def batch_records(spark: SparkSession, path: str) -> DataFrame:
