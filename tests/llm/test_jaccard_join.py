@@ -91,3 +91,20 @@ def test_components_of_paths_and_stars(spark):
     for row in got:
         groups.setdefault(row.comp, set()).add(row.id)
     assert sorted(map(len, groups.values())) == [1, 51, 301]
+
+
+def test_wide_sketches_bound_the_difference_from_below():
+    import numpy as np
+
+    from traceloom.llm import linkage
+
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        common = r.integers(0, 1 << 63, r.integers(0, 400), dtype=np.uint64)
+        x, y = (np.unique(np.concatenate([common, r.integers(0, 1 << 63, r.integers(0, 300), dtype=np.uint64)])) for _ in range(2))
+        least = linkage.least_difference(linkage.wide_bits(x), linkage.wide_bits(y))
+        assert least <= len(np.setxor1d(x, y)) and least == linkage.least_difference(linkage.wide_bits(y), linkage.wide_bits(x))
+    x = r.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    assert linkage.least_difference(linkage.wide_bits(x), linkage.wide_bits(x)) == 0
+    other = r.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    assert linkage.least_difference(linkage.wide_bits(x), linkage.wide_bits(other)) > 2000  # unlike sets are told apart

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .common import discard, private, release, sized, small_batches, tidy, written
-from .linkage import BITS, SKETCH, WORDS, link_components, xor_bits
+from .linkage import BITS, SKETCH, WORDS, least_difference, link_components, wide_bits, xor_bits
 
 #: Most shingles that the global order treats as frequent: 16 bytes each when sent to the executors.
 FREQUENT = 1 << 16
@@ -174,12 +174,38 @@ def _sets(k: int):
         for batch in batches:
             got = [shingles.shingle_set(t, k).view(np.int64) for t in batch.column(1).to_pylist()]
             grams = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in got])]).astype(np.int32), np.concatenate(got) if got else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), grams], ["id", "grams"])
+            sizes, wide = pa.array([len(s) for s in got], pa.int64()), pa.array([wide_bits(s.view(np.uint64)) for s in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, wide, grams], ["id", "n", "wide", "grams"])
         tidy()
 
     return run
 
 
+def _near_enough(percent: int):
+    """Over rows (a, b, n_a, wide_a, n_b, wide_b): the (a, b) whose sketches leave a link possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[2:]]
+            # A link's sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes.
+            keep = [(100 + percent) * least_difference(x, y) <= (100 - percent) * (n + m) for n, x, m, y in zip(*columns, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        tidy()
+
+    return run
+
+
+def rule_out(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that sketches ``wide`` of a bit or two per element in ``sets`` (id, n, wide) do not rule out.
+
+    The short sketches of ``linkage`` tell long sets nothing; whole sets meet only for what these leave.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}")), end)
+    named = pairs.select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
+    return named.mapInArrow(_near_enough(percent), "a long, b long").distinct()
+
+
 #: Copies of one set of shingles that a much compared class may get, so that no task verifies all its pairs.
 SALTS = 1024
 
@@ -223,8 +249,9 @@ def _classes(documents: DataFrame, k: int, percent: int, doc_id: str, text: str)
         needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first.select("cls", "row"), "cls")
         texts = docs.join(sized(written(needed, "join-needed"), FEW_IDS), "row").select("cls", "text")
         # A repeated row only repeats a pair.
-        sets = written(texts.mapInArrow(_sets(k), "id long, grams array<long>"), "join-sets")
-        linked = written(verify_sets(pairs, sets, percent), "join-linked")
+        sets = written(texts.mapInArrow(_sets(k), "id long, n long, wide binary, grams array<long>"), "join-sets")
+        near = written(rule_out(pairs, sets, percent), "join-near")
+        linked = written(verify_sets(near, sets, percent), "join-linked")
         discard(sets)
         return linked
 

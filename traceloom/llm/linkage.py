@@ -51,6 +51,22 @@ def xor_bits(h: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(bool)).view(np.int64)
 
 
+def wide_bits(h: np.ndarray) -> bytes:
+    """A sketch as ``xor_bits`` makes it, of at least a bit per element: its size is the power of two from len(h) on."""
+    size = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
+    return np.packbits((np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound on the elements in which two sets differ, from their ``wide_bits``; the longer one is folded first."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) > len(q):
+        p, q = q, p
+    if len(q) > len(p):
+        q = np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0)
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _near(p: np.ndarray, q: np.ndarray, p_n: np.ndarray, q_n: np.ndarray, slack: float, ratio: float) -> np.ndarray:
     """Boolean (p, q): pairs that sketches, and sizes further apart than ``ratio``, do not rule out."""
     out = np.zeros((len(p), len(q)), bool)
