@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, jaccard_join, kd_means, line_dedup, packing, quality_rules, rank_bpe, sstable, toxicity, url_tree, vector_graph
+from . import html_main, jaccard_join, kd_means, line_dedup, packing, quality_rules, rank_bpe, sstable, toxicity, url_tree, vector_graph, word_bpe
 from .common import table
 
 
@@ -89,6 +89,10 @@ def op11_kd_tree_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_means.digest(kd_means.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3))
 
 
+def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sorted_table_shards": op9_sorted_table_shards,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_kd_tree_means": op11_kd_tree_means,
+    "op12_word_table_bpe": op12_word_table_bpe,
 }
 
 #: The other operators are not expressible in SQL over whole tables; each is tested against brute force in tests/llm.
