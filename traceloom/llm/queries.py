@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, jaccard_join, kd_means, line_dedup, packing, quality_rules, rank_bpe, sstable, toxicity, url_tree, vector_graph, word_bpe
+from . import html_main, jaccard_join, kd_means, line_dedup, packing, quality_rules, rank_bpe, spelling, sstable, toxicity, url_tree, vector_graph, word_bpe
 from .common import table
 
 
@@ -93,6 +93,10 @@ def op12_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op13_spelling_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"), times=10, shortest=7, least=2, thinning=31)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_kd_tree_means": op11_kd_tree_means,
     "op12_word_table_bpe": op12_word_table_bpe,
+    "op13_spelling_halves": op13_spelling_halves,
 }
 
 #: The other operators are not expressible in SQL over whole tables; each is tested against brute force in tests/llm.
