@@ -50,8 +50,8 @@ def test_query_equals_the_library(spark, library):
     rows = [(i // 2 if i % 7 else None, t, "x") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, word string").repartition(3)
     want = sorted(((d, *expected(library, t)) for d, t, _ in rows), key=str)
-    for words in (word_bpe.BLOCK_WORDS, 500):
-        got = sorted((tuple(x) for x in word_bpe.round_trip(df, PATH, block_words=words).collect()), key=str)
+    for sizes in ({}, {"block_words": 500, "chunk_words": 60}):
+        got = sorted((tuple(x) for x in word_bpe.round_trip(df, PATH, **sizes).collect()), key=str)
         assert got == want
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,9 +75,14 @@ def private(df: DataFrame, *labels: str) -> list[str]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over: it does so once the driver has collected its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of steps that are over: it does so once the driver has collected its garbage.
+
+    Twice, as Python's references to the steps end only while the first collection goes on.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def small_batches(spark: SparkSession) -> None:

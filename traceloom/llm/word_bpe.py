@@ -27,6 +27,7 @@ import sys
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -39,7 +40,9 @@ from .common import discard, new_folder, release, small_batches, tidy, written
 from .tokens import file_bytes
 
 #: Words of a block, words of one packed row of documents, and words packed at once on their way back.
-BLOCK_WORDS, CHUNK_WORDS, PACK_WORDS = 6_000_000, 1 << 15, 1 << 20
+BLOCK_WORDS, CHUNK_WORDS, PACK_WORDS = 6_000_000, 1 << 18, 1 << 20
+#: The join of words with their ids shuffles one slice of the words at a time, so that no more is held on disk.
+SLICES = 2
 
 #: The normaliser and the pattern that the fast splitting below is written for.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -145,22 +148,28 @@ def unpacked(data: bytes) -> np.ndarray:
 SPLIT_SCHEMA = "kind string, block long, no int, word string, docs array<long>, lengths binary, codes binary"
 
 
-def _split(sent, specials: bool, block_words: int):
+def _split(sent, specials: bool, block_words: int, chunk_words: int):
     schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("no", pa.int32()), ("word", pa.string()), ("docs", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, blocks = _once(Splitter, sent, specials).words, count(TaskContext.get().partitionId() << 32)
-        block, numbers, in_block = next(blocks), defaultdict(count().__next__), 0
+        numbers, in_block = defaultdict(count().__next__), 0
         docs: list[int | None] = []
         codes: list[np.ndarray] = []
-        held = 0
 
-        def chunk() -> pa.RecordBatch:
-            row = {"kind": "docs", "block": block, "docs": docs, "lengths": packed(np.array([len(c) for c in codes])), "codes": packed(np.concatenate(codes))}
-            return pa.RecordBatch.from_pylist([row], schema)
-
-        def words() -> Iterator[pa.RecordBatch]:
-            names = pa.array(numbers, pa.string())
+        def whole_block() -> Iterator[pa.RecordBatch]:
+            # Frequent words get the small numbers, which compress best.
+            block, flat = next(blocks), np.concatenate(codes)
+            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+            ranks = np.empty(len(order), np.int64)
+            ranks[order] = np.arange(len(order))
+            sizes = np.array([len(c) for c in codes])
+            ends = np.cumsum(sizes + 1)  # every document counts one more, so that empty ones fill a chunk, too
+            for own in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(ends // chunk_words)) + 1):
+                part = flat[ends[own[0]] - sizes[own[0]] - 1 - own[0] : ends[own[-1]] - 1 - own[-1]]
+                row = {"kind": "docs", "block": block, "docs": docs[own[0] : own[-1] + 1], "lengths": packed(sizes[own]), "codes": packed(ranks[part])}
+                yield pa.RecordBatch.from_pylist([row], schema)
+            names = pa.array(numbers, pa.string()).take(pa.array(order)) if len(order) else pa.array([], pa.string())
             for a in range(0, len(names), 10_000):
                 part = names[a : a + 10_000]
                 n = len(part)
@@ -170,22 +179,14 @@ def _split(sent, specials: bool, block_words: int):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = split(text)
-                if in_block and in_block + len(found) > block_words:
-                    if docs:
-                        yield chunk()
-                    yield from words()
-                    block, numbers, in_block = next(blocks), defaultdict(count().__next__), 0
-                    docs, codes, held = [], [], 0
+                if docs and in_block + len(found) >= block_words:
+                    yield from whole_block()
+                    numbers, in_block, docs, codes = defaultdict(count().__next__), 0, [], []
                 docs.append(doc_id)
                 codes.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
-                held += len(found) + 1
                 in_block += len(found) + 1
-                if held >= CHUNK_WORDS:
-                    yield chunk()
-                    docs, codes, held = [], [], 0
         if docs:
-            yield chunk()
-        yield from words()
+            yield from whole_block()
         tidy()
 
     return run
@@ -295,7 +296,7 @@ def word_table(words: DataFrame, tokenizer_path: str) -> DataFrame:
     return words.select("word").distinct().mapInArrow(_encode(sent), "word string, ids array<int>")
 
 
-def _coded(documents: DataFrame, tokenizer_path: str, specials: bool, doc_id: str, text: str, block_words: int, digest: bool) -> DataFrame:
+def _coded(documents: DataFrame, tokenizer_path: str, specials: bool, doc_id: str, text: str, block_words: int, chunk_words: int, digest: bool) -> DataFrame:
     spark = documents.sparkSession
     small_batches(spark)
     if json.loads(file_bytes(tokenizer_path)).get("decoder"):
@@ -303,14 +304,22 @@ def _coded(documents: DataFrame, tokenizer_path: str, specials: bool, doc_id: st
     sent = spark.sparkContext.broadcast(file_bytes(tokenizer_path))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     folder = new_folder(spark, "word-blocks")
-    docs.mapInArrow(_split(sent, specials, block_words), SPLIT_SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(folder)
+    docs.mapInArrow(_split(sent, specials, block_words, chunk_words), SPLIT_SCHEMA).write.option("compression", "zstd").partitionBy("kind").parquet(folder)
     read = lambda kind, schema: _part(spark, folder, kind, schema)
     words, chunks = read("words", "block long, no int, word string"), read("docs", "block long, docs array<long>, lengths binary, codes binary")
     table = written(word_table(words, tokenizer_path), "word-table")
     release(spark)
-    ids = written(words.join(table, "word").select("block", "no", "ids").mapInArrow(_pack(), PACK_SCHEMA), "word-ids")
+    slice_ = F.pmod(F.xxhash64("word"), F.lit(SLICES))
+    parts = []
+    for k in range(SLICES):
+        joined = words.where(slice_ == k).join(table.where(slice_ == k), "word").select("block", "no", "ids")
+        parts.append(written(joined.mapInArrow(_pack(), PACK_SCHEMA), "word-ids"))
+        del joined
+        release(spark)
     discard(words), discard(table)
-    used = ids.select("block", F.explode("used").alias("id")).distinct()
+    ids = reduce(DataFrame.union, parts)
+    # A block's parts name at most the ids of its own distinct words, so their union is bounded by the block.
+    used = ids.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("used")).select("block", F.explode("used").alias("id"))
     pieces = used.join(F.broadcast(id_to_piece(spark, tokenizer_path)), "id")
     null = lambda kind: F.lit(None).cast(kind)
     row = lambda df, kind, **c: df.select("block", F.lit(kind).alias("kind"), *[c.get(n, null(t)).alias(n) for n, t in (("id", "int"), ("piece", "string"), ("x", "binary"), ("y", "binary"), ("z", "binary"), ("docs", "array<long>"))])
@@ -331,11 +340,11 @@ def _part(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame
     return out
 
 
-def encode(documents: DataFrame, tokenizer_path: str, specials: bool = True, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def encode(documents: DataFrame, tokenizer_path: str, specials: bool = True, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: doc_id, its ids, and the text that they decode to."""
-    return _coded(documents, tokenizer_path, specials, doc_id, text, block_words, False)
+    return _coded(documents, tokenizer_path, specials, doc_id, text, block_words, chunk_words, False)
 
 
-def round_trip(documents: DataFrame, tokenizer_path: str, specials: bool = True, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def round_trip(documents: DataFrame, tokenizer_path: str, specials: bool = True, doc_id: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_tokens, and the SHA-256 of its ids and of the text they decode to."""
-    return _coded(documents, tokenizer_path, specials, doc_id, text, block_words, True)
+    return _coded(documents, tokenizer_path, specials, doc_id, text, block_words, chunk_words, True)
