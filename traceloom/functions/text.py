@@ -202,3 +202,9 @@ def json_size(j: Column | str) -> Column:
     """Number of elements of a JSON array, or keys of an object; 0 for a scalar."""
     j = _col(j)
     return F.coalesce(F.json_array_length(j), F.size(F.json_object_keys(j)), F.lit(0))
+
+
+def json_bytes(j: Column | str) -> Column:
+    """Bytes of any JSON value without the blanks between its parts; null for invalid JSON."""
+    listed = F.get_json_object(F.concat(F.lit("["), _col(j), F.lit("]")), "$")  # in a list a string keeps its quotes
+    return F.octet_length(listed).cast("long") - 2

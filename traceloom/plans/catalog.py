@@ -439,8 +439,7 @@ def parse_file_name(spark, d):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 1 AS n_keys, strlen(replace(props, ' ', '')) AS compact_bytes FROM events")
 def json_value_size(spark, d):
     e = A.table(spark, d, "events")
-    compact = F.octet_length(F.to_json(F.from_json("props", "k bigint")))
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), text.json_size("props").alias("n_keys"), compact.cast("long").alias("compact_bytes"))
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), text.json_size("props").alias("n_keys"), text.json_bytes("props").alias("compact_bytes"))
 
 
 _DRAW = "(((((b * 7919 + s * 104729 + 12345) % 2147483647) * 48271) % 2147483647) * 48271) % 2147483647"

@@ -107,3 +107,162 @@ def pearson_tests(spark, d):
     c = u.groupBy("grp", "metric").agg(F.corr(F.col("ok").cast("double"), F.col("x").cast("double")).alias("rho"), F.count("*").alias("n"), F.count_distinct("ok").alias("k")).where("k = 2 AND n > 2")
     # The input has a name of its own: inside of lambdas Spark would take an alias of the same select for it.
     return c.select("grp", "metric", "n", F.round("rho", 4).alias("r"), F.round(significance.correlation_p(F.col("rho"), F.col("n")), 6).alias("p"))
+
+
+_METRIC_POINTS = (
+    "v AS (SELECT question_id % 10 AS qid, (idx // 500 + 1) * 1024 AS prob_token, answer, weight, idx FROM votes), g AS (SELECT qid, arg_min(answer, idx) AS gt FROM v GROUP BY 1),"
+    " a AS (SELECT qid, prob_token, answer, count(*) AS n, avg(weight) AS conf FROM v WHERE (qid + prob_token // 1024) % 4 <> 1 GROUP BY 1, 2, 3)"
+)
+
+
+@query(
+    f"{W}, {_METRIC_POINTS}, p AS (SELECT qid, prob_token, struct_pack(accuracy := round(coalesce(sum(n) FILTER (WHERE answer = gt), 0) / sum(n), 6), entropy := round(count(*) / 10, 6), top_is_truth := first(answer ORDER BY n DESC, answer) = first(gt),"
+    " normalized_accuracy := round(coalesce(sum(conf) FILTER (WHERE answer = gt), 0) / sum(conf), 6)) AS m FROM a JOIN g USING (qid) GROUP BY 1, 2), grid AS (SELECT * FROM (SELECT DISTINCT qid FROM g), (SELECT DISTINCT prob_token FROM p)),"
+    " f AS (SELECT grid.qid, grid.prob_token, last_value(m IGNORE NULLS) OVER (PARTITION BY grid.qid ORDER BY grid.prob_token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m, m IS NULL AS carried FROM grid LEFT JOIN p ON p.qid = grid.qid AND p.prob_token = grid.prob_token)"
+    " SELECT qid::INT AS qid, prob_token::INT AS prob_token, m.accuracy AS accuracy, m.entropy AS entropy, m.top_is_truth AS top_is_truth, m.normalized_accuracy AS normalized_accuracy, carried FROM f"
+)
+def carried_metric_files(spark, d):
+    """Metric documents by question and checkpoint, some of them missing, on the whole grid: a hole repeats the point before."""
+    from traceloom.sources import metric_files
+
+    v = A.votes(spark, d).select((F.col("question_id") % 10).alias("qid"), ((F.floor(F.col("idx") / 500) + 1) * 1024).alias("prob_token"), "answer", "weight", "idx")
+    truths = v.groupBy("qid").agg(F.min_by("answer", "idx").alias("ground_truth"))
+    a = v.where("(qid + prob_token / 1024) % 4 <> 1").groupBy("qid", "prob_token", "answer").agg(F.count("*").alias("n"), F.avg("weight").alias("conf")).join(truths, "qid")
+    own = F.coalesce(F.sum(F.when(F.col("answer") == F.col("ground_truth"), F.col("n"))), F.lit(0))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "answer", F.struct(F.col("conf").alias("mean_window_conf")).alias("m"))))
+    docs = a.groupBy("qid", "prob_token", "ground_truth").agg((own / F.sum("n")).alias("count_accuracy"), F.struct((F.count("*") / 10).alias("entropy_count")).alias("entropy_metrics"), ranked.alias("r"))
+    body = F.to_json(F.struct("ground_truth", "count_accuracy", "entropy_metrics", F.map_from_arrays("r.answer", "r.m").alias("answers")))
+    path = F.format_string("analysis_results_qid%d_probtoken_%d_windowsize_1024.json", "qid", "prob_token")
+    got = metric_files.carried_metrics(docs.select(path.alias("path"), body.alias("body")), truths.select(F.col("qid").cast("int").alias("qid")), 1024)
+    return got.withColumns({c: F.round(c, 6) for c in ("accuracy", "entropy", "normalized_accuracy")})
+
+
+@query(
+    "WITH t AS (SELECT l_orderkey, list((l_partkey % 50000)::INT ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids, list(l_quantity ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem GROUP BY 1)"
+    " SELECT l_orderkey, CASE l_orderkey % 5 WHEN 0 THEN 'stop' WHEN 1 THEN 'length' WHEN 4 THEN NULL ELSE 'unknown' END AS stop_reason, CASE WHEN l_orderkey % 5 < 3 THEN array_to_string(ids, ',') ELSE '' END AS ids,"
+    " CASE WHEN l_orderkey % 5 = 4 THEN NULL ELSE len(ids) END::INT AS num_tokens, CASE WHEN l_orderkey % 5 = 3 THEN round(list_sum(q), 4) ELSE 0.0 END AS conf_sum, CASE WHEN l_orderkey % 5 = 4 THEN 'no JSON' END AS error FROM t"
+)
+def raw_output_ids(spark, d):
+    """Inference records of three shapes, some without ids and some broken, in one table: ids, stop reasons and lengths."""
+    from traceloom.sources import outputs
+
+    at = ["l_linenumber", "l_partkey", "l_suppkey"]
+    li = A.table(spark, d, "lineitem").select("l_orderkey", *at, (F.col("l_partkey") % 50_000).cast("int").alias("id"), "l_quantity")
+    t = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*at, "id", "l_quantity"))).alias("t"))
+    ids = F.to_json("t.id")
+    pairs = F.to_json(F.transform("t", lambda x: F.array(F.lit(-0.5), x["id"].cast("double"))))
+    tops = F.to_json(F.transform("t.l_quantity", lambda q: F.array(F.array(-q - 1, F.lit(7.0)), F.array(-q + 1, F.lit(8.0)))))
+    text_ = F.lit('"text": "x"')
+    kind = F.col("l_orderkey") % 5
+    body = (
+        F.when(kind == 0, F.concat(F.lit("{"), text_, F.lit(', "output_ids": '), ids, F.lit(', "meta_info": {"finish_reason": {"type": "stop"}}}')))
+        .when(kind == 1, F.concat(F.lit("{"), text_, F.lit(', "meta_info": {"finish_reason": "length", "output_token_ids": '), ids, F.lit("}}")))
+        .when(kind == 2, F.concat(F.lit("{"), text_, F.lit(', "output_ids": [], "meta_info": {"output_token_logprobs": '), pairs, F.lit("}}")))
+        .when(kind == 3, F.concat(F.lit("{"), text_, F.lit(', "meta_info": {"finish_reason": {}, "output_top_logprobs": '), tops, F.lit("}}")))
+        .otherwise(F.concat(F.lit('{"text": '), ids))
+    )
+    got = outputs.raw_outputs(t.select("l_orderkey", body.alias("value")), keep=["l_orderkey"])
+    total = F.aggregate(F.coalesce("confs", F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + x)
+    return got.select("l_orderkey", "stop_reason", F.coalesce(F.array_join("token_ids", ","), F.lit("")).alias("ids"), "num_tokens", F.round(total, 4).alias("conf_sum"), "error")
+
+
+@query(
+    "WITH f AS (SELECT o_custkey % 20 AS qid, o_custkey // 20 % 12 AS trace_idx, max(o_orderkey) AS last, count(*) AS n_files FROM orders GROUP BY 1, 2),"
+    " s AS (SELECT c_custkey % 20 AS qid, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey) - 1 AS place, c_name FROM customer WHERE c_custkey < 150 AND c_custkey % 20 <> 7), z AS (SELECT qid, count(*) AS k FROM s GROUP BY 1)"
+    " SELECT f.qid, f.trace_idx, n_files, l_linenumber AS token_position, l_quantity AS answer, CASE WHEN k IS NULL THEN 'missing' WHEN f.trace_idx >= k THEN 'out_of_bounds' ELSE 'merged' END AS merge, c_name AS stored"
+    " FROM f JOIN (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) l ON l.l_orderkey = last LEFT JOIN z ON z.qid = f.qid LEFT JOIN s ON s.qid = f.qid AND s.place = f.trace_idx"
+)
+def probe_files_merged(spark, d):
+    """Probes of traces from many files, the last of a trace's files alone, with the stored trace at the same place."""
+    from traceloom.operators import probes
+
+    o = A.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 20).alias("qid"), (F.floor(F.col("o_custkey") / 20) % 12).alias("trace_idx"))
+    li = A.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    maps = li.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", F.struct(F.col("q").alias("answer")).alias("p")))).alias("probes"))
+    files = o.join(maps, o.o_orderkey == maps.l_orderkey, "left").select("qid", "trace_idx", F.format_string("trace_%012d", "o_orderkey").alias("path"), "probes")
+    c = A.table(spark, d, "customer").where("c_custkey < 150 AND c_custkey % 20 <> 7").select((F.col("c_custkey") % 20).alias("qid"), "c_custkey", "c_name")
+    stored = c.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("all_traces"))
+    merged = probes.merged_by_position(probes.last_wins(files, ["qid", "trace_idx"]), stored)
+    return probes.probe_rows(merged).select("qid", "trace_idx", "n_files", "token_position", "answer", "merge", F.col("stored_trace.c_name").alias("stored"))
+
+
+@query(
+    f"{W}, r AS (SELECT question_id, count(*) AS length, list(weight ORDER BY idx) AS w FROM votes GROUP BY 1), m AS (SELECT max(length) AS width FROM r) SELECT question_id, length::INT AS length, width::INT AS width, round(list_sum(w), 4) AS total, (width - length)::INT AS filled, round(w[length], 4) AS last_value FROM r, m"
+)
+def padded_matrix(spark, d):
+    """Each question's weights as a row of one matrix: filled up to the longest, the true length beside it."""
+    from traceloom.operators import probes
+
+    rows = A.votes(spark, d).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("r")).select("question_id", F.col("r.weight").alias("w"))
+    m = probes.padded(rows, "w", probes.width(rows, "w"), F.lit(0.0))
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    filled = F.size(F.filter(F.slice("w", F.col("length") + 1, F.size("w") - F.col("length")), lambda x: x == 0))
+    return m.select("question_id", "length", F.size("w").alias("width"), F.round(total, 4).alias("total"), filled.alias("filled"), F.round(F.element_at("w", F.col("length")), 4).alias("last_value"))
+
+
+_STRUCTURED = f"{W}, u AS (SELECT question_id, answer, idx, CASE WHEN run < 4 THEN 'completed' ELSE 'truncated' END AS grp, weight AS avg_conf, weight / (1 + run) AS min_conf, weight * (1 + run) AS max_conf, answer = ground_truth AS ok FROM votes JOIN truths USING (question_id))"
+
+
+@query(
+    f"{_STRUCTURED}, b AS (SELECT * FROM u UNION ALL SELECT question_id, answer, idx, 'combined', avg_conf, min_conf, max_conf, ok FROM u), i AS (SELECT question_id, answer, idx, grp, ok, indicator, x FROM b UNPIVOT (x FOR indicator IN (avg_conf, min_conf, max_conf))),"
+    " t AS (SELECT question_id, grp, indicator, answer, count(*) AS n, sum(x) AS s, round(sum(x), 9) AS w, min(idx) AS f, sum(ok::INT) AS k FROM i GROUP BY 1, 2, 3, 4)"
+    " SELECT question_id, grp, indicator, first(answer ORDER BY w DESC, f) AS voted, sum(n)::BIGINT AS votes, round(sum(s) / sum(n), 6) AS mean_conf, round(sum(k) / sum(n), 6) AS accuracy FROM t GROUP BY 1, 2, 3"
+)
+def structured_report(spark, d):
+    """Votes by three indicators over completed, truncated and all traces, with mean confidences and the traces' accuracy.
+
+    One aggregate by answer serves all: sums of the answers give the means.
+    """
+    v = A.votes(spark, d).join(A.truths(spark, d), "question_id")
+    grp = F.explode(F.array(F.when(F.col("run") < 4, "completed").otherwise("truncated"), F.lit("combined"))).alias("grp")
+    ok = (F.col("answer") == F.col("ground_truth")).cast("int").alias("ok")
+    b = v.select("question_id", "answer", "idx", F.col("weight").alias("avg_conf"), (F.col("weight") / (1 + F.col("run"))).alias("min_conf"), (F.col("weight") * (1 + F.col("run"))).alias("max_conf"), ok, grp)
+    i = b.unpivot(["question_id", "answer", "idx", "grp", "ok"], ["avg_conf", "min_conf", "max_conf"], "indicator", "x")
+    t = i.groupBy("question_id", "grp", "indicator", "answer").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.min("idx").alias("f"), F.sum("ok").alias("k"))
+    n = F.sum("n")
+    return t.groupBy("question_id", "grp", "indicator").agg(
+        F.max_by("answer", F.struct(F.round("s", 9), -F.col("f"))).alias("voted"), n.alias("votes"), F.round(F.sum("s") / n, 6).alias("mean_conf"), F.round(F.sum("k") / n, 6).alias("accuracy")
+    )
+
+
+@query(
+    f"{W}, s AS (SELECT question_id, idx // 400 AS step, answer, idx, weight FROM votes), c AS (SELECT question_id, step, answer, count(*) AS n, min(idx) AS f, sum(weight) AS w FROM s GROUP BY 1, 2, 3),"
+    " h AS (SELECT question_id, step, round(-sum(p * log2(p)), 9) AS h, sum(n) AS n, first(answer ORDER BY n DESC, f) AS voted FROM (SELECT *, n / sum(n) OVER (PARTITION BY question_id, step) AS p FROM c) GROUP BY 1, 2),"
+    " r AS (SELECT *, sum(n) OVER (PARTITION BY question_id ORDER BY step) AS tokens, h < lag(h) OVER w AND lag(h) OVER w < lag(h, 2) OVER w AND h <= 1.6 AS stops, row_number() OVER (PARTITION BY question_id ORDER BY step DESC) = 1 AS is_last FROM h WINDOW w AS (PARTITION BY question_id ORDER BY step))"
+    " SELECT question_id, first(step ORDER BY step) AS stop_step, first(voted ORDER BY step) AS answer, first(tokens ORDER BY step)::BIGINT AS tokens, first(coalesce(stops, false) ORDER BY step) AS stopped FROM r WHERE stops OR is_last GROUP BY 1"
+)
+def entropy_stopped_runs(spark, d):
+    """Each question's run stopped when its answers' entropy falls for three checkpoints to a low, else at its end: the
+    answer and the tokens spent by then."""
+    s = A.votes(spark, d).withColumn("step", F.floor(F.col("idx") / 400))
+    c = s.groupBy("question_id", "step", "answer").agg(F.count("*").alias("n"), F.min("idx").alias("f"))
+    h = statistics.entropy(c, ["question_id", "step"], "n", "2", "h").withColumn("h", F.round("h", 9))
+    best = c.groupBy("question_id", "step").agg(F.max_by("answer", F.struct("n", -F.col("f"))).alias("voted"))
+    f = windows.strictly_falling(h.join(best, ["question_id", "step"]), ["question_id"], "step", "h", 3)
+    by = Window.partitionBy("question_id")
+    r = f.withColumns({"tokens": F.sum("total").over(by.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)), "stops": F.coalesce(F.col("falling") & (F.col("h") <= 1.6), F.lit(False)), "last": F.max("step").over(by)})
+    first = r.where("stops OR step = last").groupBy("question_id").agg(F.min_by(F.struct("step", "voted", "tokens", "stops"), "step").alias("r"))
+    return first.select("question_id", F.col("r.step").alias("stop_step"), F.col("r.voted").alias("answer"), F.col("r.tokens").alias("tokens"), F.col("r.stops").alias("stopped"))
+
+
+@query(
+    f"{W}, m AS (SELECT question_id, run, first(answer ORDER BY n DESC, f) AS majority FROM (SELECT question_id, run, answer, count(*) AS n, min(idx) AS f FROM votes GROUP BY 1, 2, 3) GROUP BY 1, 2), j AS (SELECT question_id, majority, majority = ground_truth AS ok FROM m JOIN truths USING (question_id))"
+    " SELECT question_id, count(*) AS samples, sum(ok::INT)::BIGINT AS n_correct, round(avg(ok::INT), 6) AS accuracy, array_to_string(list_sort(list_distinct(list(majority))), '|') AS majorities FROM j GROUP BY GROUPING SETS ((question_id), ())"
+)
+def candidate_accuracy(spark, d):
+    """Accuracy of the samples' majority answers by question and over all (no question), with the distinct majorities."""
+    v = A.votes(spark, d)
+    m = voting.majority_vote(v, ["question_id", "run"]).select("question_id", F.col("voted").alias("majority")).join(A.truths(spark, d), "question_id")
+    ok = (F.col("majority") == F.col("ground_truth")).cast("int")
+    sets = m.groupingSets([[F.col("question_id")], []], F.col("question_id"))
+    return sets.agg(F.count("*").alias("samples"), F.sum(ok).alias("n_correct"), F.round(F.avg(ok), 6).alias("accuracy"), F.array_join(F.array_sort(F.collect_set("majority")), "|").alias("majorities"))
+
+
+@query(
+    f"WITH {A.SQL_TOKENS}, t AS (SELECT trace_id % 10 AS question_id, trace_id, count(*) AS n, min(conf) AS low FROM tok GROUP BY 1, 2) SELECT question_id, count(*) AS num_traces, sum(n)::BIGINT AS total_tokens, array_to_string(list(low::INT ORDER BY trace_id), ',') AS min_confs FROM t GROUP BY 1"
+)
+def question_rollup(spark, d):
+    """Traces, tokens and the list of lowest confidences, in order of the traces, by question."""
+    t = A.tokens(spark, d).groupBy("trace_id").agg(F.count("*").alias("n"), F.min("conf").alias("low"))
+    lows = F.array_sort(F.collect_list(F.struct("trace_id", F.col("low").cast("int").cast("string").alias("low"))))
+    return t.groupBy((F.col("trace_id") % 10).alias("question_id")).agg(F.count("*").alias("num_traces"), F.sum("n").alias("total_tokens"), F.array_join(lows["low"], ",").alias("min_confs"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators import probes
+
 
 def by_question(df: DataFrame, path: str, question: str = "question_id") -> None:
     """Parquet, one folder per question; an overwrite replaces only the questions that are written."""
@@ -26,3 +28,8 @@ def table(df: DataFrame, path: str, fmt: str = "csv") -> None:
 def probe_matrix(df: DataFrame, keys: list[str], depth: str, value: str, depths: list[int]) -> DataFrame:
     """Wide form of probes: a column per depth, null where a trace has none."""
     return df.groupBy(*keys).pivot(depth, depths).agg(F.first(value))
+
+
+def padded_matrix(df: DataFrame, path: str, values: str, length: str = "length") -> None:
+    """Parquet of equally long rows: every list filled with zeros up to the longest, its true length beside it."""
+    probes.padded(df, values, probes.width(df, values), length=length).write.mode("overwrite").parquet(path)
