@@ -86,7 +86,7 @@ def answer_span_conf(spark, d):
 
 
 _TRACE_CONFS = (
-    "m AS (SELECT l_orderkey % 8 AS grp, l_orderkey, (l_orderkey % 3 = 0)::INT AS ok, arg_min(l_quantity, l_linenumber * 1000000 + l_partkey) AS first_conf, avg(l_quantity) AS avg_conf, max(l_quantity)::DOUBLE AS max_conf FROM lineitem GROUP BY 1, 2),"
+    "m AS (SELECT l_orderkey % 8 AS grp, l_orderkey, (l_orderkey % 3 = 0)::INT AS ok, arg_min(l_quantity, (l_linenumber * 1000000 + l_partkey) * 100 + l_quantity) AS first_conf, avg(l_quantity) AS avg_conf, max(l_quantity)::DOUBLE AS max_conf FROM lineitem GROUP BY 1, 2),"
     " u AS (SELECT grp, ok, metric, x FROM m UNPIVOT (x FOR metric IN (first_conf, avg_conf, max_conf)))"
 )
 #: The t distribution in closed form: a finite sum for whole degrees of freedom, other than the continued fraction used in Spark.
@@ -99,7 +99,7 @@ _P = (
 @query(f"WITH {_TRACE_CONFS}, c AS (SELECT grp, metric, corr(ok::DOUBLE, x) AS r, count(*) AS n, count(*) - 2 AS v FROM u GROUP BY 1, 2 HAVING count(DISTINCT ok) = 2 AND count(*) > 2) SELECT grp, metric, n, round(r, 4) AS r, round({_P}, 6) AS p FROM c")
 def pearson_tests(spark, d):
     """Correlation of correctness with first, mean and highest confidence, with its two-sided p-value."""
-    place = F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")
+    place = (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 100 + F.col("l_quantity")
     m = A.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 8).alias("grp"), "l_orderkey").agg(
         F.min_by("l_quantity", place).alias("first_conf"), F.avg("l_quantity").alias("avg_conf"), F.max("l_quantity").cast("double").alias("max_conf")
     )
@@ -200,28 +200,30 @@ def padded_matrix(spark, d):
     return m.select("question_id", "length", F.size("w").alias("width"), F.round(total, 4).alias("total"), filled.alias("filled"), F.round(F.element_at("w", F.col("length")), 4).alias("last_value"))
 
 
-_STRUCTURED = f"{W}, u AS (SELECT question_id, answer, idx, CASE WHEN run < 4 THEN 'completed' ELSE 'truncated' END AS grp, weight AS avg_conf, weight / (1 + run) AS min_conf, weight * (1 + run) AS max_conf, answer = ground_truth AS ok FROM votes JOIN truths USING (question_id))"
+_STRUCTURED = f"{W}, u AS (SELECT question_id, answer, idx, CASE WHEN run < 4 THEN 'completed' ELSE 'truncated' END AS grp, round(weight * 100)::BIGINT AS avg_conf, round(weight * 100)::BIGINT // (1 + run) AS min_conf, round(weight * 100)::BIGINT * (1 + run) AS max_conf, answer = ground_truth AS ok FROM votes JOIN truths USING (question_id))"
 
 
 @query(
     f"{_STRUCTURED}, b AS (SELECT * FROM u UNION ALL SELECT question_id, answer, idx, 'combined', avg_conf, min_conf, max_conf, ok FROM u), i AS (SELECT question_id, answer, idx, grp, ok, indicator, x FROM b UNPIVOT (x FOR indicator IN (avg_conf, min_conf, max_conf))),"
-    " t AS (SELECT question_id, grp, indicator, answer, count(*) AS n, sum(x) AS s, round(sum(x), 9) AS w, min(idx) AS f, sum(ok::INT) AS k FROM i GROUP BY 1, 2, 3, 4)"
-    " SELECT question_id, grp, indicator, first(answer ORDER BY w DESC, f) AS voted, sum(n)::BIGINT AS votes, round(sum(s) / sum(n), 6) AS mean_conf, round(sum(k) / sum(n), 6) AS accuracy FROM t GROUP BY 1, 2, 3"
+    " t AS (SELECT question_id, grp, indicator, answer, count(*) AS n, sum(x) AS s, min(idx) AS f, sum(ok::INT) AS k FROM i GROUP BY 1, 2, 3, 4)"
+    " SELECT question_id, grp, indicator, first(answer ORDER BY s DESC, f) AS voted, sum(n)::BIGINT AS votes, sum(s)::DOUBLE / sum(n)::DOUBLE AS mean_conf, sum(k)::DOUBLE / sum(n)::DOUBLE AS accuracy FROM t GROUP BY 1, 2, 3"
 )
 def structured_report(spark, d):
     """Votes by three indicators over completed, truncated and all traces, with mean confidences and the traces' accuracy.
 
-    One aggregate by answer serves all: sums of the answers give the means.
+    One aggregate by answer serves all: sums of the answers give the means. Weights are whole hundredths here, so that
+    sums are exact in any order.
     """
     v = A.votes(spark, d).join(A.truths(spark, d), "question_id")
     grp = F.explode(F.array(F.when(F.col("run") < 4, "completed").otherwise("truncated"), F.lit("combined"))).alias("grp")
     ok = (F.col("answer") == F.col("ground_truth")).cast("int").alias("ok")
-    b = v.select("question_id", "answer", "idx", F.col("weight").alias("avg_conf"), (F.col("weight") / (1 + F.col("run"))).alias("min_conf"), (F.col("weight") * (1 + F.col("run"))).alias("max_conf"), ok, grp)
+    cents = F.round(F.col("weight") * 100).cast("long")
+    b = v.select("question_id", "answer", "idx", cents.alias("avg_conf"), F.floor(cents / (1 + F.col("run"))).alias("min_conf"), (cents * (1 + F.col("run"))).alias("max_conf"), ok, grp)
     i = b.unpivot(["question_id", "answer", "idx", "grp", "ok"], ["avg_conf", "min_conf", "max_conf"], "indicator", "x")
     t = i.groupBy("question_id", "grp", "indicator", "answer").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.min("idx").alias("f"), F.sum("ok").alias("k"))
     n = F.sum("n")
     return t.groupBy("question_id", "grp", "indicator").agg(
-        F.max_by("answer", F.struct(F.round("s", 9), -F.col("f"))).alias("voted"), n.alias("votes"), F.round(F.sum("s") / n, 6).alias("mean_conf"), F.round(F.sum("k") / n, 6).alias("accuracy")
+        F.max_by("answer", F.struct("s", -F.col("f"))).alias("voted"), n.alias("votes"), (F.sum("s") / n).alias("mean_conf"), (F.sum("k") / n).alias("accuracy")
     )
 
 
