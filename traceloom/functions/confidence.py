@@ -135,7 +135,7 @@ def summary_confidence(confs: Column | str) -> tuple[Column, Column]:
     return F.round(array_mean(a), 3), F.round(F.array_max(a), 3)
 
 
-#: Pluggable trace metrics by name; an unknown name is an error.
+#: Pluggable trace metrics by name.
 METRICS = {
     "mean": lambda c, **k: mean_confidence(c),
     "tail": lambda c, tail=2048, **k: tail_confidence(c, tail),
@@ -144,7 +144,8 @@ METRICS = {
 }
 
 
-def metric(name: str, confs: Column | str, **options) -> Column:
-    if name not in METRICS:
+def metric(name: str, confs: Column | str, strict: bool = True, **options) -> Column:
+    """The metric of that name; an unknown one is an error or, if not ``strict``, means ``mean``."""
+    if name not in METRICS and strict:
         raise ValueError(f"unknown confidence metric {name!r}; known: {sorted(METRICS)}")
-    return METRICS[name](confs, **options)
+    return METRICS.get(name, METRICS["mean"])(confs, **options)

@@ -196,3 +196,20 @@ def with_equivalence(df: DataFrame, a: str, b: str, out: str = "is_equiv") -> Da
     pairs = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
     decided = pairs.withColumn(out, F.coalesce(exact_equal(a, b), F.lit(False)) | _same(F.col(a), F.col(b)))
     return df.join(decided, [a, b], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def verdict(same: Column, answer: Column | str, truth: Column | str, unsure: str = "text") -> Column:
+    """Correctness from ``same``, the equivalence that is null where it could not be decided.
+
+    ``unsure`` says what counts then: ``text`` compares the plain strings, and a missing answer is wrong; ``false`` is
+    wrong; ``null`` compares the stripped strings, and only a missing answer gives null.
+    """
+    a, t = (F.col(c) if isinstance(c, str) else c for c in (answer, truth))
+    none = F.lit(None).cast("boolean")
+    if unsure == "text":
+        return F.when(F.coalesce(a, F.lit("")) == "", False).when(F.coalesce(t, F.lit("")) == "", False).otherwise(F.coalesce(same, a == t))
+    if unsure == "false":
+        return F.when(a.isNull() | t.isNull(), False).otherwise(F.coalesce(same, F.lit(False)))
+    if unsure == "null":
+        return F.when(a.isNull(), none).otherwise(F.coalesce(same, strip(a) == strip(t), F.lit(False)))
+    raise ValueError(f"unknown rule {unsure!r}")

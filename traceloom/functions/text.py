@@ -46,12 +46,38 @@ def extract_simple_answer(text: Column | str) -> Column:
 
 
 def unwrap_text(answer: Column | str) -> Column:
-    r"""Each ``\text{...}`` replaced by its content, however deep; an unclosed one is left alone."""
-    a = _col(answer)
-    # Every step removes the first one together with a closing brace, so there are at most as many steps as such braces.
-    steps = F.sequence(F.lit(1), F.greatest(F.regexp_count(a, F.lit(r"\}")), F.lit(1)))
-    unwrapped = F.aggregate(steps, a, lambda s, _: F.regexp_replace(s, r"(?s)^(.*?)\\text\{([^}]*)\}", "$1$2"))
-    return F.when(a.contains("\\text{"), unwrapped).otherwise(a)
+    r"""Each ``\text{...}`` replaced by its content, however deep; an unclosed one is left alone.
+
+    Every closing brace after an opened ``\text{`` closes one of them, and the first opened are the ones that go. One
+    fold over the parts between openings counts the closed ones, a second one joins what is left.
+    """
+    parts = F.split(_col(answer), r"\\text\{", -1)
+    closings = F.transform(parts, lambda p: F.size(F.split(p, r"\}", -1)) - 1)
+    opened = lambda s, first: s + F.when(first, 0).otherwise(1)
+    step = F.struct(F.lit(0).alias("open"), F.lit(0).alias("closed"), F.lit(True).alias("first"))
+
+    def count(s: Column, c: Column) -> Column:
+        now = opened(s["open"], s["first"])
+        k = F.least(now, c)
+        return F.struct((now - k).alias("open"), (s["closed"] + k).alias("closed"), F.lit(False).alias("first"))
+
+    closed = F.aggregate(closings, step, count, lambda s: s["closed"])
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("open"), F.lit(0).alias("seen"), F.lit(True).alias("first"))
+
+    def join(most: Column):
+        def fold(s: Column, part: Column) -> Column:
+            now = opened(s["open"], s["first"])
+            mark = F.when(s["first"] | (s["seen"] < most), "").otherwise("\\text{")
+            pieces = F.split(part, r"\}", -1)
+            k = F.least(now, F.size(pieces) - 1)
+            rest = F.when(k < F.size(pieces) - 1, F.concat(F.lit("}"), F.array_join(F.slice(pieces, k + 2, F.size(pieces)), "}"))).otherwise("")
+            out = F.concat(s["out"], mark, F.array_join(F.slice(pieces, F.lit(1), k + 1), ""), rest)
+            return F.struct(out.alias("out"), (now - k).alias("open"), (s["seen"] + F.when(s["first"], 0).otherwise(1)).alias("seen"), F.lit(False).alias("first"))
+
+        return fold
+
+    unwrapped = F.get(F.transform(F.array(closed), lambda most: F.aggregate(parts, begin, join(most), lambda s: s["out"])), F.lit(0))
+    return F.when(_col(answer).contains("\\text{"), unwrapped).otherwise(_col(answer))
 
 
 def normalize_answer(answer: Column | str) -> Column:
@@ -185,6 +211,29 @@ def prompt(question: Column | str, system: str = "", cue: str = "\n\nPut the fin
     return F.concat(F.lit(system), _col(question), F.lit(cue))
 
 
+def chat(question: Column | str, system: str | None = None, effort: str | None = None, template: str = "<|{role}|>\n{content}\n", answer: str = "<|assistant|>\n") -> Column:
+    """A question as a chat: an optional system turn, which names the ``effort`` if there is one, the user's, and the answer's opening.
+
+    ``template`` stands for the model's own chat template, which is not part of the engine.
+    """
+    head = "\n".join(x for x in (system, f"Reasoning: {effort}" if effort else None) if x)
+    before, after = template.split("{content}")
+    turn = lambda role, c: F.concat(F.lit(before.replace("{role}", role)), c, F.lit(after))
+    turns = ([turn("system", F.lit(head))] if head else []) + [turn("user", _col(question)), F.lit(answer)]
+    return F.concat(*turns)
+
+
+def probe_prompt(chat_: Column, thinking: Column | str, cue: str = "</think>\nThe answer is \\boxed") -> Column:
+    """A chat whose thinking is cut off by a cue that asks for the answer."""
+    return F.concat(chat_, _col(thinking), F.lit(cue))
+
+
+def choice_prompt(chat_: Column, thinking: Column | str, candidates: Column | str) -> Column:
+    """A chat whose thinking ends in the choice among candidates."""
+    named = F.array_join(_col(candidates), ", ")
+    return F.concat(chat_, _col(thinking), F.lit("I need to choose one from the candidate answers ["), named, F.lit("]</think>\nThe answer is \\boxed"))
+
+
 def candidate_prompt(candidates: Column | str) -> Column:
     """Phrase that offers no, one, or several numbered candidates."""
     c = _col(candidates)
