@@ -20,6 +20,16 @@ def sample_without_replacement(df: DataFrame, keys: list[str], idx: str, n: int,
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def draws_without_replacement(df: DataFrame, keys: list[str], idx: str, n: int, draws: int) -> DataFrame:
+    """``draws`` samples of ``n`` rows of each group (all if fewer), numbered by ``draw``, in order of ``draw(number, idx)``.
+
+    The samples are one explode of the rows and one sort; plain integer arithmetic orders them, so any engine repeats it.
+    """
+    each = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    w = Window.partitionBy(*keys, "draw").orderBy(draw(F.col("draw").cast("long"), F.col(idx).cast("long")), idx)
+    return each.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
 def bootstrap(df: DataFrame, keys: list[str], idx: str, n_bootstraps: int, size: int, resample_when_small: bool = True) -> DataFrame:
     """``df`` resampled with replacement: one row per (keys, bootstrap_idx, slot).
 

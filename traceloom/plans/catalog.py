@@ -667,12 +667,17 @@ def bootstrap_methods_averaged(spark, d):
     )
 
 
-@query()
+@query(
+    f"WITH {A.SQL_TRACES}, e AS (SELECT question_id, b AS draw, trace_idx, answer, num_tokens, {_DRAW.replace('s * 104729', 'trace_idx * 104729')} AS o FROM traces, (SELECT unnest(range(0, 4)) AS b)),"
+    " s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, draw ORDER BY o, trace_idx) AS r FROM e) WHERE r <= 8),"
+    " t AS (SELECT question_id, draw, answer, count(*) AS n, sum(num_tokens) AS tokens FROM s GROUP BY 1, 2, 3), h AS (SELECT question_id, draw, -sum(p * log2(p)) AS h, sum(tokens) AS tokens FROM (SELECT *, n / sum(n) OVER (PARTITION BY question_id, draw) AS p FROM t) GROUP BY 1, 2)"
+    " SELECT question_id, count(*) AS draws, round(avg(h), 6) + 0.0 AS mean_entropy, round(var_pop(h), 6) AS var_entropy, sum(tokens)::BIGINT AS tokens FROM h GROUP BY 1"
+)
 def warmup_entropy(spark, d):
     """Base-2 entropy of the answers of 8 traces drawn without replacement, its mean and population variance over 4 draws, and the draws' tokens."""
     t = A.traces(spark, d).select("question_id", "trace_idx", "answer", "num_tokens")
-    draws = [sampling.sample_without_replacement(t, ["question_id"], "trace_idx", 8, seed).withColumn("draw", F.lit(seed)) for seed in range(4)]
-    tally = draws[0].union(draws[1]).union(draws[2]).union(draws[3]).groupBy("question_id", "draw", "answer").agg(F.count("*").alias("n"), F.sum("num_tokens").alias("tokens"))
+    drawn = sampling.draws_without_replacement(t, ["question_id"], "trace_idx", 8, 4)
+    tally = drawn.groupBy("question_id", "draw", "answer").agg(F.count("*").alias("n"), F.sum("num_tokens").alias("tokens"))
     h = statistics.entropy(tally, ["question_id", "draw"], "n", "2", "h").join(tally.groupBy("question_id", "draw").agg(F.sum("tokens").alias("tokens")), ["question_id", "draw"])
     return h.groupBy("question_id").agg(F.count("*").alias("draws"), F.round(F.avg("h"), 6).alias("mean_entropy"), F.round(F.var_pop("h"), 6).alias("var_entropy"), F.sum("tokens").alias("tokens"))
 

@@ -1,4 +1,4 @@
-"""Registered queries without a SQL twin: nested extraction, equivalence, matching, streaming. Tested against plain Python."""
+"""Registered queries over nested extraction, equivalence, matching, conversion and streaming; tested against plain Python, too."""
 
 from __future__ import annotations
 
@@ -71,4 +71,12 @@ def streamed_stop(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (nested_answers, equivalent_answers, answer_clusters, question_matching, online_conversion, streamed_stop)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Twins where plain SQL gives the same rows by another way.
+ORACLE_SQL: dict[str, str] = {
+    "nested_answers": r"SELECT o_orderkey, '\frac{' || o_custkey || '}{' || (o_orderkey % 7 + 1) || '}' AS answer FROM orders",
+    "equivalent_answers": r"WITH o AS (SELECT o_orderkey, o_custkey % 50 AS n, o_orderkey % 4 + 1 AS m FROM orders)"
+    r" SELECT o_orderkey, '\dfrac{' || n || '}{' || m || '}' AS a, CASE m WHEN 4 THEN CAST(n / 4 AS VARCHAR) WHEN 2 THEN CAST(n / 2 + 1 AS VARCHAR) ELSE '\frac{' || n || '}{ ' || m || '}' END AS b, m <> 2 AS is_equiv FROM o",
+    "answer_clusters": r"WITH o AS (SELECT o_custkey % 20 AS question_id, o_orderkey, (o_orderkey % 6 + 1) / 2 AS v, CASE WHEN o_orderkey % 2 = 0 THEN '\frac{' || (o_orderkey % 6 + 1) || '}{2}' ELSE CAST((o_orderkey % 6 + 1) / 2 AS VARCHAR) END AS answer FROM orders)"
+    r" SELECT DISTINCT question_id, answer, first(answer) OVER (PARTITION BY question_id, v ORDER BY o_orderkey) AS canonical FROM o",
+    "streamed_stop": f"WITH {A.SQL_TOKENS}, {A.sql_windows(128)}, s AS (SELECT trace_id, min(pos) AS pos FROM win WHERE n >= 128 AND mean < 23.0 GROUP BY 1) SELECT s.trace_id, s.pos, round(mean, 6) AS mean, true AS stopped FROM s JOIN win USING (trace_id, pos)",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import significance, text
-from traceloom.operators import quarantine, spans, statistics, voting, windows
+from traceloom.operators import quarantine, selection, spans, statistics, voting, windows
 
 from . import adapters as A
 
@@ -268,3 +268,65 @@ def question_rollup(spark, d):
     t = A.tokens(spark, d).groupBy("trace_id").agg(F.count("*").alias("n"), F.min("conf").alias("low"))
     lows = F.array_sort(F.collect_list(F.struct("trace_id", F.col("low").cast("int").cast("string").alias("low"))))
     return t.groupBy((F.col("trace_id") % 10).alias("question_id")).agg(F.count("*").alias("num_traces"), F.sum("n").alias("total_tokens"), F.array_join(lows["low"], ",").alias("min_confs"))
+
+
+@query(
+    f"{W}, r AS (SELECT question_id, idx, answer, CASE WHEN idx % 11 = 0 THEN 'bedrock' ELSE CAST(idx % 10 - 1 AS VARCHAR) END AS run_id, CASE idx % 3 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM votes), k AS (SELECT question_id FROM truths WHERE ground_truth <> 'click')"
+    " SELECT question_id, try_cast(run_id AS INT) AS run_id, count(*) AS n, count(DISTINCT answer) AS n_answers FROM r WHERE try_cast(run_id AS INT) BETWEEN 0 AND 7 AND NOT flag AND question_id IN (SELECT question_id FROM k) GROUP BY 1, 2"
+)
+def selected_runs(spark, d):
+    """Runs in range, traces that are known not to be truncated, questions of a list."""
+    run = F.when(F.col("idx") % 11 == 0, "bedrock").otherwise((F.col("idx") % 10 - 1).cast("string"))
+    flag = F.when(F.col("idx") % 3 == 0, True).when(F.col("idx") % 3 == 1, False)
+    v = A.votes(spark, d).withColumns({"run_id": run, "is_truncated": flag})
+    kept = selection.only(selection.trace_mode(selection.run_range(v), "non_truncated"), A.truths(spark, d).where("ground_truth <> 'click'"), ["question_id"])
+    return kept.groupBy("question_id", F.col("run_id").cast("int").alias("run_id")).agg(F.count("*").alias("n"), F.count_distinct("answer").alias("n_answers"))
+
+
+@query(
+    f"{W}, t AS (SELECT question_id, idx, answer, floor(weight * 10)::BIGINT AS num_tokens, run % 3 = 0 AS stopped FROM votes), c AS (SELECT question_id, answer, count(*) AS n, min(idx) AS f FROM t WHERE num_tokens <= 600 GROUP BY 1, 2 HAVING count(*) >= 2),"
+    " l AS (SELECT question_id, string_agg(answer, '|' ORDER BY n DESC, f) AS candidates, count(*) AS k FROM c GROUP BY 1), p AS (SELECT t.*, NOT (stopped AND num_tokens < 600) AS asked FROM t),"
+    " a AS (SELECT question_id, answer, count(*) AS n, min(idx) AS f FROM p WHERE asked GROUP BY 1, 2), g AS (SELECT question_id, first(answer ORDER BY n DESC, f) AS majority, max(n) AS top, sum(n) AS total, count(*) AS n_unique FROM a GROUP BY 1),"
+    " ok AS (SELECT question_id, sum(n) AS k FROM a JOIN truths USING (question_id) WHERE answer = ground_truth GROUP BY 1),"
+    " u AS (SELECT question_id, count(*) FILTER (WHERE asked) AS n_prompts, sum(CASE WHEN asked THEN least(num_tokens, 600) ELSE num_tokens END)::BIGINT AS token_usage, max(CASE WHEN asked THEN length(answer) END) AS w FROM p GROUP BY 1)"
+    " SELECT u.question_id, coalesce(candidates, '') AS candidates, coalesce(l.k, 0)::INT AS num_candidates, n_prompts, token_usage, majority, round(top / total, 6) AS majority_ratio, n_unique, round(coalesce(ok.k, 0) / total, 6) AS accuracy FROM u LEFT JOIN l USING (question_id) LEFT JOIN g USING (question_id) LEFT JOIN ok USING (question_id)"
+)
+def candidate_probe(spark, d):
+    """Candidates of each question's traces within the token limit, prompts that offer them to the traces that are asked,
+    and the distribution of what those answer (the trace's own answer stands for the model's)."""
+    limit = 600
+    t = A.votes(spark, d).select("question_id", F.col("idx").alias("trace_idx"), "answer", F.floor(F.col("weight") * 10).alias("num_tokens"), F.when(F.col("run") % 3 == 0, "gconf_threshold").alias("stop_reason"))
+    offered = selection.candidate_answers(t, ["question_id"], limit, 2)
+    asked = selection.prompted(F.col("stop_reason"), F.col("num_tokens"), limit)
+    p = t.join(offered, "question_id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    p = p.withColumn("prompt", F.when(asked, F.concat(text.chat(F.concat(F.lit("question "), F.col("question_id").cast("string"))), text.candidate_prompt("candidates"))))
+    usage = F.when(F.col("prompt").isNotNull(), F.least("num_tokens", F.lit(limit))).otherwise(F.col("num_tokens"))
+    spent = p.groupBy("question_id").agg(F.array_join(F.first("candidates"), "|").alias("candidates"), F.size(F.first("candidates")).alias("num_candidates"), F.count("prompt").alias("n_prompts"), F.sum(usage).alias("token_usage"))
+    tallied = voting.tally(p.where("prompt IS NOT NULL"), ["question_id"], "answer", None, "trace_idx").join(A.truths(spark, d), "question_id")
+    right = F.sum(F.when(F.col("answer") == F.col("ground_truth"), F.col("n")).otherwise(0))
+    got = tallied.groupBy("question_id").agg(
+        F.max_by("answer", F.struct("n", -F.col("first_idx"))).alias("majority"), F.round(F.max("n") / F.sum("n"), 6).alias("majority_ratio"), F.count("*").alias("n_unique"), F.round(right / F.sum("n"), 6).alias("accuracy")
+    )
+    return spent.join(got, "question_id", "left")
+
+
+@query("SELECT doc_id, source, bytes FROM (SELECT doc_id, source, octet_length(encode(text))::BIGINT AS bytes FROM documents) ORDER BY bytes DESC, doc_id LIMIT 20")
+def largest_documents(spark, d):
+    """The 20 largest documents by bytes."""
+    docs = A.table(spark, d, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("bytes"))
+    return selection.largest(docs, "bytes", 20, "doc_id")
+
+
+@query(
+    f"{W}, c AS (SELECT question_id % 10 AS q, idx % 4 AS ck, answer, count(*) AS n FROM votes GROUP BY 1, 2, 3), g AS (SELECT question_id % 10 AS q, min(ground_truth) AS gt FROM truths GROUP BY 1),"
+    " top AS (SELECT q, answer FROM (SELECT *, row_number() OVER (PARTITION BY q, ck ORDER BY n DESC, answer) AS r FROM c) WHERE r <= 2 UNION SELECT q, gt FROM g) SELECT top.q, top.answer, top.answer = gt AS is_truth, coalesce(sum(n), 0)::BIGINT AS n FROM top JOIN g USING (q) LEFT JOIN c ON c.q = top.q AND c.answer = top.answer GROUP BY 1, 2, 3"
+)
+def displayed_answers(spark, d):
+    """The most frequent answers of every checkpoint, united over checkpoints, and the truth even where it is rare."""
+    v = A.votes(spark, d).select((F.col("question_id") % 10).alias("q"), (F.col("idx") % 4).alias("ck"), "answer")
+    c = v.groupBy("q", "ck", "answer").agg(F.count("*").alias("n"))
+    truth = A.truths(spark, d).groupBy((F.col("question_id") % 10).alias("q")).agg(F.min("ground_truth").alias("gt"))
+    top = c.withColumn("r", F.row_number().over(Window.partitionBy("q", "ck").orderBy(F.desc("n"), "answer"))).where("r <= 2").select("q", "answer")
+    shown = top.union(truth.select("q", "gt")).distinct()
+    totals = c.groupBy("q", "answer").agg(F.sum("n").alias("n"))
+    return shown.join(totals, ["q", "answer"], "left").join(truth, "q").select("q", "answer", (F.col("answer") == F.col("gt")).alias("is_truth"), F.coalesce("n", F.lit(0)).alias("n"))
