@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceloom.operators import voting, windows
@@ -39,17 +39,27 @@ def trace_answers(tok: DataFrame) -> DataFrame:
 
 
 def traces(spark: SparkSession, sf_dir: str, window: int = 128, tail: int = 256) -> DataFrame:
-    """question_id, trace_idx, answer, num_tokens and the four confidence metrics of each trace."""
-    tok = tokens(spark, sf_dir)
-    rolled = windows.rolling_mean(tok, ["trace_id"], TOKEN_ORDER, "conf", window)
-    from pyspark.sql import Window
-
-    whole = Window.partitionBy("trace_id")
-    rolled = rolled.withColumn("_n", F.count("*").over(whole))
-    plain = rolled.groupBy("trace_id").agg(F.count("*").alias("num_tokens"), F.avg("conf").alias("mean_conf"), F.avg(F.when(F.col("pos") > F.col("_n") - tail, F.col("conf"))).alias("tail_conf"))
-    low = windows.lowest_means(windows.trace_windows(tok, ["trace_id"], TOKEN_ORDER, "conf", window), ["trace_id"])
-    out = plain.join(low, "trace_id").join(trace_answers(tok), "trace_id")
-    return out.select((F.col("trace_id") % 10).alias("question_id"), F.col("trace_id").alias("trace_idx"), "answer", "num_tokens", "mean_conf", "tail_conf", "bottom_conf", "min_conf")
+    """question_id, trace_idx, answer, num_tokens and the four confidence metrics of each trace.
+
+    One scan, one shuffle and one sort: window means, counts and answers of a trace meet in a single aggregate over the
+    partitioning that the running sums need anyway. A trace's window means, as many as it has tokens, are sorted there.
+    """
+    rolled = windows.rolling_mean(tokens(spark, sf_dir), ["trace_id"], TOKEN_ORDER, "conf", window)
+    rolled = rolled.withColumn("_n", F.count("*").over(Window.partitionBy("trace_id")))
+    each = rolled.groupBy("trace_id").agg(
+        F.count("*").alias("num_tokens"), F.avg("conf").alias("mean_conf"), F.avg(F.when(F.col("pos") > F.col("_n") - tail, F.col("conf"))).alias("tail_conf"),
+        F.sort_array(F.collect_list("mean")).alias("_means"), F.mode("flag", True).alias("answer"),
+    )
+    low = F.when(F.size("_means") > 0, F.col("_means")).otherwise(F.array("mean_conf"))
+    each = each.withColumn("_low", low).withColumn("_k", F.greatest(F.floor(F.size("_low") * 0.1), F.lit(1)).cast("int"))
+    bottom = F.aggregate(F.slice("_low", F.lit(1), F.col("_k")), F.lit(0.0), lambda s, x: s + x) / F.col("_k")
+    return each.select((F.col("trace_id") % 10).alias("question_id"), F.col("trace_id").alias("trace_idx"), "answer", "num_tokens", "mean_conf", "tail_conf", bottom.alias("bottom_conf"), F.get("_low", F.lit(0)).alias("min_conf"))
+
+
+def with_truths(traces_: DataFrame) -> DataFrame:
+    """``traces_`` with the question's truth, its first trace's answer, in the partitioning that votes by question use."""
+    first = F.first("answer").over(Window.partitionBy("question_id").orderBy("trace_idx"))
+    return traces_.withColumn("ground_truth", first)
 
 
 def question_truths(traces_: DataFrame) -> DataFrame:

@@ -167,8 +167,7 @@ def top_eta_vote(spark, d):
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    t = A.traces(spark, d)
-    return experiment(t, A.question_truths(t), ["question_id"])
+    return experiment(A.with_truths(A.traces(spark, d)), None, ["question_id"])
 
 
 SQL_RECORDS = f"WITH {A.SQL_TRACES}, {SQL_METHOD_ROWS}"
@@ -627,9 +626,9 @@ def set_operations_all(spark, d):
 
 def bootstrap_records(spark: SparkSession, d: str) -> DataFrame:
     """The seven methods on each of 64 resamples of at most 512 traces of each question."""
-    t = A.traces(spark, d)
+    t = A.with_truths(A.traces(spark, d))
     sample = sampling.bootstrap(t, ["question_id"], "trace_idx", 64, 512).drop("trace_idx").withColumnRenamed("slot", "trace_idx")
-    return experiment(sample, A.question_truths(t), ["question_id", "bootstrap_idx"])
+    return experiment(sample, None, ["question_id", "bootstrap_idx"])
 
 
 SQL_BOOTSTRAP = (
@@ -678,7 +677,8 @@ def warmup_entropy(spark, d):
     t = A.traces(spark, d).select("question_id", "trace_idx", "answer", "num_tokens")
     drawn = sampling.draws_without_replacement(t, ["question_id"], "trace_idx", 8, 4)
     tally = drawn.groupBy("question_id", "draw", "answer").agg(F.count("*").alias("n"), F.sum("num_tokens").alias("tokens"))
-    h = statistics.entropy(tally, ["question_id", "draw"], "n", "2", "h").join(tally.groupBy("question_id", "draw").agg(F.sum("tokens").alias("tokens")), ["question_id", "draw"])
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("question_id", "draw"))
+    h = tally.withColumn("p", p).groupBy("question_id", "draw").agg((-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.sum("tokens").alias("tokens"))
     return h.groupBy("question_id").agg(F.count("*").alias("draws"), F.round(F.avg("h"), 6).alias("mean_entropy"), F.round(F.var_pop("h"), 6).alias("var_entropy"), F.sum("tokens").alias("tokens"))
 
 

@@ -33,24 +33,26 @@ def method_rows(traces: DataFrame, keys: list[str], top: float = 0.1) -> DataFra
         )
         for name, metric, bar in METHODS
     ]
-    spread = rows.select(*keys, "trace_idx", "answer", F.explode(F.array(*cells)).alias("m"))
-    return spread.where("m.counts").select(*keys, "m.voting_method", "trace_idx", "answer", "m.weight", "m.conf")
+    carried = [c for c in ("ground_truth",) if c in traces.columns]
+    spread = rows.select(*keys, *carried, "trace_idx", "answer", F.explode(F.array(*cells)).alias("m"))
+    return spread.where("m.counts").select(*keys, *carried, "m.voting_method", "trace_idx", "answer", "m.weight", "m.conf")
 
 
-def experiment(traces: DataFrame, truths: DataFrame, keys: list[str], equal=None) -> DataFrame:
+def experiment(traces: DataFrame, truths: DataFrame | None, keys: list[str], equal=None) -> DataFrame:
     """keys, voting_method, predicted_answer, ground_truth, is_correct, num_votes, avg_confidence.
 
-    A weighted method appears only if some weight is positive; the majority has no confidence and reports 0.
+    Without ``truths`` the traces carry their ``ground_truth``. A weighted method appears only if some weight is positive; the majority has no confidence and reports 0.
     """
     rows = method_rows(traces, keys)
     by = [*keys, "voting_method"]
+    known = [] if truths is not None else [F.max("ground_truth").alias("ground_truth")]
     tallied = rows.groupBy(*by, "answer").agg(
-        F.count("*").alias("n"), F.round(F.sum("weight"), voting.WEIGHT_DECIMALS).alias("weight"), F.min("trace_idx").alias("first_idx"), F.sum("conf").alias("conf"), F.max("weight").alias("most")
+        F.count("*").alias("n"), F.round(F.sum("weight"), voting.WEIGHT_DECIMALS).alias("weight"), F.min("trace_idx").alias("first_idx"), F.sum("conf").alias("conf"), F.max("weight").alias("most"), *known
     )
     best = F.max_by("answer", F.struct("weight", -F.col("first_idx")))
-    voted = tallied.groupBy(*by).agg(best.alias("predicted_answer"), F.sum("n").alias("num_votes"), (F.sum("conf") / F.sum("n")).alias("c"), F.max("most").alias("most"))
+    voted = tallied.groupBy(*by).agg(best.alias("predicted_answer"), F.sum("n").alias("num_votes"), (F.sum("conf") / F.sum("n")).alias("c"), F.max("most").alias("most"), *known)
     voted = voted.where("most > 0").withColumn("avg_confidence", F.coalesce("c", F.lit(0.0))).drop("c", "most")
-    judged = voted.join(truths, [k for k in keys if k in truths.columns], "left")
+    judged = voted if truths is None else voted.join(truths, [k for k in keys if k in truths.columns], "left")
     same = F.col("predicted_answer") == F.col("ground_truth") if equal is None else equal(F.col("predicted_answer"), F.col("ground_truth"))
     return judged.withColumn("is_correct", F.coalesce(same, F.lit(False)))
 
