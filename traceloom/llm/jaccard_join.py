@@ -75,7 +75,9 @@ def distinct_count(registers: np.ndarray) -> float:
     return m * math.log(m / empty) if raw <= 2.5 * m and empty else float(raw)
 
 
-_SURVEY = f"kind int, row long, doc_id long, n long, cls long, {SKETCH}"
+_SURVEY = f"kind int, row long, doc_id long, n long, cls long, {SKETCH}, wide binary"
+#: Sets of more elements get a wide sketch, too: over so many the short one, of 512 bits, tells unlike sets apart.
+LONG = 1000
 
 
 def _survey(k: int):
@@ -83,9 +85,9 @@ def _survey(k: int):
 
     def counted(kind: int, n: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(n), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), none, none, pa.array(n), pa.array(cls), *[none] * WORDS], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), none, none, pa.array(n), pa.array(cls), *[none] * WORDS, pa.nulls(len(n), pa.binary())], names)
 
-    names = ["kind", "row", "doc_id", "n", "cls", *BITS]
+    names = ["kind", "row", "doc_id", "n", "cls", *BITS, "wide"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -99,17 +101,18 @@ def _survey(k: int):
             return counted(1, counts[often], values[often].view(np.int64))
 
         for batch in batches:
-            ns, cls, bits = [], [], []
+            ns, cls, bits, wide = [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles.shingle_set(text, k)
                 ns.append(len(s))
                 cls.append(shingles.digest(s) if len(s) else None)
                 bits.append(xor_bits(s))
+                wide.append(wide_bits(s) if len(s) > LONG else None)
                 held.append(s)
                 size += len(s)
             if ns:
                 bits = np.array(bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(bits[:, w]) for w in range(WORDS))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), *(pa.array(bits[:, w]) for w in range(WORDS)), pa.array(wide, pa.binary())], names)
             if size >= STRETCH:
                 yield stretch()
                 held, size = [], 0
@@ -230,7 +233,7 @@ def _classes(documents: DataFrame, k: int, percent: int, doc_id: str, text: str)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
     surveyed = written(docs.mapInArrow(_survey(k), _SURVEY), "join-survey")
     info = surveyed.where("kind = 0 AND cls IS NOT NULL")
-    first = written(info.groupBy("cls").agg(F.min("row").alias("row"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS]), "join-first")
+    first = written(info.groupBy("cls").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("wide").alias("wide"), *[F.first(b).alias(b) for b in BITS]), "join-first")
     often = surveyed.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(FREQUENT).collect()
     frequent = np.array([r["cls"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(frequent)
@@ -260,7 +263,8 @@ def _classes(documents: DataFrame, k: int, percent: int, doc_id: str, text: str)
     spare = [f"({x}_n - ceil({percent} * {x}_n / 100) + 1 - ({x}_n - {lack}))" for x in "ab"]
     enough = f"least(a_n, b_n) <= {boundary} OR common >= least({spare[0]}, {spare[1]})"
     sketches = first.select(F.col("cls").alias("id"), "n", *BITS)
-    comp = link_components(postings, sketches, verify, percent / 100, sized_sets=True, enough=enough)
+    wide = first.where("wide IS NOT NULL").select(F.col("cls").alias("id"), "wide")
+    comp = link_components(postings, sketches, verify, percent / 100, sized_sets=True, enough=enough, wide=wide)
     discard(postings)
     labelled = surveyed.where("kind = 0").select("row", "doc_id", "n", "cls").join(comp.select(F.col("id").alias("cls"), "comp"), "cls", "left")
     # Rows without a class need none of the joins; a class that links with no other is a component by itself.

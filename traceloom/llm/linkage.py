@@ -98,7 +98,10 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(slack: float, ratio: float, forest: bool):
-    """Over rows (task, block, id, comp, n, sketch) sorted by task: near pairs of a task's part and block that are apart."""
+    """Over rows (task, side, id, comp, n, sketch, wide) sorted by task: near pairs of a task's part and block that are apart.
+
+    Where both have a wide sketch it is asked, too: short ones tell little about long sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
@@ -106,13 +109,18 @@ def _compare(slack: float, ratio: float, forest: bool):
         def pairs() -> pa.RecordBatch | None:
             if not held:
                 return None
-            rows = np.concatenate(held, axis=1)
+            rows = np.concatenate([r for r, _ in held], axis=1)
+            wide = np.array([w for _, some in held for w in some] + [None], object)[:-1]
             inside = rows[1] == 1
             p, q = rows[:, ~inside], rows[:, inside]
             if not p.size or not q.size:
                 return None
             near = _near(p[5:].T, q[5:].T, p[4], q[4], slack, ratio) & (p[3][:, None] != q[3][None, :])
             i, j = np.nonzero(near)
+            x, y = wide[~inside], wide[inside]
+            most = slack * (p[4][i] + q[4][j]) + 1e-6
+            kept = [u is None or v is None or least_difference(u, v) <= m for u, v, m in zip(x[i], y[j], most, strict=True)]
+            i, j = i[kept], j[kept]
             if not len(i):
                 return None
             if forest:
@@ -124,7 +132,7 @@ def _compare(slack: float, ratio: float, forest: bool):
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows, wide = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]), batch.columns[-1].to_pylist()
             cuts = np.flatnonzero(np.diff(rows[0])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, rows.shape[1]], strict=True):
                 if lo == hi:
@@ -133,7 +141,7 @@ def _compare(slack: float, ratio: float, forest: bool):
                     if (out := pairs()) is not None:
                         yield out
                     task, held = rows[0, lo], []
-                held.append(rows[:, lo:hi].copy())
+                held.append((rows[:, lo:hi].copy(), wide[lo:hi]))
         if (out := pairs()) is not None:
             yield out
         held = []
@@ -142,12 +150,13 @@ def _compare(slack: float, ratio: float, forest: bool):
     return run
 
 
-def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, sized_sets: bool = False, enough: str | None = None) -> DataFrame:
+def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, sized_sets: bool = False, enough: str | None = None, wide: DataFrame | None = None) -> DataFrame:
     """(id, comp) of the ids that link with another one.
 
     ``members``: (key, id, n), rows may repeat. ``sketches``: (id, n, BITS). n is at least the size of the id's set, and
     the size itself if ``sized_sets``, so that sizes rule pairs out, too. ``verify``: (a, b) -> written (a, b) of those
-    that link. ``enough``: a condition that links imply over a_n, b_n and ``common``, a bound on the keys both have.
+    that link. ``enough``: a condition that links imply over a_n, b_n and ``common``, a bound on the keys both have. ``wide``:
+    (id, wide), ``wide_bits`` of the sets that are long for their sketches.
     """
     slack, ratio = (1.0 - threshold) / (1.0 + threshold), threshold if sized_sets else 0.0
     fits = lambda a, b: F.least(a, b) >= F.lit(ratio) * F.greatest(a, b) - 1e-6
@@ -214,11 +223,12 @@ def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[D
         if state.isEmpty():
             return comp
         open_ = labelled.drop("size").join(sized(state, FEW_KEYS), "key")
+        open_ = open_.withColumn("wide", F.lit(None).cast("binary")) if wide is None else open_.join(wide.select("id", "wide"), "id", "left")
         deal = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(k)).cast("int")
         part, block = deal(1, "parts"), deal(2, "blocks")
         outside = open_.where("comp <> main").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         every = open_.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = [df.select(F.xxhash64("key", "part", "block").alias("task"), F.lit(side).cast("long").alias("side"), "id", "comp", F.col("of").cast("long").alias("of"), *BITS) for df, side in ((outside, 0), (every, 1))]
+        rows = [df.select(F.xxhash64("key", "part", "block").alias("task"), F.lit(side).cast("long").alias("side"), "id", "comp", F.col("of").cast("long").alias("of"), *BITS, "wide") for df, side in ((outside, 0), (every, 1))]
         dealt = rows[0].union(rows[1]).repartition(n, "task").sortWithinPartitions("task")
         found = dealt.mapInArrow(_compare(slack, ratio, forest), "a long, b long").distinct()
         found = written(found.join(tested, ["a", "b"], "left_anti"), "link-near")
