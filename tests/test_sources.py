@@ -23,6 +23,21 @@ def test_result_documents(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("original", 4, "final", 0, "5"), ("original", 4, "warmup", 0, "5"), ("simple", 3, "all", 0, "5"), ("simple", 3, "all", 1, "5")]
 
 
+def test_a_broken_file_is_an_error_row(spark, tmp_path):
+    import pytest
+
+    trace = {"text": "t", "num_tokens": 1, "confs": [2.0]}
+    (tmp_path / "x_simple_qid3_rid0_20250101_000000.pkl").write_bytes(pickle.dumps({"all_traces": [trace]}))
+    (tmp_path / "x_simple_qid4_rid0_20250101_000000.pkl").write_bytes(b"no pickle")
+    (tmp_path / "qid5_batch00.pkl").write_bytes(pickle.dumps(print))
+    rows = {r.question_id: r for r in readers.result_documents(spark, str(tmp_path), errors="row").collect()}
+    assert rows[3].error is None and rows[3].confs == [2.0] and rows[3].tag == "qid3"
+    assert rows[4].error.startswith("UnpicklingError") and rows[4].confs is None
+    assert "is not plain data" in rows[5].error and rows[5].tag is None
+    with pytest.raises(Exception, match="UnpicklingError"):
+        readers.result_documents(spark, str(tmp_path)).collect()
+
+
 def test_pickles_that_load_code_are_refused():
     import io
 

@@ -570,34 +570,6 @@ def answer_order(spark, d):
     return placed.select("q", "answer", F.round("top", 6).alias("top"), "place")
 
 
-@query(
-    f"{W}, p AS (SELECT question_id, idx // 500 AS step, sum(weight) AS v FROM votes WHERE question_id % 3 = 0 GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT question_id FROM p), (SELECT DISTINCT idx // 500 AS step FROM votes))"
-    " SELECT g.question_id, g.step::BIGINT AS step, round(last_value(v IGNORE NULLS) OVER (PARTITION BY g.question_id ORDER BY g.step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS v FROM g LEFT JOIN p ON p.question_id = g.question_id AND p.step = g.step"
-)
-def carried_points(spark, d):
-    """Metric points on a grid of steps; a missing one repeats the previous."""
-    from traceloom.sources.readers import metric_points
-
-    v = A.votes(spark, d).withColumn("step", F.floor(F.col("idx") / 500))
-    p = v.where("question_id % 3 = 0").groupBy("question_id", "step").agg(F.sum("weight").alias("v"))
-    g = p.select("question_id").distinct().crossJoin(F.broadcast(v.select("step").distinct()))  # steps are a short axis
-    return metric_points(p, g, ["question_id"], "step", ["v"]).select("question_id", "step", F.round("v", 4).alias("v"))
-
-
-@query(
-    f"{W}, a AS (SELECT question_id, answer, weight, idx, 0 AS phase FROM votes WHERE run = 0), b AS (SELECT question_id, answer, weight, idx, 1 AS phase FROM votes WHERE run = 1 AND weight > 20), u AS (SELECT * FROM a UNION ALL SELECT * FROM b)"
-    " SELECT question_id, phase, count(*) AS n, count(DISTINCT answer) AS n_answers, first(answer ORDER BY phase, idx) AS first_answer FROM u GROUP BY 1, 2 EXCEPT SELECT question_id, 1, 1, 1, answer FROM b"
-)
-def set_operations(spark, d):
-    """Union of phases in order, distinct answers, and a difference."""
-    v = A.votes(spark, d).select("question_id", "answer", "weight", "idx", "run")
-    a = v.where("run = 0").withColumn("phase", F.lit(0))
-    b = v.where("run = 1 AND weight > 20").withColumn("phase", F.lit(1))
-    u = a.unionByName(b).groupBy("question_id", "phase").agg(F.count("*").alias("n"), F.count_distinct("answer").alias("n_answers"), F.min_by("answer", F.struct("phase", "idx")).alias("first_answer"))
-    gone = b.select("question_id", F.lit(1).alias("phase"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_answers"), F.col("answer").alias("first_answer"))
-    return u.exceptAll(u.intersect(gone))
-
-
 @query(
     f"{W}, p AS (SELECT question_id, idx // 500 AS step, sum(weight) AS v FROM votes GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT question_id FROM p), (SELECT DISTINCT idx // 500 AS step FROM votes))"
     " SELECT g.question_id, g.step::BIGINT AS step, round(last_value(v IGNORE NULLS) OVER (PARTITION BY g.question_id ORDER BY g.step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS v FROM g LEFT JOIN p ON p.question_id = g.question_id AND p.step = g.step"
@@ -624,6 +596,11 @@ def set_operations_all(spark, d):
     return u.exceptAll(u.intersect(gone))
 
 
+# Both cover all questions and events under their shorter names, too.
+for _name in ("carried_points", "set_operations"):
+    QUERIES[_name], ORACLE_SQL[_name] = QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"]
+
+
 def bootstrap_records(spark: SparkSession, d: str) -> DataFrame:
     """The seven methods on each of 64 resamples of at most 512 traces of each question."""
     t = A.with_truths(A.traces(spark, d))

@@ -69,36 +69,58 @@ def _phases(data) -> dict[str, list]:
     return {"all": [data]} if all(v is None for v in by_phase.values()) and ("text" in data or "confs" in data) else by_phase
 
 
-def _unpickled(batches):
-    import pandas as pd
-
+def _unpickled(fail: bool):
     names = [f.name for f in schemas.TRACE.fields]
-    for pdf in batches:
+    columns = ["path", "phase", "trace_idx", "ground_truth", "conf_bar", *names, "error"]
+
+    def traces(path: str, content: bytes) -> list[dict]:
+        data = _Plain(io.BytesIO(content)).load()
+        whole = data if isinstance(data, dict) else {}
+        nth = re.search(r"trace_(\d+)\.pkl$", path)
         rows = []
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            data = _Plain(io.BytesIO(content)).load()
-            whole = data if isinstance(data, dict) else {}
-            nth = re.search(r"trace_(\d+)\.pkl$", path)
-            for phase, some in _phases(data).items():
-                for i, t in enumerate(some or []):
-                    at = {"path": path, "phase": phase, "trace_idx": int(nth[1]) if nth else i}
-                    rows.append(at | {"ground_truth": whole.get("ground_truth"), "conf_bar": whole.get("conf_bar")} | {n: t.get(n) for n in names})
-        yield pd.DataFrame(rows, columns=["path", "phase", "trace_idx", "ground_truth", "conf_bar", *names])
-
-
-def result_documents(spark: SparkSession, path: str) -> DataFrame:
+        for phase, some in _phases(data).items():
+            for i, t in enumerate(some or []):
+                at = {"path": path, "phase": phase, "trace_idx": int(nth[1]) if nth else i}
+                rows.append(at | {"ground_truth": whole.get("ground_truth"), "conf_bar": whole.get("conf_bar"), "error": None} | {n: t.get(n) for n in names})
+        return rows
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):  # one file at a time
+                try:
+                    rows = traces(path, content)
+                except Exception as e:  # noqa: BLE001  a broken file may hold anything
+                    if fail:
+                        raise
+                    rows = [dict.fromkeys(columns) | {"path": path, "error": f"{type(e).__name__}: {e}"}]
+                yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return run
+
+
+def result_documents(spark: SparkSession, path: str, errors: str = "fail") -> DataFrame:
     """Traces of result documents written by the pickle protocol, with method, question and run from the file name.
 
     Files of one trace (``qid3_rid0/trace_0007.pkl``) and batches (``qid3_batch02.pkl``, a bare list) are read, too:
     their question comes from the path, ``batch`` orders a question's batches, and ``trace_idx`` is the number in the
-    file name or the place in the batch. ``conf_bar`` is null where a document has none.
+    file name or the place in the batch. ``conf_bar`` is null where a document has none. ``tag`` is the third part of
+    the name between underscores, null in shorter names.
+
+    With ``errors="row"`` a file that cannot be read is one row with its path and ``error``; else it fails the read.
 
     A one-off conversion: write the result as Parquet and read that. Only plain data is accepted.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pkl").load(path).select("path", "content")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.TRACE.fields)
-    rows = files.mapInPandas(_unpickled, f"path string, phase string, trace_idx int, ground_truth string, conf_bar double, {fields}")
-    named = rows.withColumn("file", text.parse_file_name(F.element_at(F.split("path", "/"), -1)))
+    if errors not in ("fail", "row"):
+        raise ValueError(f"errors must be fail or row, not {errors!r}")
+    rows = files.mapInPandas(_unpickled(errors == "fail"), f"path string, phase string, trace_idx int, ground_truth string, conf_bar double, {fields}, error string")
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = rows.withColumn("tag", F.get(F.split(name, "_"), F.lit(2)))
+    rows = rows if errors == "row" else rows.drop("error")
+    named = rows.withColumn("file", text.parse_file_name(name))
     number = lambda pattern: F.regexp_extract("path", pattern, 1).try_cast("int")
     out = named.select("file.*", *rows.columns, number(r"_batch(\d+)\.pkl$").alias("batch"))
     return out.withColumn("question_id", F.coalesce(number(r"qid(\d+)(?:_batch\d+\.pkl|_rid[^/]*/trace_\d+\.pkl)$"), "question_id"))
