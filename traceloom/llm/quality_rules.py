@@ -3,8 +3,9 @@
 ``text_statistics`` adds the statistics, ``learn_rules`` grows and prunes conjunctions of thresholds by
 sequential covering on labelled statistics, and ``Rules.verdict`` is the ordered Spark conditional.
 
-Defined results: a null text counts as empty; other columns (also ones with clashing names) pass through;
-repeated rows are judged alike; with no usable labels the list is empty and only the base rule rejects.
+Defined results: a null text counts as empty, and a text of any length is measured whole; repeated rows are judged
+alike; with no usable labels the list is empty and only the base rule rejects; an empty table gives no rows. ``judge``
+replaces input columns that have the names of its results; ``accepted`` leaves every column as it is, whatever its name.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import private, written
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -240,3 +241,10 @@ def judge(documents: DataFrame, labels: DataFrame, max_labelled: int = 12_000, *
     once = F.monotonically_increasing_id() >= 0
     judged = judged.withColumn("base_failed", base_failed()).withColumn("fired", rules.fired())
     return judged.withColumn("kept", once & ~F.col("base_failed") & rules.verdict())
+
+
+def accepted(documents: DataFrame, labels: DataFrame, max_labelled: int = 12_000, **fit) -> DataFrame:
+    """The rows of ``documents`` that are kept, all columns as they are."""
+    (row,) = private(documents.select("doc_id", "text"), "row")
+    whole = documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(row))
+    return judge(whole, labels, max_labelled, **fit).where("kept").select(f"{row}.*")

@@ -10,8 +10,10 @@
 The tree is built from one row per host and coarse template, never from single pages, so a host with a third of all
 pages is summed before any shuffle. Path segments beyond ``max_depth`` generalise to ``**``.
 
-Defined results: a null url or one without ``://`` has empty host and path (one template); repeated rows are judged
-alike; without labels nothing is rejected by the method; other columns are not touched.
+Defined results: a null url or one without ``://`` has empty host and path (one template); urls of any length are read
+whole; repeated rows are judged alike; a child whose rate differs from the pooled one by exactly ``similar_z`` is merged;
+without labels nothing is rejected by the method; an empty table gives no rows. Input columns with the names of the
+results (``RESULTS``) are replaced, all others are left as they are.
 """
 
 from __future__ import annotations
@@ -96,12 +98,18 @@ def template_tree(pages: DataFrame, bad: str, max_depth: int = 8, max_children:
     return written(tree.select("host", "coarse", "template").join(written(judged, "url-judged"), ["host", "template"]), "url-verdicts")
 
 
+RESULTS = ["host", "path", "rule", "verdict", "template", "purity"]
+
+
 def filter_urls(pages: DataFrame, bad: Column, rules: list[UrlRule], reject_at: float = 0.5, **tree) -> DataFrame:
-    """``pages`` with host, path, rule, verdict, template and purity. ``bad``: null for an unlabelled page."""
+    """``pages`` with ``RESULTS``. ``bad``: null for an unlabelled page."""
+    kept = [c for c in pages.columns if c not in RESULTS]
     host, path = split_url(F.col("url"))
-    parsed = pages.withColumns({"host": host, "path": path, "_bad": bad}).withColumn("coarse", coarse_template(F.col("path"), tree.get("max_depth", 8)))
-    verdicts = template_tree(parsed.select("host", "coarse", "_bad"), "_bad", **tree)
-    ruled = parsed.drop("template", "purity", "rule", "verdict").withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    judged = ruled.join(verdicts, ["host", "coarse"], "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("_"))
+    parsed = pages.select(row.alias("row"), host.alias("host"), path.alias("path"), bad.alias("bad"))
+    parsed = parsed.withColumn("coarse", coarse_template(F.col("path"), tree.get("max_depth", 8)))
+    verdicts = template_tree(parsed.select("host", "coarse", "bad"), "bad", **tree).select("host", "coarse", "template", "purity")
+    judged = parsed.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(verdicts, ["host", "coarse"], "left")
     method = F.when(F.col("purity") >= reject_at, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.verdict"), method)}).drop("_rule", "_bad", "coarse")
+    verdict = F.coalesce(F.col("r.verdict"), method).alias("verdict")
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in kept], "host", "path", F.col("r.rule").alias("rule"), verdict, "template", "purity")
