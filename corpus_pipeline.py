@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's ``docs``. All but the last return the columns of ``documents``. Classifiers are fitted on a bounded
 sample of the labelled rows of the corpus itself; everything else covers all rows that reached the stage.
+
+Defined results, for every stage: null and empty texts are documents without words (the quality rules reject them);
+a null ``doc_id`` has no label and otherwise counts as any other; rows that repeat an id are judged one by one; of rows
+that are equal in id and text the Jaccard stage leaves one; of linked documents the least id stays, ties by a hash of
+the text; texts of any length are read whole; extra columns go through all stages but the last, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from traceloom.llm.common import table, written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned rules keep."""
-    return quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    return quality_rules.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
