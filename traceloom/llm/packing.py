@@ -4,19 +4,23 @@
 2. Only the histogram of piece lengths (at most ``capacity`` rows) reaches the driver. There, groups of equal bins are
    filled best-fit decreasing, a group at a time, so the plan's size depends on the capacity, not on the corpus.
 3. Local search moves one item, or exchanges one or two for one, between underfull groups wherever the sum of squared
-   fills rises, so that light bins drain into heavier ones until they are empty.
+   fills rises, so that light bins drain into heavier ones until they are empty. It ends at the lower bound of bins, or
+   when no two groups have an exchange left; every pair of group contents is looked at once.
 4. Each piece finds its place by its rank among the pieces of its length. Ranks are a count within the task that
    read the document plus a running count over tasks, so nothing is sorted and no length meets in one task.
 
 Defined results: a null or empty text is one piece that holds only the end id; repeated rows and repeated or null
-``doc_id`` values are packed one by one; an empty table gives no rows; other columns are ignored.
+``doc_id`` values are packed one by one; a text of any length is cut and packed whole; of equal gains the first found
+is taken, which places pieces otherwise but packs no worse; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import combinations
 
 import numpy as np
@@ -28,8 +32,6 @@ from pyspark.sql import functions as F
 from .common import small_batches, tidy, written
 from .tokens import MEMO, encoder, file_bytes
 
-#: Steps of the local search. Any number gives a valid packing; the search ends at the lower bound or in a local optimum.
-SEARCH_STEPS = 20_000
 _RANK_BITS = 44
 
 
@@ -71,58 +73,95 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Group]:
     return [g for groups in by_room for g in groups]
 
 
-def _transfer(donor: Group, receiver: Group, capacity: int) -> tuple[Counter, Counter] | None:
+class Content:
+    """What one bin of a group holds, and what it may give and take."""
+
+    def __init__(self, items: Counter):
+        self.items = items
+        self.fill = sum(s * m for s, m in items.items())
+        self.takes = sorted(items)
+        pairs = [*combinations(self.takes, 2), *((s, s) for s in self.takes if items[s] > 1)]
+        self.gives = [(s, (s,)) for s in self.takes] + [(a + b, (a, b)) for a, b in pairs]
+
+
+def _transfer(donor: Content, receiver: Content, capacity: int) -> tuple[Counter, Counter] | None:
     """The items that leave the donor and those it takes back, with the largest rise of squared fill; else None."""
     room = capacity - receiver.fill
     best, least = None, max(0, donor.fill - receiver.fill)
-    singles = list(donor.items)
-    pairs = [Counter(p) for p in combinations(singles, 2)] + [Counter({s: 2}) for s in singles if donor.items[s] > 1]
-    for give in [*(Counter({s: 1}) for s in singles), *pairs]:
-        total = sum(s * m for s, m in give.items())
-        takes = [0] if sum(give.values()) == 1 else []
-        for b in [*takes, *receiver.items]:
-            rise = total - b
-            if least < rise <= room:
-                best, least = (give, Counter({b: 1}) if b else Counter()), rise
-    return best
-
-
-def local_search(groups: list[Group], capacity: int, steps: int = SEARCH_STEPS) -> list[Group]:
-    total = sum(g.fill * g.count for g in groups)
-    bound = -(-total // capacity)
-    full = [g for g in groups if g.fill == capacity]
-    under = [g for g in groups if g.fill < capacity]
-    n = sum(g.count for g in groups)
-    while n > bound and steps > 0:
-        under.sort(key=lambda g: g.fill)
-        step = None
-        for i, donor in enumerate(under):
-            for j in range(len(under) - 1, -1, -1):
-                steps -= 1
-                receiver = under[j]
-                if i == j and donor.count < 2:
-                    continue
-                if found := _transfer(donor, receiver, capacity):
-                    step = (i, j, found)
-                    break
-            if step or steps <= 0:
-                break
-        if not step:
+    for total, give in donor.gives:
+        if len(give) == 1 and least < total <= room:
+            best, least = (give, ()), total
+        # The smallest item of the receiver that leaves no more than its room is the best one to take.
+        at = bisect_left(receiver.takes, total - room)
+        if at < len(receiver.takes) and total - receiver.takes[at] > least:
+            best, least = (give, (receiver.takes[at],)), total - receiver.takes[at]
+        if least == room:
             break
-        i, j, (give, take) = step
-        donor, receiver = under[i], under[j]
-        times = min(donor.count, receiver.count) if i != j else donor.count // 2
-        lighter = Group(times, donor.items - give + take)
-        heavier = Group(times, receiver.items - take + give)
-        kept = [g for k, g in enumerate(under) if k not in (i, j)]
-        rest = [Group(donor.count - times * (2 if i == j else 1), donor.items)] + ([Group(receiver.count - times, receiver.items)] if i != j else [])
-        for g in [lighter, heavier, *rest]:
-            if g.count and g.fill:
-                (full if g.fill == capacity else kept).append(g)
-        if not lighter.fill:
+    return best and (Counter(best[0]), Counter(best[1]))
+
+
+def local_search(groups: list[Group], capacity: int) -> list[Group]:
+    """Groups without an exchange that raises the sum of squared fills, or at the lower bound of bins."""
+    bound = -(-sum(g.fill * g.count for g in groups) // capacity)
+    counts: Counter = Counter()
+    contents: dict[tuple, Content] = {}
+    made: list[tuple] = []  # all contents so far, so that each pair is looked at once
+    looked: dict[tuple, int] = {}
+    waiting: list[tuple[int, tuple]] = []  # donors by fill; a heap
+
+    def put(items: Counter, count: int) -> None:
+        key = tuple(sorted(items.items()))
+        if not key or not count:
+            return
+        if key not in contents:
+            contents[key] = Content(items)
+            made.append(key)
+            looked[key] = 0
+        counts[key] += count
+        if contents[key].fill < capacity:
+            heappush(waiting, (contents[key].fill, key))
+
+    for g in sorted(groups, key=lambda g: -g.fill):
+        put(g.items, g.count)
+    n = sum(counts.values())
+    while n > bound:
+        while waiting:
+            _, key = heappop(waiting)
+            if counts[key]:
+                break
+        else:
+            # Contents that came after a donor had looked are looked at once more, if there are any.
+            late = [k for k in made if counts[k] and looked[k] < len(made) and contents[k].fill < capacity]
+            if not late:
+                break
+            for k in late:
+                heappush(waiting, (contents[k].fill, k))
+            continue
+        donor, found = contents[key], None
+        while looked[key] < len(made):
+            other = made[looked[key]]
+            if counts[other] > (other == key) and contents[other].fill < capacity and (found := _transfer(donor, contents[other], capacity)):
+                break  # the same pair may go on with what is left of it
+            # What is not there now may be made again by an exchange: it is then looked at by ``late``.
+            looked[key] += 1
+        if not found:
+            continue
+        give, take = found
+        times = counts[key] // 2 if other == key else min(counts[key], counts[other])
+        counts[key] -= times
+        counts[other] -= times
+        lighter = donor.items - give + take
+        for items in (contents[other].items - take + give, lighter):
+            again = tuple(sorted(items.items()))
+            if again in contents and not counts[again]:
+                for k in looked:  # it was passed over while it was gone
+                    looked[k] = min(looked[k], made.index(again))
+            put(items, times)
+        if not lighter:
             n -= times
-        under = kept
-    return full + under
+        if counts[key]:
+            heappush(waiting, (donor.fill, key))
+    return [Group(c, contents[k].items) for k, c in counts.items() if c]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
