@@ -4,8 +4,8 @@
 2. Only the histogram of piece lengths (at most ``capacity`` rows) reaches the driver. There, groups of equal bins are
    filled best-fit decreasing, a group at a time, so the plan's size depends on the capacity, not on the corpus.
 3. Local search moves one item, or exchanges one or two for one, between underfull groups wherever the sum of squared
-   fills rises, so that light bins drain into heavier ones until they are empty. It ends at the lower bound of bins, or
-   when no two groups have an exchange left; every pair of group contents is looked at once.
+   fills rises, so that light bins drain into heavier ones until they are empty. Sizes on offer are indexed, the
+   lightest giver first. It ends at the lower bound of bins, or after a pass over all bins that finds no exchange.
 4. Each piece finds its place by its rank among the pieces of its length. Ranks are a count within the task that
    read the document plus a running count over tasks, so nothing is sorted and no length meets in one task.
 
@@ -17,10 +17,9 @@ is taken, which places pieces otherwise but packs no worse; an empty table gives
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
-from heapq import heappop, heappush
 from itertools import combinations
 
 import numpy as np
@@ -74,94 +73,95 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Group]:
 
 
 class Content:
-    """What one bin of a group holds, and what it may give and take."""
+    """What one bin of a group holds, and the single items and pairs that it may give, by their size."""
 
     def __init__(self, items: Counter):
         self.items = items
         self.fill = sum(s * m for s, m in items.items())
-        self.takes = sorted(items)
-        pairs = [*combinations(self.takes, 2), *((s, s) for s in self.takes if items[s] > 1)]
-        self.gives = [(s, (s,)) for s in self.takes] + [(a + b, (a, b)) for a, b in pairs]
-
-
-def _transfer(donor: Content, receiver: Content, capacity: int) -> tuple[Counter, Counter] | None:
-    """The items that leave the donor and those it takes back, with the largest rise of squared fill; else None."""
-    room = capacity - receiver.fill
-    best, least = None, max(0, donor.fill - receiver.fill)
-    for total, give in donor.gives:
-        if len(give) == 1 and least < total <= room:
-            best, least = (give, ()), total
-        # The smallest item of the receiver that leaves no more than its room is the best one to take.
-        at = bisect_left(receiver.takes, total - room)
-        if at < len(receiver.takes) and total - receiver.takes[at] > least:
-            best, least = (give, (receiver.takes[at],)), total - receiver.takes[at]
-        if least == room:
-            break
-    return best and (Counter(best[0]), Counter(best[1]))
+        singles = sorted(items)
+        pairs = [*combinations(singles, 2), *((s, s) for s in singles if items[s] > 1)]
+        self.singles = {s: (s,) for s in singles}
+        self.gives = {sum(p): p for p in pairs} | self.singles
+
+
+class Offers:
+    """For each size that underfull bins may give, the bins that may, lightest first."""
+
+    def __init__(self, capacity: int):
+        self.at: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        #: Fill of the lightest giver less the size, what is left of it; a large number where nobody gives.
+        self.left = np.full(capacity + 1, 1 << 40)
+
+    def change(self, sizes, fill: int, number: int, add: bool) -> None:
+        for s in sizes:
+            at = self.at[s]
+            if add:
+                insort(at, (fill, number))
+            else:
+                del at[bisect_left(at, (fill, number))]
+            self.left[s] = at[0][0] - s if at else 1 << 40
 
 
 def local_search(groups: list[Group], capacity: int) -> list[Group]:
-    """Groups without an exchange that raises the sum of squared fills, or at the lower bound of bins."""
+    """Groups without an exchange that raises the sum of squared fills, or at the lower bound of bins.
+
+    A bin takes a larger size for a smaller one, or for none; the rise is positive if it ends fuller than the giver was.
+    """
     bound = -(-sum(g.fill * g.count for g in groups) // capacity)
-    counts: Counter = Counter()
-    contents: dict[tuple, Content] = {}
-    made: list[tuple] = []  # all contents so far, so that each pair is looked at once
-    looked: dict[tuple, int] = {}
-    waiting: list[tuple[int, tuple]] = []  # donors by fill; a heap
+    contents: list[Content] = []
+    counts: list[int] = []
+    numbers: dict[tuple, int] = {}
+    singles, offers = Offers(capacity), Offers(capacity)
 
-    def put(items: Counter, count: int) -> None:
+    def add(items: Counter, count: int) -> None:
         key = tuple(sorted(items.items()))
         if not key or not count:
             return
-        if key not in contents:
-            contents[key] = Content(items)
-            made.append(key)
-            looked[key] = 0
-        counts[key] += count
-        if contents[key].fill < capacity:
-            heappush(waiting, (contents[key].fill, key))
-
-    for g in sorted(groups, key=lambda g: -g.fill):
-        put(g.items, g.count)
-    n = sum(counts.values())
-    while n > bound:
-        while waiting:
-            _, key = heappop(waiting)
-            if counts[key]:
-                break
-        else:
-            # Contents that came after a donor had looked are looked at once more, if there are any.
-            late = [k for k in made if counts[k] and looked[k] < len(made) and contents[k].fill < capacity]
-            if not late:
+        if key not in numbers:
+            numbers[key] = len(contents)
+            contents.append(Content(items))
+            counts.append(0)
+        i = numbers[key]
+        before, counts[i] = counts[i], counts[i] + count
+        c = contents[i]
+        if c.fill < capacity and (before > 0) != (counts[i] > 0):
+            singles.change(c.singles, c.fill, i, counts[i] > 0)
+            offers.change(c.gives, c.fill, i, counts[i] > 0)
+
+    def exchange(i: int) -> tuple[int, tuple, tuple] | None:
+        """Giver, what it gives and what it takes back, so that bin ``i`` becomes as full as it can."""
+        c, best, least = contents[i], None, 0
+        room = capacity - c.fill
+        for back in (0, *c.singles):
+            if least == room:
                 break
-            for k in late:
-                heappush(waiting, (contents[k].fill, k))
-            continue
-        donor, found = contents[key], None
-        while looked[key] < len(made):
-            other = made[looked[key]]
-            if counts[other] > (other == key) and contents[other].fill < capacity and (found := _transfer(donor, contents[other], capacity)):
-                break  # the same pair may go on with what is left of it
-            # What is not there now may be made again by an exchange: it is then looked at by ``late``.
-            looked[key] += 1
-        if not found:
-            continue
-        give, take = found
-        times = counts[key] // 2 if other == key else min(counts[key], counts[other])
-        counts[key] -= times
-        counts[other] -= times
-        lighter = donor.items - give + take
-        for items in (contents[other].items - take + give, lighter):
-            again = tuple(sorted(items.items()))
-            if again in contents and not counts[again]:
-                for k in looked:  # it was passed over while it was gone
-                    looked[k] = min(looked[k], made.index(again))
-            put(items, times)
-        if not lighter:
-            n -= times
-        if counts[key]:
-            heappush(waiting, (donor.fill, key))
-    return [Group(c, contents[k].items) for k, c in counts.items() if c]
+            book = offers if back else singles
+            low = back + least + 1
+            for at in np.flatnonzero(book.left[low : back + room + 1] < c.fill - back)[::-1]:
+                size = low + int(at)
+                j = next((j for fill, j in book.at[size][:2] if fill - size < c.fill - back and (j != i or counts[i] > 1)), None)
+                if j is not None:
+                    best, least = (j, contents[j].gives[size], (back,) if back else ()), size - back
+                    break
+        return best
+
+    for g in groups:
+        add(g.items, g.count)
+    n, going = sum(counts), True
+    while going and n > bound:
+        going = False
+        under = [i for i, c in enumerate(contents) if counts[i] and c.fill < capacity]
+        for i in sorted(under, key=lambda i: -contents[i].fill):
+            while counts[i] and n > bound and (found := exchange(i)):
+                j, give, take = found
+                times = counts[i] // 2 if i == j else min(counts[i], counts[j])
+                lighter = contents[j].items - Counter(give) + Counter(take)
+                fuller = contents[i].items - Counter(take) + Counter(give)
+                for items, count in ((contents[i].items, -times), (contents[j].items, -times), (fuller, times), (lighter, times)):
+                    add(items, count)
+                n -= 0 if lighter else times
+                going = True
+    return [Group(counts[i], c.items) for i, c in enumerate(contents) if counts[i]]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
