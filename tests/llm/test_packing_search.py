@@ -30,7 +30,7 @@ def improves(groups, capacity):
             for give in gives:
                 for back in (*((0,) if len(give) == 1 else ()), *b.items):
                     more = sum(give) - back
-                    if b.fill + more <= capacity and (b.fill + more) ** 2 + (a.fill - more) ** 2 > a.fill**2 + b.fill**2:
+                    if max(b.fill + more, a.fill - more) <= capacity and (b.fill + more) ** 2 + (a.fill - more) ** 2 > a.fill**2 + b.fill**2:
                         return True
     return False
 

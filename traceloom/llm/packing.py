@@ -3,7 +3,7 @@
 1. Documents are tokenised once; a longer one is cut into full pieces, its first piece taking the remainder.
 2. Only the histogram of piece lengths (at most ``capacity`` rows) reaches the driver. There, groups of equal bins are
    filled best-fit decreasing, a group at a time, so the plan's size depends on the capacity, not on the corpus.
-3. Local search moves one item, or exchanges one or two for one, between underfull groups wherever the sum of squared
+3. Local search moves one item, or exchanges one for one, two for one or one for two, between underfull groups wherever the sum of squared
    fills rises, so that light bins drain into heavier ones until they are empty. Sizes on offer are indexed, the
    lightest giver first. It ends at the lower bound of bins, or after a pass over all bins that finds no exchange.
 4. Each piece finds its place by its rank among the pieces of its length. Ranks are a count within the task that
@@ -105,7 +105,7 @@ class Offers:
 def local_search(groups: list[Group], capacity: int) -> list[Group]:
     """Groups without an exchange that raises the sum of squared fills, or at the lower bound of bins.
 
-    A bin takes a larger size for a smaller one, or for none; the rise is positive if it ends fuller than the giver was.
+    A bin takes one item for none, one or two smaller, or two for one; the rise is positive if it ends fuller than the giver was.
     """
     bound = -(-sum(g.fill * g.count for g in groups) // capacity)
     contents: list[Content] = []
@@ -132,16 +132,16 @@ def local_search(groups: list[Group], capacity: int) -> list[Group]:
         """Giver, what it gives and what it takes back, so that bin ``i`` becomes as full as it can."""
         c, best, least = contents[i], None, 0
         room = capacity - c.fill
-        for back in (0, *c.singles):
+        for back, take in [(0, ()), *c.gives.items()]:
             if least == room:
                 break
-            book = offers if back else singles
+            book = offers if len(take) == 1 else singles
             low = back + least + 1
             for at in np.flatnonzero(book.left[low : back + room + 1] < c.fill - back)[::-1]:
                 size = low + int(at)
                 j = next((j for fill, j in book.at[size][:2] if fill - size < c.fill - back and (j != i or counts[i] > 1)), None)
                 if j is not None:
-                    best, least = (j, contents[j].gives[size], (back,) if back else ()), size - back
+                    best, least = (j, contents[j].gives[size], take), size - back
                     break
         return best
 
