@@ -148,3 +148,19 @@ def test_warmup_entropy_of_few_traces_is_that_of_all(spark, monkeypatch):
     got = {r.question_id: r for r in catalog.warmup_entropy(spark, "").collect()}
     assert (got[1].draws, got[1].mean_entropy, got[1].var_entropy, got[1].tokens) == (4, 1.0, 0.0, 160)
     assert got[2].tokens == 32 and 0 <= got[2].mean_entropy <= 1
+
+
+def test_carried_points_match_their_twin_on_holes_and_nulls_and_sort_no_cells(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 7, 1.0), (1, 900, 2.0), (1, 2600, None), (2, 9001, 4.0), (2, -3, 5.0), (3, None, 6.0), (None, 1100, 7.0), (4, 1101, None)]
+    events = spark.createDataFrame([(e, u, "a", v) for u, e, v in rows], "event_id long, user_id long, event_type string, value double")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.carried_points_all(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL["carried_points_all"]).fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) == 5 * 6
+    # Cells appear last, from points that are already filled: nothing above them sorts, joins or shuffles.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not {"Join", "Window", "Repartition"} & set(plan[: plan.index("Generate explode")].replace(",", " ").split())

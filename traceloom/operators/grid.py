@@ -42,3 +42,26 @@ def fill_grid(
     if not propagate_missing_files:
         out = out.where("_file")
     return out.drop("_file", *[f"_{v}" for v in values])
+
+
+def carried(points: DataFrame, axis: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
+    """Every key of ``points`` (one row per keys and ``at``) on every position of ``axis``; a missing value repeats the previous.
+
+    No cell is joined, shuffled or sorted: points are numbered on the axis and filled, then each is spread over the
+    positions up to the next one. Only the result itself grows with keys times positions. The axis, a list of positions
+    that keys share, is broadcast. Null positions come last; null keys and positions have no points of their own.
+    """
+    # Pairs, so that null positions are collected, too, and sorted to the end.
+    axis = axis.select(F.col(at).isNull().alias("none"), F.col(at).alias("at")).distinct()
+    axis = axis.agg(F.sort_array(F.collect_list(F.struct("none", "at"))).alias("_axis")).select(F.col("_axis.at").alias("_axis"))
+    places = axis.select(F.posexplode("_axis").alias("_from", at)).where(F.col(at).isNotNull())
+    own = points.dropna(subset=keys).join(F.broadcast(places), at).select(*keys, "_from", *values)
+    # The gap before a key's first point has a row of its own, without values.
+    gap = points.select(*keys).distinct().select(*keys, F.lit(-1).alias("_from"), *[F.lit(None).cast(points.schema[v].dataType).alias(v) for v in values])
+    # A fixed number of tasks: the rows are few here, but each is spread over many.
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filled = forward_fill(own.unionByName(gap).repartition(n, *keys), keys, ["_from"], values)
+    filled = filled.withColumn("_to", F.lead("_from").over(Window.partitionBy(*keys).orderBy("_from"))).crossJoin(F.broadcast(axis))
+    first = F.greatest("_from", F.lit(0))
+    cells = F.slice("_axis", first + 1, F.coalesce("_to", F.size("_axis")) - first)
+    return filled.select(*keys, F.explode(cells).alias(at), *values)

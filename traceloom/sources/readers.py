@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from traceloom import schemas
 from traceloom.functions import text
-from traceloom.operators import windows
+from traceloom.operators.grid import carried
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
@@ -189,9 +189,9 @@ def candidate_probes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CANDIDATE_PROBE).option("multiLine", "true").option("pathGlobFilter", "*probe.json").option("recursiveFileLookup", "true").json(path)
 
 
-def metric_points(points: DataFrame, grid: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
-    """``points`` on a grid of positions; a missing one repeats the previous."""
-    return windows.forward_fill(grid.join(points, [*keys, at], "left"), keys, [at], values)
+def metric_points(points: DataFrame, axis: DataFrame, keys: list[str], at: str, values: list[str]) -> DataFrame:
+    """``points`` of every key at all positions of ``axis``; a missing one repeats the previous."""
+    return carried(points, axis, keys, at, values)
 
 
 def file_sizes(spark: SparkSession, path: str, glob: str = "*.json", field: str = "probe_results") -> DataFrame:
