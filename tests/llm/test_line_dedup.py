@@ -95,3 +95,48 @@ def test_signatures_estimate_similarity():
         return line_dedup.signatures(*line_dedup._shingles(code, start, end, line_dedup.line_hash(code, start, end)))[0]
 
     assert abs((sig(a) == sig(b)).mean() - jaccard(a, b)) < 0.2 and (sig(a) == sig(a)).all()
+
+
+def test_shared_bands_are_found_from_packed_keys(spark):
+    from traceloom.llm.linkage import meeting
+
+    r = random.Random(3)
+    rows = [([r.randrange(-(2**63), 2**63) for _ in range(4)], i, i % 50) for i in range(300)]
+    rows += [([rows[i][0][0], rows[i][0][1], 7], 1000 + i, 9) for i in range(0, 300, 3)]
+    rows += rows[10:20] + [([-5, -5], 5000, 1), (None, 5001, 1)]  # repeated rows and keys are no second member
+    got = meeting(spark.createDataFrame(rows, "keys array<long>, id long, n long").repartition(5), 4).collect()
+    places = {(k, i, n) for ks, i, n in rows for k in ks or ()}
+    ids = {}
+    for k, i, _ in places:
+        ids.setdefault(k, set()).add(i)
+    assert sorted(map(tuple, got)) == sorted(p for p in places if len(ids[p[0]]) > 1)
+    assert meeting(spark.createDataFrame([], "keys array<long>, id long, n long"), 4).count() == 0
+
+
+def test_links_of_a_large_group_leave_their_task_as_a_forest():
+    import pyarrow as pa
+
+    from traceloom.llm import linkage
+
+    n = 40
+    texts = ["".join(f"{i:03d}-" for i in range(60)) + f"{k:02d}" for k in range(n)]
+    columns = [pa.array(np.concatenate([x, x]).astype(np.int64)) for x in (np.zeros(n), np.arange(n), np.arange(n), np.full(n, 240))]
+    columns.insert(1, pa.array(np.repeat([0, 1], n)))
+    columns += [pa.array(np.zeros(2 * n, np.int64))] * linkage.WORDS + [pa.array([None] * 2 * n, pa.binary()), pa.array(texts * 2)]
+    batch = pa.RecordBatch.from_arrays(columns, [str(i) for i in range(len(columns))])
+    pairs = lambda exact: sum(b.num_rows for b in linkage._compare(1 / 9, 0.0, False, exact)(iter([batch])))
+    assert pairs(None) == n * (n - 1) and pairs((line_dedup._grams, line_dedup._near(0.8))) == n - 1
+    assert pairs((line_dedup._grams, line_dedup._near(0.999))) == 0
+
+
+def test_tables_of_the_work_are_deleted(spark):
+    import os
+
+    from traceloom.llm.common import work_folder
+
+    folder = f"{work_folder(spark).removeprefix('file://')}/traceloom"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = corpus(9, 30)
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame([(d, t, 1, "c") for d, t in rows], SCHEMA))
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"lines-gone", "lines-again"}
+    assert {r.doc_id: r.text for r in out.collect() if r.text} == {d: t for d, t in brute(rows).items() if t}

@@ -7,6 +7,8 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,14 +48,45 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if (tables := _scratch.get()) is not None:
+        tables.append(out)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``written`` that nothing reads any more, and let go of the shuffles of finished steps."""
+#: Tables written inside of the innermost ``scratch``.
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are ``written`` inside are deleted at the end, except those handed to what this yields."""
+    tables: list[DataFrame] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._written_to)
+        return df
+
+    token = _scratch.set(tables)
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for df in tables:
+            if df._written_to not in kept:
+                _delete(df)
+        release(spark)
+
+
+def _delete(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more, and let go of the shuffles of finished steps."""
+    _delete(df)
     release(df.sparkSession)
 
 

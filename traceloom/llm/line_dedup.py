@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import private, sized, small_batches, tidy, written
-from .linkage import BITS, WORDS, link_components, or_bits
+from .common import private, scratch, sized, small_batches, tidy, written
+from .linkage import BITS, FEW_KEYS, WORDS, link_components, meeting, or_bits
 from .shingles import mix, powers
 
 _U = np.uint64
@@ -39,6 +39,8 @@ _BAND = _RNG.integers(2**62, 2**63, BAND, dtype=np.uint64) | _U(1)
 _ASK = _RNG.integers(0, BINS, (256, BINS))
 #: Code points of one piece of a text when signatures are made; a longer line is one piece.
 PIECE = 1 << 20
+#: Where rows with a null id come in the order of documents.
+NO_ID = -(1 << 63)
 
 
 def _windows(code: np.ndarray) -> np.ndarray:
@@ -81,14 +83,14 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     np.minimum.at(sig, cell, h)
     sig = sig.reshape(lines, BINS)
     out = sig.copy()
-    left = np.flatnonzero((out == empty).any(axis=1))
+    line, bin_ = np.nonzero(sig == empty)
     for ask in _ASK:
-        if not len(left):
+        if not len(line):
             return out
-        part = out[left]
-        part = np.where(part == empty, sig[left][:, ask], part)
-        out[left] = part
-        left = left[(part == empty).any(axis=1)]
+        got = sig[line, ask[bin_]]
+        out[line, bin_] = got
+        left = got == empty
+        line, bin_ = line[left], bin_[left]
     for line, bin_ in zip(*np.nonzero(out == empty), strict=True):  # after 256 attempts hardly ever
         full = np.flatnonzero(sig[line] != empty)
         out[line, bin_] = sig[line, full[(full > bin_).argmax()]]
@@ -114,9 +116,9 @@ def _spans(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    names = ["row", "place", "line", "bands", "n", *BITS]
+    names = ["row", "place", "line", "doc", "bands", "n", *BITS]
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], [], [], [], []]
         for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             code = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
             start, end, place = _spans(code)
@@ -126,6 +128,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[0].append(np.full(len(start), row, np.int64))
             out[1].append(place)
             out[2].append(lines.view(np.int64))
+            out[3].append(np.full(len(start), NO_ID if doc is None else doc, np.int64))
             # Bands and sketch only for a line's first occurrence in this task, a stretch of lines at a time.
             new = [k for k, x in enumerate(lines.tolist()) if x not in seen and not seen.add(x)]
             if len(seen) > 1 << 19:
@@ -144,18 +147,17 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig = signatures(h, first)
                 size_of[k] = np.diff(first)
                 bits[k] = or_bits(h, np.repeat(np.arange(len(k)), size_of[k]), len(k))
-                for b in range(BANDS):
-                    bands[k, b] = mix((sig[:, b * BAND : (b + 1) * BAND] * _BAND).sum(axis=1, dtype=np.uint64) + _U(b))
+                bands[k] = mix((sig[:, : BANDS * BAND].reshape(-1, BANDS, BAND) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 held[k] = True
                 at = upto
-            for x, y in zip(out[3:], (bands, held, size_of, bits), strict=True):
+            for x, y in zip(out[4:], (bands, held, size_of, bits), strict=True):
                 x.append(y)
         if out[0]:
-            bands, held, size_of, bits = map(np.concatenate, out[3:])
+            bands, held, size_of, bits = map(np.concatenate, out[4:])
             offsets = np.concatenate([[0], np.cumsum(held * bands.shape[1])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(offsets, bands[held].reshape(-1).view(np.int64))
             sketch = [pa.array(x, mask=~held) for x in (size_of, *bits.T)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:3]), keys, *sketch], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:4]), keys, *sketch], names)
     seen.clear()
     tidy()
 
@@ -181,11 +183,23 @@ def jaccard(a: str, b: str) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
+def _near(threshold: float):
+    def near(x: frozenset, y: frozenset) -> bool:
+        if min(len(x), len(y)) < (threshold - 1e-12) * max(len(x), len(y)):
+            return False
+        shared = len(x & y)
+        return shared / (len(x) + len(y) - shared) >= threshold - 1e-12
+
+    return near
+
+
 def _linked(threshold: float):
+    same = _near(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            near = pa.array([jaccard(x, y) >= threshold - 1e-12 for x, y in zip(left, right, strict=True)], pa.bool_())
+            near = pa.array([same(_grams(x), _grams(y)) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(near)
         tidy()
 
@@ -206,9 +220,9 @@ def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(row, place, line, comp, first) of the lines of ``rows`` (doc_id, row, text) that have duplicates; ``first``: it stays."""
     small_batches(rows.sparkSession)
     sketch = "n long, " + ", ".join(f"{b} long" for b in BITS)
-    signed = written(rows.select("doc_id", "row", "text").mapInArrow(_signed, f"row long, place long, line long, bands array<long>, {sketch}"), "lines-signed")
+    signed = written(rows.select("doc_id", "row", "text").mapInArrow(_signed, f"row long, place long, line long, doc long, bands array<long>, {sketch}"), "lines-signed")
     new = signed.where("n IS NOT NULL")
-    members = new.select(F.explode("bands").alias("key"), F.col("line").alias("id"), "n")
+    members = meeting(new.select(F.col("bands").alias("keys"), F.col("line").alias("id"), "n"), BANDS)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """The text of one occurrence of each line, written."""
@@ -224,14 +238,13 @@ def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("payload").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("payload").alias("tb")), "b")
         return written(both.select("a", "b", "ta", "tb").mapInArrow(_linked(threshold), "a long, b long"), "lines-linked")
 
-    comp = link_components(members, new.select(F.col("line").alias("id"), "n", *BITS), verify, threshold)
-    # A line's order is that of its document, then of its row and place; document ids come in by row.
-    lines = signed.select("row", "place", "line").join(comp.select(F.col("id").alias("line"), "comp"), "line", "left")
-    lines = lines.withColumn("comp", F.coalesce("comp", F.xxhash64("line"))).join(written(rows.select("row", "doc_id"), "lines-rows"), "row")
-    lines = written(lines.select("row", "place", "line", "comp", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")), "lines-labelled")
+    comp = link_components(members, new.select(F.col("line").alias("id"), "n", *BITS), verify, threshold, met=True, exact=(texts_of, _grams, _near(threshold)))
+    # A line's order is that of its document, then of its row and place.
+    lines = signed.select("row", "place", "line", "doc").join(sized(comp.select(F.col("id").alias("line"), "comp"), FEW_KEYS), "line", "left")
+    lines = written(lines.withColumn("comp", F.coalesce("comp", F.xxhash64("line"))), "lines-labelled")
     # Fixed-width minima one after the other, so that partial sums stay hash aggregates.
     first = written(lines.groupBy("comp").agg(F.min("doc").alias("doc"), F.count("*").alias("n")).where("n > 1").select("comp", "doc"), "lines-first")
-    rest = written(lines.join(first.select("comp", F.col("doc").alias("first_doc")), "comp"), "lines-repeated")
+    rest = written(lines.join(sized(first.select("comp", F.col("doc").alias("first_doc")), FEW_KEYS), "comp"), "lines-repeated")
     inside = rest.where("doc = first_doc").groupBy("comp").agg(F.min("row").alias("first_row"))
     rest = written(rest.join(written(inside, "lines-first-row"), "comp"), "lines-repeated")
     place = rest.where("doc = first_doc AND row = first_row").groupBy("comp").agg(F.min("place").alias("first_place"))
@@ -258,9 +271,10 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _gone(documents: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Written (row, gone), the places that a row loses, and (row, n) of the rows that are there n > 1 times."""
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
-    gone = duplicate_lines(rows, threshold).where("NOT first").groupBy("row").agg(F.collect_set("place").alias("gone"))
-    again = rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
-    return written(gone, "lines-gone"), written(again, "lines-again")
+    with scratch(documents.sparkSession) as keep:
+        gone = duplicate_lines(rows, threshold).where("NOT first").groupBy("row").agg(F.collect_set("place").alias("gone"))
+        again = rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
+        return keep(written(gone, "lines-gone")), keep(written(again, "lines-again"))
 
 
 def dedup_lines(documents: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

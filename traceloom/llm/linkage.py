@@ -12,6 +12,10 @@ it; neither loses a link). What a sketch rules out is never looked at again.
   its sketches pass. First each task sends only a forest of such pairs, then all pairs whose ends are still apart.
 
 Nothing is capped: what is never verified is either already connected or provably unlinked.
+
+Where most keys have one member, ``meeting`` finds the shared ones first: keys travel packed, many to a row, and are
+sorted in tasks. Where payloads decide links (``exact``), the last round decides inside its tasks, too, and sends only
+a forest of links, so that no group makes rows by the square of its size.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, tidy, written
+from .common import release, sized, tidy, written
 from .graph import components
 
 #: Buckets of at most this many members pair them by a join: a bound on the rows made per member.
@@ -36,6 +40,8 @@ BITS = [f"s{i}" for i in range(WORDS)]
 SKETCH = ", ".join(f"{b} long" for b in BITS)
 #: Large buckets (24 bytes each) that are sent to all executors; more are joined by a shuffle.
 FEW_KEYS = 1_000_000
+#: Places that a task packs at a time; elements of prepared payloads that it keeps.
+PACKED, PREPARED = 1 << 19, 400_000
 
 
 def or_bits(h: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
@@ -97,20 +103,118 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
-def _compare(slack: float, ratio: float, forest: bool):
-    """Over rows (task, side, id, comp, n, sketch, wide) sorted by task: near pairs of a task's part and block that are apart.
+def _dealt(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            key, id_, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            key, id_, n = key[order], id_[order], n[order]
+            names, at = np.unique(part[order], return_index=True)
+            spans = list(zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (key, id_, n))], ["part", "key", "id", "n"])
+
+        for batch in batches:
+            lists, each = batch.column(0), batch.column(0).value_lengths().fill_null(0).to_numpy()
+            held.append((lists.flatten().to_numpy(), np.repeat(batch.column(1).to_numpy(), each), np.repeat(batch.column(2).to_numpy(), each)))
+            size += len(held[-1][0])
+            if size >= PACKED:
+                yield packed()
+                held, size = [], 0
+        if size:
+            yield packed()
+        held = []
+        tidy()
+
+    return run
+
 
-    Where both have a wide sketch it is asked, too: short ones tell little about long sets.
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (part, key, id, n) of packed places sorted by part: the distinct places of keys that two ids have."""
+    part, held = None, []
+
+    def places() -> Iterator[pa.RecordBatch]:
+        key, id_, n = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held, strict=True))
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        order = order[np.append(same, False) | np.insert(same, 0, False)]
+        order = order[np.lexsort((id_[order], key[order]))]
+        key, id_, n = key[order], id_[order], n[order]
+        new = np.insert((key[1:] != key[:-1]) | (id_[1:] != id_[:-1]), 0, True) if len(key) else np.zeros(0, bool)
+        key, id_, n = key[new], id_[new], n[new]
+        same = key[1:] == key[:-1]
+        two = np.append(same, False) | np.insert(same, 0, False) if len(key) else np.zeros(0, bool)
+        for at in range(0, len(key), 1 << 16):
+            keep = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep][two[keep]]) for x in (key, id_, n)], ["key", "id", "n"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != part:
+                if held:
+                    yield from places()
+                part, held = row[0], []
+            held.append(row[1:])
+    if held:
+        yield from places()
+    held = []
+    tidy()
+
+
+def meeting(lists: DataFrame, each: int) -> DataFrame:
+    """Written (key, id, n): the distinct places of ``lists`` (keys, id, n; about ``each`` keys a row) whose key two ids have."""
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Several parts a task, so that tasks are even; a part is sorted in memory.
+    parts = max(8 * n, lists.count() * each // PACKED)
+    packed = lists.select("keys", "id", F.col("n").cast("long")).mapInArrow(_dealt(parts), "part int, key binary, id binary, n binary")
+    return written(packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_met, "key long, id long, n long"), "link-members")
+
+
+def _compare(slack: float, ratio: float, forest: bool, exact: tuple[Callable, Callable] | None = None):
+    """Over rows (task, side, id, comp, n, sketch, wide, payload) sorted by task: near pairs of a task's part and block that are apart.
+
+    Where both have a wide sketch it is asked, too: short ones tell little about long sets. With ``exact``, a function
+    of a payload and a verdict on two of its results, only a forest of pairs that link is left.
     """
 
+    def linked(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[int]:
+        """Indices of the pairs (i, j) of payloads x and y, in the components p and q, that link what was apart in this task."""
+        prepare, same = exact
+        parent: dict[int, int] = {}
+        made: dict[int, object] = {}
+        size, left, taken = 0, (None, None), []
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        for at, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            u, v = root(int(p[a])), root(int(q[b]))
+            if u == v:
+                continue
+            if left[0] != a:
+                left = a, prepare(x[a])
+            if b not in made:
+                made[b] = prepare(y[b])
+                size += len(made[b])
+            if same(left[1], made[b]):
+                parent[u] = v
+                taken.append(at)
+            if size > PREPARED:
+                made, size = {}, 0
+        return taken
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, []
 
         def pairs() -> pa.RecordBatch | None:
             if not held:
                 return None
-            rows = np.concatenate([r for r, _ in held], axis=1)
-            wide = np.array([w for _, some in held for w in some] + [None], object)[:-1]
+            rows = np.concatenate([r for r, _, _ in held], axis=1)
+            wide, payload = (np.array([w for part in held for w in part[k]] + [None], object)[:-1] for k in (1, 2))
             inside = rows[1] == 1
             p, q = rows[:, ~inside], rows[:, inside]
             if not p.size or not q.size:
@@ -121,6 +225,9 @@ def _compare(slack: float, ratio: float, forest: bool):
             most = slack * (p[4][i] + q[4][j]) + 1e-6
             kept = [u is None or v is None or least_difference(u, v) <= m for u, v, m in zip(x[i], y[j], most, strict=True)]
             i, j = i[kept], j[kept]
+            if exact:
+                taken = linked(i, j, payload[~inside], payload[inside], p[3], q[3])
+                i, j = i[taken], j[taken]
             if not len(i):
                 return None
             if forest:
@@ -132,7 +239,8 @@ def _compare(slack: float, ratio: float, forest: bool):
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
-            rows, wide = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]), batch.columns[-1].to_pylist()
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-2]])
+            wide, payload = (c.to_pylist() for c in batch.columns[-2:])
             cuts = np.flatnonzero(np.diff(rows[0])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, rows.shape[1]], strict=True):
                 if lo == hi:
@@ -141,7 +249,7 @@ def _compare(slack: float, ratio: float, forest: bool):
                     if (out := pairs()) is not None:
                         yield out
                     task, held = rows[0, lo], []
-                held.append((rows[:, lo:hi].copy(), wide[lo:hi]))
+                held.append((rows[:, lo:hi].copy(), wide[lo:hi], payload[lo:hi]))
         if (out := pairs()) is not None:
             yield out
         held = []
@@ -150,18 +258,22 @@ def _compare(slack: float, ratio: float, forest: bool):
     return run
 
 
-def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, sized_sets: bool = False, enough: str | None = None, wide: DataFrame | None = None) -> DataFrame:
+def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, sized_sets: bool = False, enough: str | None = None, wide: DataFrame | None = None, met: bool = False, exact: tuple[Callable[[DataFrame], DataFrame], Callable, Callable] | None = None) -> DataFrame:
     """(id, comp) of the ids that link with another one.
 
     ``members``: (key, id, n), rows may repeat. ``sketches``: (id, n, BITS). n is at least the size of the id's set, and
     the size itself if ``sized_sets``, so that sizes rule pairs out, too. ``verify``: (a, b) -> written (a, b) of those
     that link. ``enough``: a condition that links imply over a_n, b_n and ``common``, a bound on the keys both have. ``wide``:
-    (id, wide), ``wide_bits`` of the sets that are long for their sketches.
+    (id, wide), ``wide_bits`` of the sets that are long for their sketches. ``met``: ``members`` are those of ``meeting``.
+    ``exact``: ids -> (id, payload), what to make of a payload, and whether two of these link.
     """
     slack, ratio = (1.0 - threshold) / (1.0 + threshold), threshold if sized_sets else 0.0
     fits = lambda a, b: F.least(a, b) >= F.lit(ratio) * F.greatest(a, b) - 1e-6
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = written(members.join(shared, "key").distinct(), "link-members")
+    held = members
+    if not met:
+        shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        held = written(members.join(shared, "key").distinct(), "link-members")
+    release(members.sparkSession)
     large_keys = written(held.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET), "link-large-keys")
     large_keys = sized(large_keys, FEW_KEYS)
     few = held.join(large_keys.select("key"), "key", "left_anti")
@@ -224,12 +336,17 @@ def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[D
             return comp
         open_ = labelled.drop("size").join(sized(state, FEW_KEYS), "key")
         open_ = open_.withColumn("wide", F.lit(None).cast("binary")) if wide is None else open_.join(wide.select("id", "wide"), "id", "left")
+        decide = exact if not forest else None
+        open_ = open_.withColumn("payload", F.lit(None).cast("string")) if decide is None else open_.join(decide[0](open_.select("id").distinct()), "id")
         deal = lambda salt, k: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(k)).cast("int")
         part, block = deal(1, "parts"), deal(2, "blocks")
         outside = open_.where("comp <> main").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         every = open_.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = [df.select(F.xxhash64("key", "part", "block").alias("task"), F.lit(side).cast("long").alias("side"), "id", "comp", F.col("of").cast("long").alias("of"), *BITS, "wide") for df, side in ((outside, 0), (every, 1))]
+        rows = [df.select(F.xxhash64("key", "part", "block").alias("task"), F.lit(side).cast("long").alias("side"), "id", "comp", F.col("of").cast("long").alias("of"), *BITS, "wide", "payload") for df, side in ((outside, 0), (every, 1))]
         dealt = rows[0].union(rows[1]).repartition(n, "task").sortWithinPartitions("task")
+        if decide is not None:
+            links = written(links.unionByName(dealt.mapInArrow(_compare(slack, ratio, False, decide[1:]), "a long, b long")), "link-found")
+            return components(links)
         found = dealt.mapInArrow(_compare(slack, ratio, forest), "a long, b long").distinct()
         found = written(found.join(tested, ["a", "b"], "left_anti"), "link-near")
         if not found.isEmpty():
