@@ -140,3 +140,36 @@ def test_tables_of_the_work_are_deleted(spark):
     out = line_dedup.drop_repeated_lines(spark.createDataFrame([(d, t, 1, "c") for d, t in rows], SCHEMA))
     assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"lines-gone", "lines-again"}
     assert {r.doc_id: r.text for r in out.collect() if r.text} == {d: t for d, t in brute(rows).items() if t}
+
+
+def test_sketches_rule_out_no_link_and_most_other_pairs():
+    from traceloom.llm import linkage
+
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdefghijklmnop ") for _ in range(700)) for _ in range(60)]
+    texts = base + [x[:350] + "#" + x[351:] for x in base]
+    sets, first = line_dedup._hashed(texts)
+    n = np.diff(first)
+    assert n.tolist() == [len(line_dedup._grams(t)) for t in texts]
+    sketch = linkage.xor_rows(sets >> np.uint64(64 - line_dedup.KEPT), np.repeat(np.arange(len(n)), n), len(n))
+    near = linkage._near(sketch, sketch, n, n, 1 / 9, 0.8)
+    links = np.array([[jaccard(x, y) >= 0.8 for y in texts] for x in base])
+    assert (near[: len(base)] == links).all() and links.sum() == 2 * len(base)
+
+
+def test_verdicts_by_hashes_are_those_of_the_shingles():
+    import pyarrow as pa
+
+    r = random.Random(8)
+    pairs = [("ab", "ab"), ("ab", "ac"), ("aaaaaaaaaa", "aaaaa"), ("", "x"), ("\U0001f600" * 9, "\U0001f600" * 5)]
+    for n in (6, 40, 400, 90_000):
+        x = "".join(r.choice("abcdefg ") for _ in range(n))
+        for edits in (0, 1, 2, 5, n // 45, n // 40):
+            y = list(x)
+            for _ in range(edits):
+                y[r.randrange(n)] = "#"
+            pairs.append((x, "".join(y)))
+    ids = pa.array(range(len(pairs)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, *(pa.array(x) for x in zip(*pairs))], ["a", "b", "ta", "tb"])
+    (got,) = line_dedup._linked(0.8)(iter([batch]))
+    assert got["a"].to_pylist() == [i for i, (x, y) in enumerate(pairs) if jaccard(x, y) >= 0.8 - 1e-12]

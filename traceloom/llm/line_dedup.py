@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import private, scratch, sized, small_batches, tidy, written
-from .linkage import BITS, FEW_KEYS, WORDS, link_components, meeting, or_bits
+from .linkage import BITS, FEW_KEYS, WORDS, link_components, meeting, xor_rows
 from .shingles import mix, powers
 
 _U = np.uint64
@@ -39,6 +39,10 @@ _BAND = _RNG.integers(2**62, 2**63, BAND, dtype=np.uint64) | _U(1)
 _ASK = _RNG.integers(0, BINS, (256, BINS))
 #: Code points of one piece of a text when signatures are made; a longer line is one piece.
 PIECE = 1 << 20
+#: Characters of the documents that are taken together: few enough for a processor's caches.
+GROUP = 1 << 16
+#: Bits of a shingle's hash that tell it from the others of its line, with the line's number (below PIECE) before them.
+KEPT = 44
 #: Where rows with a null id come in the order of documents.
 NO_ID = -(1 << 63)
 
@@ -114,21 +118,42 @@ def _spans(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[keep], end[keep], keep
 
 
+def distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct elements of each line, ascending, of each hash its upper KEPT bits, and where each line's begin."""
+    lines = len(first) - 1
+    v = np.sort(np.repeat(np.arange(lines, dtype=np.uint64) << _U(KEPT), np.diff(first)) | h >> _U(64 - KEPT))
+    v = v[np.append(True, v[1:] != v[:-1])]
+    return v << _U(64 - KEPT), np.append(np.searchsorted(v, np.arange(lines, dtype=np.uint64) << _U(KEPT)), len(v))
+
+
+def _groups(docs: list, rows: list, texts: list) -> Iterator[tuple[list, list, list]]:
+    """Stretches of documents of about GROUP characters."""
+    at = size = 0
+    for upto, text in enumerate(texts):
+        size += len(text or "")
+        if size >= GROUP or upto == len(texts) - 1:
+            yield docs[at : upto + 1], rows[at : upto + 1], [t or "" for t in texts[at : upto + 1]]
+            at, size = upto + 1, 0
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     names = ["row", "place", "line", "doc", "bands", "n", *BITS]
     for batch in batches:
         out: list[list[np.ndarray]] = [[], [], [], [], [], [], [], []]
-        for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            code = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
+        for docs, rows, texts in _groups(*(batch.column(k).to_pylist() for k in range(3))):
+            code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
             start, end, place = _spans(code)
             if not len(start):
                 continue
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            owner = np.searchsorted(begins, start, "right") - 1
+            place = place - np.searchsorted(np.flatnonzero(code == 10), begins)[owner]
             lines = line_hash(code, start, end)
-            out[0].append(np.full(len(start), row, np.int64))
+            out[0].append(np.array(rows, np.int64)[owner])
             out[1].append(place)
             out[2].append(lines.view(np.int64))
-            out[3].append(np.full(len(start), NO_ID if doc is None else doc, np.int64))
+            out[3].append(np.array([NO_ID if d is None else d for d in docs], np.int64)[owner])
             # Bands and sketch only for a line's first occurrence in this task, a stretch of lines at a time.
             new = [k for k, x in enumerate(lines.tolist()) if x not in seen and not seen.add(x)]
             if len(seen) > 1 << 19:
@@ -136,17 +161,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = np.zeros((len(start), BANDS), np.uint64)
             bits, size_of = np.zeros((len(start), WORDS), np.int64), np.zeros(len(start), np.int64)
             held = np.zeros(len(start), bool)
+            total = np.concatenate([[0], np.cumsum((end - start)[new])])
             at = 0
             while at < len(new):
-                upto, size = at, 0
-                while upto < len(new) and (upto == at or size + end[new[upto]] - start[new[upto]] <= PIECE):
-                    size += end[new[upto]] - start[new[upto]]
-                    upto += 1
+                upto = max(at + 1, int(np.searchsorted(total, total[at] + PIECE, "right")) - 1)
                 k = np.array(new[at:upto])
-                h, first = _shingles(code, start[k], end[k], lines[k])
+                h, first = distinct(*_shingles(code, start[k], end[k], lines[k]))
                 sig = signatures(h, first)
                 size_of[k] = np.diff(first)
-                bits[k] = or_bits(h, np.repeat(np.arange(len(k)), size_of[k]), len(k))
+                bits[k] = xor_rows(h >> _U(64 - KEPT), np.repeat(np.arange(len(k)), size_of[k]), len(k))
                 bands[k] = mix((sig[:, : BANDS * BAND].reshape(-1, BANDS, BAND) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 held[k] = True
                 at = upto
@@ -193,14 +216,41 @@ def _near(threshold: float):
     return near
 
 
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``distinct`` of texts without line breaks."""
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.array([len(t) for t in texts])
+    start = np.cumsum(np.append(0, size[:-1] + 1))
+    return distinct(*_shingles(code, start, start + size, line_hash(code, start, start + size)))
+
+
 def _linked(threshold: float):
     same = _near(threshold)
 
+    def verdicts(left: list[str], right: list[str]) -> np.ndarray:
+        """By counts of hashes; where a few collisions could decide, by the shingles themselves."""
+        sets, first = _hashed(left + right)
+        size = np.diff(first)
+        pair = np.tile(np.arange(len(left), dtype=np.uint64), 2)
+        v = np.sort(np.repeat(pair << _U(KEPT), size) | sets >> _U(64 - KEPT))
+        shared = np.bincount((v[1:][v[1:] == v[:-1]] >> _U(KEPT)).astype(np.int64), minlength=len(left))
+        union = size[: len(left)] + size[len(left) :] - shared
+        near = shared >= threshold * union
+        for i in np.flatnonzero(np.abs(shared - threshold * union) <= 4):
+            near[i] = same(_grams(left[i]), _grams(right[i]))
+        return near
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            near = pa.array([same(_grams(x), _grams(y)) for x, y in zip(left, right, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(near)
+            near, at, size = [], 0, 0
+            for upto, (x, y) in enumerate(zip(left, right, strict=True), 1):
+                size += len(x) + len(y)
+                if size >= 2 * GROUP or upto == len(left):
+                    near.append(verdicts(left[at:upto], right[at:upto]))
+                    at, size = upto, 0
+            if near:
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(np.concatenate(near)))
         tidy()
 
     return run
@@ -224,11 +274,13 @@ def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     new = signed.where("n IS NOT NULL")
     members = meeting(new.select(F.col("bands").alias("keys"), F.col("line").alias("id"), "n"), BANDS)
 
+    # One occurrence of each line that shares a band.
+    shared = sized(written(members.select(F.col("id").alias("line")).distinct(), "lines-met"), FEW_KEYS)
+    places = written(new.select("line", "row", "place", "n", *BITS).join(shared, "line").dropDuplicates(["line"]), "lines-where")
+
     def texts_of(ids: DataFrame) -> DataFrame:
         """The text of one occurrence of each line, written."""
-        needed = ids.select(F.col("id").alias("line"))
-        where = new.select("line", "row", "place").join(needed, "line").groupBy("line").agg(F.min("row").alias("row"))
-        spots = new.select("line", "row", "place").join(written(where, "lines-where"), ["line", "row"]).groupBy("row", "line").agg(F.min("place").alias("place"))
+        spots = places.select("line", "row", "place").join(ids.select(F.col("id").alias("line")), "line")
         wanted = written(spots.groupBy("row").agg(F.collect_list(F.struct("place", "line")).alias("w")), "lines-wanted")
         found = rows.select("row", "text").join(few_places(wanted, "w"), "row").select("text", F.col("w.place").alias("p"), F.col("w.line").alias("l"))
         return written(found.mapInArrow(_texts, "id long, payload string"), "lines-texts")
@@ -238,7 +290,7 @@ def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("payload").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("payload").alias("tb")), "b")
         return written(both.select("a", "b", "ta", "tb").mapInArrow(_linked(threshold), "a long, b long"), "lines-linked")
 
-    comp = link_components(members, new.select(F.col("line").alias("id"), "n", *BITS), verify, threshold, met=True, exact=(texts_of, _grams, _near(threshold)))
+    comp = link_components(members, places.select(F.col("line").alias("id"), "n", *BITS), verify, threshold, sized_sets=True, met=True, exact=(texts_of, _grams, _near(threshold)))
     # A line's order is that of its document, then of its row and place.
     lines = signed.select("row", "place", "line", "doc").join(sized(comp.select(F.col("id").alias("line"), "comp"), FEW_KEYS), "line", "left")
     lines = written(lines.withColumn("comp", F.coalesce("comp", F.xxhash64("line"))), "lines-labelled")

@@ -2,8 +2,8 @@
 
 Given memberships (key, id, n) such that any two ids that link share a key, ``link_components`` returns the components
 of the graph of links. Every id has a sketch, a bitmap of ``WORDS`` longs that bounds similarity from above: two sets
-differ in at least as many elements as their bitmaps in bits (``or_bits`` sets a bit per element, ``xor_bits`` flips
-it; neither loses a link). What a sketch rules out is never looked at again.
+differ in at least as many elements as their bitmaps in bits (each distinct element flips a bit, so that no link is
+lost). What a sketch rules out is never looked at again.
 
 * Buckets of at most ``SMALL_BUCKET`` members pair their members within the bucket; sketches and the number of shared
   keys rule pairs out; of the others each id verifies one, and the rest only where its ends are still apart.
@@ -44,11 +44,10 @@ FEW_KEYS = 1_000_000
 PACKED, PREPARED = 1 << 19, 400_000
 
 
-def or_bits(h: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, WORDS) sketches of sets that may name an element repeatedly: elements ``h`` belong to the sets ``owner``."""
-    cells = np.zeros(rows * WORDS * 64, bool)
-    cells[owner * (WORDS * 64) + (h & np.uint64(WORDS * 64 - 1)).astype(np.int64)] = True
-    return np.packbits(cells).view(np.int64).reshape(rows, WORDS)
+def xor_rows(h: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, WORDS) sketches as ``xor_bits`` makes them: the distinct elements ``h`` belong to the sets ``owner``."""
+    counts = np.bincount(owner * (WORDS * 64) + (h & np.uint64(WORDS * 64 - 1)).astype(np.int64), minlength=rows * WORDS * 64)
+    return np.packbits((counts & 1).astype(bool)).view(np.int64).reshape(rows, WORDS)
 
 
 def xor_bits(h: np.ndarray) -> np.ndarray:
@@ -75,6 +74,7 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 def _near(p: np.ndarray, q: np.ndarray, p_n: np.ndarray, q_n: np.ndarray, slack: float, ratio: float) -> np.ndarray:
     """Boolean (p, q): pairs that sketches, and sizes further apart than ``ratio``, do not rule out."""
+    p, q = p.astype(np.int64).view(np.uint64), q.astype(np.int64).view(np.uint64)  # of a negative number the bits of its absolute value would count
     out = np.zeros((len(p), len(q)), bool)
     for at in range(0, len(p), 64):
         differ = np.zeros((len(p[at : at + 64]), len(q)), np.int32)
@@ -111,7 +111,7 @@ def _dealt(parts: int):
             key, id_, n = (np.concatenate(x) for x in zip(*held, strict=True))
             part = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            key, id_, n = key[order], id_[order], n[order]
+            key, id_, n = key[order], id_[order], n[order].astype(np.int32)
             names, at = np.unique(part[order], return_index=True)
             spans = list(zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True))
             return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (key, id_, n))], ["part", "key", "id", "n"])
@@ -136,7 +136,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, held = None, []
 
     def places() -> Iterator[pa.RecordBatch]:
-        key, id_, n = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held, strict=True))
+        key, id_, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), (np.int64, np.int64, np.int32), strict=True))
         order = np.argsort(key)
         same = key[order[1:]] == key[order[:-1]]
         order = order[np.append(same, False) | np.insert(same, 0, False)]
@@ -148,7 +148,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = np.append(same, False) | np.insert(same, 0, False) if len(key) else np.zeros(0, bool)
         for at in range(0, len(key), 1 << 16):
             keep = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep][two[keep]]) for x in (key, id_, n)], ["key", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep][two[keep]].astype(np.int64)) for x in (key, id_, n)], ["key", "id", "n"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -264,7 +264,8 @@ def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[D
     ``members``: (key, id, n), rows may repeat. ``sketches``: (id, n, BITS). n is at least the size of the id's set, and
     the size itself if ``sized_sets``, so that sizes rule pairs out, too. ``verify``: (a, b) -> written (a, b) of those
     that link. ``enough``: a condition that links imply over a_n, b_n and ``common``, a bound on the keys both have. ``wide``:
-    (id, wide), ``wide_bits`` of the sets that are long for their sketches. ``met``: ``members`` are those of ``meeting``.
+    (id, wide), ``wide_bits`` of the sets that are long for their sketches. ``met``: ``members`` are those of ``meeting``
+    and ``sketches`` has one row of each id of theirs.
     ``exact``: ids -> (id, payload), what to make of a payload, and whether two of these link.
     """
     slack, ratio = (1.0 - threshold) / (1.0 + threshold), threshold if sized_sets else 0.0
@@ -282,8 +283,9 @@ def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[D
     within = within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"))
     large = written(held.join(large_keys, "key"), "link-large")
     many = written(large.groupBy("id").agg(F.count("*").alias("large"), F.sum("size").alias("weight")), "link-weights")
-    needed = held.groupBy("id").agg(F.count("*").alias("places")).drop("places")
-    sketch = sketches.join(needed, "id").dropDuplicates(["id"]).join(many.select("id", "large"), "id", "left")
+    if not met:
+        sketches = sketches.join(held.select("id").distinct(), "id").dropDuplicates(["id"])
+    sketch = sketches.join(many.select("id", "large"), "id", "left")
     sketch = written(sketch.select("id", F.col("n").alias("of"), F.coalesce("large", F.lit(0)).alias("large"), *BITS), "link-sketches")
 
     def plausible(pairs: DataFrame, counted: bool) -> DataFrame:
@@ -325,7 +327,8 @@ def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[D
     links, comp = settled(tested, none, None)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for forest in (True, False):
+    # Tasks that decide links themselves need no forest of plausible pairs first.
+    for forest in (False,) if exact else (True, False):
         labelled = large.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", F.xxhash64("id")))
         labelled = written(labelled.join(sketch.drop("large"), "id"), "link-labelled")
         counted = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
