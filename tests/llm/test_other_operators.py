@@ -30,6 +30,19 @@ def test_memoised_ids_are_the_library_s(library):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_pieces_around_newlines_are_learned_once_for_all_lines(library):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcé.,'1") for _ in range(r.randrange(1, 6))) for _ in range(40)]
+    texts = ["\n".join(" ".join(r.choices(words, k=3)) for _ in range(9)) for _ in range(60)]
+    texts += [t[:40] + x + t[40:] for t in texts[:9] for x in ("\n", "\t\n", "\n\t", "\r\n", " \n", "\n ", "\n\n", "\xa0\n", "\x85", "\t", "\n\u3000x")]
+    enc = Encoder(file_bytes(TOKENIZER))
+    for text, ids in zip(texts[:60], enc.batch(texts[:60]), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(enc._after.young) <= 2 * len(words)  # not one for each pair of words around a newline
+    for text, ids in zip(texts, enc.batch(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def statistics(text):
     t = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)

@@ -1,8 +1,9 @@
 """Token ids of whole texts by a byte-level BPE file of the ``tokenizers`` library, with memoised pieces.
 
-A text is cut at single blanks, where its pre-tokenizer cuts it anyway: a blank between two runs without blanks always
-starts a new token. (Texts with adjacent, leading or trailing blanks are cut by ``PIECE`` instead, around any white
-space.) Each distinct piece is encoded by the library once per worker, as far as the memory of pieces reaches.
+A text is cut at single blanks and newlines, where its pre-tokenizer cuts it anyway: a blank between two runs without
+blanks always starts a new token, a newline is one. (Texts where they meet other white space or an end are cut by
+``PIECE`` instead, around any white space.) Each distinct piece is encoded by the library once per worker, as far as the
+memory of pieces reaches; pieces without white space go to it as lines of one text.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: and the longest that it remembers. More of them save time and cost memory; the ids are the same.
 MEMO, MEMO_CHARS = 250_000, 64
 #: Pieces in one call of the library: small runs stay in the processor's caches.
-RUN = 128
-#: Pieces of letters alone, which the pre-tokenizer never cuts.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+RUN = 64
+#: Pieces that are encoded as lines of one text.
+PLAIN = re.compile(f"[ \n]?[^{_WS}]+").fullmatch
+#: Newlines that the pre-tokenizer may join with their neighbours (blanks apart, which leave an empty piece).
+JOINED = re.compile(f"\n[{_WS}]|[{_WS}]\n").search
 
 
 class Memo:
@@ -53,14 +56,10 @@ class Encoder:
     """``batch(texts)``: the ids of ``tokenizer.encode(text, add_special_tokens=False)`` as uint32."""
 
     def __init__(self, tokenizer_json: bytes, remembered: int = MEMO):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_buffer(tokenizer_json)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # The same model for pieces that need no cutting: only the search for cuts is left out.
-        self._uncut = Tokenizer.from_buffer(tokenizer_json)
-        self._uncut.encode_special_tokens = True
-        self._uncut.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         (self._fence,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
         #: By piece, and by piece without the blank before it.
         self._raw, self._after = Memo(remembered // 10), Memo(remembered - remembered // 10)
@@ -70,29 +69,30 @@ class Encoder:
         missing = memo.missing(texts)
         if not missing:
             return []
-        letters = [p for p in missing if LETTERS(p)]
-        lines = [p for p in missing if "\n" in p]
-        rest = list(missing.difference(letters, lines))
-        for at in range(0, len(lines), RUN):
-            some = lines[at : at + RUN]
-            got = self._tokenizer.encode_batch_fast([lead + p for p in some], add_special_tokens=False)
+        plain = list(filter(PLAIN, missing))
+        odd = list(missing.difference(plain))
+        for at in range(0, len(odd), RUN):
+            some = odd[at : at + RUN]
+            got = self._tokenizer.encode_batch_fast([p if p[0] == "\n" else lead + p for p in some], add_special_tokens=False)
             memo.young.update(zip(some, [array("I", e.ids).tobytes() for e in got], strict=True))
-        for tokenizer, some in ((self._uncut, letters), (self._tokenizer, rest)):
+        # A piece that begins with a newline has no blank before it; the newline's token is the end of the line before.
+        groups = [p for p in plain if p[0] != "\n"], [p for p in plain if p[0] == "\n"]
+        for some, before, cut, newline in zip(groups, (lead, ""), (0, 1), (0, 4), strict=True):
             for at in range(0, len(some), RUN):
                 run = some[at : at + RUN]
-                (e,) = tokenizer.encode_batch_fast([tuple(chain.from_iterable((lead + p, "\n") for p in run))], is_pretokenized=True, add_special_tokens=False)
+                (e,) = self._tokenizer.encode_batch_fast(["".join([f"\n{before}{p[cut:]}" for p in run]) + "\n"], add_special_tokens=False)
                 data = np.array(e.ids, "<u4")
-                ends = (np.flatnonzero(data == self._fence) * 4).tolist()  # no piece without a newline holds its token
+                ends = (np.flatnonzero(data == self._fence) * 4).tolist()  # no piece holds its token but as a first one
                 data = data.tobytes()
-                memo.young.update(zip(run, [data[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)], strict=True))
+                memo.young.update(zip(run, [data[a + 4 - newline : b] for a, b in zip(ends, ends[1:])], strict=True))
         return [p for p in missing if len(p) > MEMO_CHARS]
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text (null: empty)."""
         heads, tails = [], []
         for text in texts:
-            parts = (text or "").split(" ")
-            if "" in parts:
+            parts = (text or "").replace("\n", " \n").split(" ")
+            if "" in parts or JOINED(text):
                 heads.append(PIECE.findall(text or ""))
                 tails.append([])
             else:
