@@ -43,6 +43,24 @@ def test_pieces_around_newlines_are_learned_once_for_all_lines(library):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_and_punctuation_need_the_library_for_merging_only(library):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcéßÄñT") for _ in range(r.randrange(1, 90))) + r.choice(["", "", ",", "...", "$$$", "'", '."']) for _ in range(700)]
+    texts = [" ".join(r.choice(["", "", "\n"]) * (k > 0) + w for k, w in enumerate(r.choices(words, k=40))).replace(" \n", "\n") for _ in range(50)]
+    enc = Encoder(file_bytes(TOKENIZER), remembered=2000)  # generations change
+    enc._tokenizer = None  # would cut pieces itself
+    for _ in range(2):
+        for text, ids in zip(texts, enc.batch(texts), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_texts_of_one_batch_are_taken_in_stretches(library, monkeypatch):
+    monkeypatch.setattr("traceloom.llm.tokens.STRETCH", 30)
+    texts = ["ein Wort, ein Satz.\nNoch 12 Zeilen it's", None, "x", "a b", "  ", "ab\t cd\nef", "two words\n", "w " * 40 + "w"] * 3
+    for text, ids in zip(texts, Encoder(file_bytes(TOKENIZER)).batch(texts), strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 def statistics(text):
     t = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
