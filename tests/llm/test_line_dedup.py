@@ -173,3 +173,48 @@ def test_verdicts_by_hashes_are_those_of_the_shingles():
     batch = pa.RecordBatch.from_arrays([ids, ids, *(pa.array(x) for x in zip(*pairs))], ["a", "b", "ta", "tb"])
     (got,) = line_dedup._linked(0.8)(iter([batch]))
     assert got["a"].to_pylist() == [i for i, (x, y) in enumerate(pairs) if jaccard(x, y) >= 0.8 - 1e-12]
+
+
+def test_packed_shingles_are_the_shingles():
+    def plain(t):
+        return {t[i : i + 5] for i in range(max(1, len(t) - 4))}
+
+    r = random.Random(8)
+    alphabets = ["ab", "abcdefgé ", "a\x00", "ab漢\U0001f600", "a࿿က"]
+    texts = ["".join(r.choice(a) for _ in range(r.randrange(1, 60))) for a in alphabets for _ in range(40)]
+    texts += ["a", "a\x00", "a\x00\x00\x00\x00", "漢", "漢\x00", "漢\x00\x00\x00\x00"]
+    for s in texts:
+        x = line_dedup._grams(s)
+        assert len(x) == len(plain(s))
+        for t in r.choices(texts, k=30) + texts[-6:]:
+            assert line_dedup._common(x, line_dedup._grams(t)) == len(plain(s) & plain(t)), (s, t)
+    assert line_dedup._grams("a" * 9).dtype == np.uint64  # a number each, not a string
+
+
+def test_small_groups_pair_their_members_in_the_task(spark):
+    from traceloom.llm.linkage import SMALL_BUCKET, meeting
+
+    r = random.Random(4)
+    rows = [([r.randrange(30), 100 + r.randrange(300), 7 if k < SMALL_BUCKET + 5 else 8], k, r.choice([10, 11, 20])) for k in range(SMALL_BUCKET + 60)]
+    packed = [(np.array(ks, np.int64).tobytes(), i, n) for ks, i, n in rows]
+    ids = {}
+    for ks, i, n in rows:
+        for k in ks:
+            ids.setdefault(k, set()).add((i, n))
+    pairs = {(k, i, n, j, m) for k, x in ids.items() if len(x) <= SMALL_BUCKET for i, n in x for j, m in x if i < j and min(n, m) >= 0.8 * max(n, m)}
+    large = {(k, i, n, None, None) for k, x in ids.items() if len(x) > SMALL_BUCKET for i, n in x}
+    for keys, data in (("array<long>", rows), ("binary", packed)):
+        got = meeting(spark.createDataFrame(data, f"keys {keys}, id long, n long").repartition(3), 3, 0.8).collect()
+        assert len(got) == len(set(got)) and {tuple(g) for g in got} == pairs | large
+
+
+def test_texts_are_fetched_once_and_equal_rows_are_found_without_the_texts(spark, monkeypatch):
+    labels = []
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, label, **k: labels.append(label) or written(df, label, **k))
+    line = "one line of the corpus that is long enough to be compared, number "
+    docs = [(k, f"{line}{k % 7} {'x' * (k % 3)}\n \nother {k}") for k in range(60)] + [(1, docs_text := f"{line}again\n\nand more"), (1, docs_text), (2, " \n"), (2, " \n"), (3, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(got) == len(docs) and labels.count("lines-texts") == 1
+    assert sorted(g.n_kept for g in got if g.doc_id == 1 and "again" in (g.text or "again") and g.n_lines == 2)[0] == 0
+    assert [(g.text, g.n_lines, g.n_kept) for g in got if g.doc_id == 2 and g.n_lines == 0] == [("", 0, 0)] * 2

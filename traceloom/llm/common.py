@@ -41,11 +41,14 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{work_folder(spark)}/traceloom/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut and a lost executor costs no recomputation."""
+def written(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage is cut and a lost executor costs no recomputation.
+
+    ``hashes``: its values hardly repeat, so that no dictionaries of them are tried.
+    """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    (df.write.option("parquet.enable.dictionary", "false") if hashes else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     if (tables := _scratch.get()) is not None:

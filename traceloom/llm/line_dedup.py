@@ -138,9 +138,9 @@ def _groups(docs: list, rows: list, texts: list) -> Iterator[tuple[list, list, l
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    names = ["row", "place", "line", "doc", "bands", "n", *BITS]
+    names = ["row", "place", "line", "doc", "head", "bands", "n", *BITS]
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], [], [], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], [], [], [], [], []]
         for docs, rows, texts in _groups(*(batch.column(k).to_pylist() for k in range(3))):
             code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
             start, end, place = _spans(code)
@@ -154,6 +154,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[1].append(place)
             out[2].append(lines.view(np.int64))
             out[3].append(np.array([NO_ID if d is None else d for d in docs], np.int64)[owner])
+            out[4].append(np.append(True, owner[1:] != owner[:-1]))
             # Bands and sketch only for a line's first occurrence in this task, a stretch of lines at a time.
             new = [k for k, x in enumerate(lines.tolist()) if x not in seen and not seen.add(x)]
             if len(seen) > 1 << 19:
@@ -173,14 +174,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands[k] = mix((sig[:, : BANDS * BAND].reshape(-1, BANDS, BAND) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 held[k] = True
                 at = upto
-            for x, y in zip(out[4:], (bands, held, size_of, bits), strict=True):
+            for x, y in zip(out[5:], (bands, held, size_of, bits), strict=True):
                 x.append(y)
         if out[0]:
-            bands, held, size_of, bits = map(np.concatenate, out[4:])
-            offsets = np.concatenate([[0], np.cumsum(held * bands.shape[1])]).astype(np.int32)
-            keys = pa.ListArray.from_arrays(offsets, bands[held].reshape(-1).view(np.int64))
+            bands, held, size_of, bits = map(np.concatenate, out[5:])
+            offsets = np.concatenate([[0], np.cumsum(held * (8 * BANDS))]).astype(np.int32)
+            keys = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(bands[held].tobytes())])
             sketch = [pa.array(x, mask=~held) for x in (size_of, *bits.T)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:4]), keys, *sketch], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in out[:5]), keys, *sketch], names)
     seen.clear()
     tidy()
 
@@ -196,21 +197,57 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["id", "payload"])
 
 
-def _grams(text: str) -> frozenset:
-    return frozenset(text[i : i + WIDTH] for i in range(max(1, len(text) - WIDTH + 1)))
+#: Code points below NARROW are packed into 12 bits each, others into 21; a shingle of fewer than WIDTH has a mark.
+NARROW, _MARK = 1 << 12, 60
+_WIDE = np.dtype([("high", np.uint64), ("low", np.uint64)])
+
+
+def _grams(text: str) -> np.ndarray:
+    """The distinct shingles themselves, packed: sorted numbers, or pairs of numbers where a code point needs it."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    mark = max(WIDTH - len(code), 0)
+    code = np.append(code, np.zeros(mark, np.uint64))
+    n = len(code) - WIDTH + 1
+    c = [code[i : i + n] for i in range(WIDTH)]
+    mark = _U(mark << _MARK)
+    if code.max() < NARROW:
+        v = np.sort(mark | c[0] << _U(48) | c[1] << _U(36) | c[2] << _U(24) | c[3] << _U(12) | c[4])
+        return v[np.append(True, v[1:] != v[:-1])]
+    v = np.empty(n, _WIDE)
+    v["high"], v["low"] = mark | c[0] << _U(21) | c[1], c[2] << _U(42) | c[3] << _U(21) | c[4]
+    return np.unique(v)
+
+
+def _widened(v: np.ndarray) -> np.ndarray:
+    """Numbers of ``_grams`` as the pairs that it makes of the same shingles."""
+    if v.dtype == _WIDE:
+        return v
+    c = [v >> _U(k) & _U(NARROW - 1) for k in (48, 36, 24, 12, 0)]
+    out = np.empty(len(v), _WIDE)
+    out["high"], out["low"] = v >> _U(_MARK) << _U(_MARK) | c[0] << _U(21) | c[1], c[2] << _U(42) | c[3] << _U(21) | c[4]
+    return out
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles that two results of ``_grams`` share."""
+    if x.dtype != y.dtype:
+        x, y = _widened(x), _widened(y)
+    v = np.concatenate([x, y])
+    v.sort()
+    return int(np.count_nonzero(v[1:] == v[:-1]))
 
 
 def jaccard(a: str, b: str) -> float:
     x, y = _grams(a), _grams(b)
-    shared = len(x & y)
+    shared = _common(x, y)
     return shared / (len(x) + len(y) - shared)
 
 
 def _near(threshold: float):
-    def near(x: frozenset, y: frozenset) -> bool:
+    def near(x: np.ndarray, y: np.ndarray) -> bool:
         if min(len(x), len(y)) < (threshold - 1e-12) * max(len(x), len(y)):
             return False
-        shared = len(x & y)
+        shared = _common(x, y)
         return shared / (len(x) + len(y) - shared) >= threshold - 1e-12
 
     return near
@@ -229,10 +266,13 @@ def _linked(threshold: float):
 
     def verdicts(left: list[str], right: list[str]) -> np.ndarray:
         """By counts of hashes; where a few collisions could decide, by the shingles themselves."""
-        sets, first = _hashed(left + right)
-        size = np.diff(first)
+        number = {t: k for k, t in enumerate(dict.fromkeys(left + right))}
+        sets, first = _hashed(list(number))
+        text = np.array([number[t] for t in left + right])
+        size = np.diff(first)[text]
         pair = np.tile(np.arange(len(left), dtype=np.uint64), 2)
-        v = np.sort(np.repeat(pair << _U(KEPT), size) | sets >> _U(64 - KEPT))
+        at = np.arange(size.sum()) + np.repeat(first[text] - (np.cumsum(size) - size), size)
+        v = np.sort(np.repeat(pair << _U(KEPT), size) | sets[at] >> _U(64 - KEPT))
         shared = np.bincount((v[1:][v[1:] == v[:-1]] >> _U(KEPT)).astype(np.int64), minlength=len(left))
         union = size[: len(left)] + size[len(left) :] - shared
         near = shared >= threshold * union
@@ -266,34 +306,39 @@ def few_places(lists: DataFrame, places: str) -> DataFrame:
     return F.broadcast(lists) if rows <= FEW_ROWS and held <= FEW_PLACES else lists
 
 
-def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(row, place, line, comp, first) of the lines of ``rows`` (doc_id, row, text) that have duplicates; ``first``: it stays."""
+def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (doc_id, row, text): (row, place, line, comp, first) of the lines that have duplicates; ``first``: it stays.
+
+    And (row, n) of the rows with a line that are there n > 1 times.
+    """
     small_batches(rows.sparkSession)
     sketch = "n long, " + ", ".join(f"{b} long" for b in BITS)
-    signed = written(rows.select("doc_id", "row", "text").mapInArrow(_signed, f"row long, place long, line long, doc long, bands array<long>, {sketch}"), "lines-signed")
+    signed = written(rows.select("doc_id", "row", "text").mapInArrow(_signed, f"row long, place long, line long, doc long, head boolean, bands binary, {sketch}"), "lines-signed", hashes=True)
     new = signed.where("n IS NOT NULL")
-    members = meeting(new.select(F.col("bands").alias("keys"), F.col("line").alias("id"), "n"), BANDS)
+    members = meeting(new.select(F.col("bands").alias("keys"), F.col("line").alias("id"), "n"), BANDS, threshold)
 
     # One occurrence of each line that shares a band.
-    shared = sized(written(members.select(F.col("id").alias("line")).distinct(), "lines-met"), FEW_KEYS)
-    places = written(new.select("line", "row", "place", "n", *BITS).join(shared, "line").dropDuplicates(["line"]), "lines-where")
+    met = members.select(F.col("id").alias("line")).union(members.where("other IS NOT NULL").select("other")).distinct()
+    shared = sized(written(met, "lines-met", hashes=True), FEW_KEYS)
+    places = written(new.select("line", "row", "place", "n", *BITS).join(shared, "line").dropDuplicates(["line"]), "lines-where", hashes=True)
+    texts: list[DataFrame] = []
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """The text of one occurrence of each line, written."""
+    def fetch(ids: DataFrame) -> None:
+        """Write the text of one occurrence of each line: once for all that follows, as it takes a pass over the corpus."""
         spots = places.select("line", "row", "place").join(ids.select(F.col("id").alias("line")), "line")
         wanted = written(spots.groupBy("row").agg(F.collect_list(F.struct("place", "line")).alias("w")), "lines-wanted")
         found = rows.select("row", "text").join(few_places(wanted, "w"), "row").select("text", F.col("w.place").alias("p"), F.col("w.line").alias("l"))
-        return written(found.mapInArrow(_texts, "id long, payload string"), "lines-texts")
+        texts.append(written(found.mapInArrow(_texts, "id long, payload string"), "lines-texts"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("payload").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("payload").alias("tb")), "b")
+        (text,) = texts
+        both = pairs.join(text.select(F.col("id").alias("a"), F.col("payload").alias("ta")), "a").join(text.select(F.col("id").alias("b"), F.col("payload").alias("tb")), "b")
         return written(both.select("a", "b", "ta", "tb").mapInArrow(_linked(threshold), "a long, b long"), "lines-linked")
 
-    comp = link_components(members, places.select(F.col("line").alias("id"), "n", *BITS), verify, threshold, sized_sets=True, met=True, exact=(texts_of, _grams, _near(threshold)))
+    comp = link_components(members, places.select(F.col("line").alias("id"), "n", *BITS), verify, threshold, sized_sets=True, met=True, ready=fetch, exact=(lambda ids: texts[0].join(ids, "id"), _grams, _near(threshold)))
     # A line's order is that of its document, then of its row and place.
     lines = signed.select("row", "place", "line", "doc").join(sized(comp.select(F.col("id").alias("line"), "comp"), FEW_KEYS), "line", "left")
-    lines = written(lines.withColumn("comp", F.coalesce("comp", F.xxhash64("line"))), "lines-labelled")
+    lines = written(lines.withColumn("comp", F.coalesce("comp", F.xxhash64("line"))), "lines-labelled", hashes=True)
     # Fixed-width minima one after the other, so that partial sums stay hash aggregates.
     first = written(lines.groupBy("comp").agg(F.min("doc").alias("doc"), F.count("*").alias("n")).where("n > 1").select("comp", "doc"), "lines-first")
     rest = written(lines.join(sized(first.select("comp", F.col("doc").alias("first_doc")), FEW_KEYS), "comp"), "lines-repeated")
@@ -302,7 +347,8 @@ def duplicate_lines(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     place = rest.where("doc = first_doc AND row = first_row").groupBy("comp").agg(F.min("place").alias("first_place"))
     rest = rest.join(written(place, "lines-first-place"), "comp")
     stays = (F.col("doc") == F.col("first_doc")) & (F.col("row") == F.col("first_row")) & (F.col("place") == F.col("first_place"))
-    return rest.select("row", "place", "line", "comp", stays.alias("first"))
+    again = signed.where("head").groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
+    return rest.select("row", "place", "line", "comp", stays.alias("first")), again
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,11 +367,11 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gone(documents: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Written (row, gone), the places that a row loses, and (row, n) of the rows that are there n > 1 times."""
+    """Written (row, gone), the places that a row loses, and (row, n) of the rows with a line that are there n > 1 times."""
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("row", row_key("doc_id", "text"))
     with scratch(documents.sparkSession) as keep:
-        gone = duplicate_lines(rows, threshold).where("NOT first").groupBy("row").agg(F.collect_set("place").alias("gone"))
-        again = rows.groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
+        repeated, again = duplicate_lines(rows, threshold)
+        gone = repeated.where("NOT first").groupBy("row").agg(F.collect_set("place").alias("gone"))
         return keep(written(gone, "lines-gone")), keep(written(again, "lines-again"))
 
 
@@ -386,10 +432,9 @@ def drop_repeated_lines(documents: DataFrame, threshold: float = 0.8, doc_id: st
     own = documents.withColumn(mark, row_key(doc_id, text))
     if not again.isEmpty():
         again = sized(again.select(F.col("row").alias(mark)), FEW_ROWS)
-        # Of equal rows one stays; those without any line stay all.
-        wordless = own.join(again, mark, "left_semi").where(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-        once = own.join(again, mark, "left_semi").where(F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).dropDuplicates([mark])
-        own = own.join(again, mark, "left_anti").unionByName(once).unionByName(wordless)
+        # Of equal rows one stays; those without any line stay all, and are not among ``again``.
+        once = own.join(again, mark, "left_semi").dropDuplicates([mark])
+        own = own.join(again, mark, "left_anti").unionByName(once)
     lists = gone.select(F.col("row").alias(mark), F.col("gone").alias(places))
     joined = own.join(few_places(lists, places), mark, "left").select(*names, places)
     chars = names.index(n_chars) if n_chars in names else None

@@ -13,8 +13,8 @@ lost). What a sketch rules out is never looked at again.
 
 Nothing is capped: what is never verified is either already connected or provably unlinked.
 
-Where most keys have one member, ``meeting`` finds the shared ones first: keys travel packed, many to a row, and are
-sorted in tasks. Where payloads decide links (``exact``), the last round decides inside its tasks, too, and sends only
+Where most keys have one member, ``meeting`` finds the shared ones first: keys travel packed, many to a row, are sorted
+in tasks, and small buckets pair their members there. Where payloads decide links (``exact``), the last round decides inside its tasks, too, and sends only
 a forest of links, so that no group makes rows by the square of its size.
 """
 
@@ -103,6 +103,15 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(taken, np.int64)
 
 
+def _keys(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all rows, and how many each has; a row's keys are an array of longs or their bytes."""
+    if not pa.types.is_binary(lists.type):
+        return lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
+    _, offsets, data = lists.buffers()
+    at = np.frombuffer(offsets, np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]].view(np.int64), np.diff(at) // 8
+
+
 def _dealt(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -110,15 +119,15 @@ def _dealt(parts: int):
         def packed() -> pa.RecordBatch:
             key, id_, n = (np.concatenate(x) for x in zip(*held, strict=True))
             part = ((key.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # of short numbers a radix sort
             key, id_, n = key[order], id_[order], n[order].astype(np.int32)
             names, at = np.unique(part[order], return_index=True)
             spans = list(zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True))
             return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (key, id_, n))], ["part", "key", "id", "n"])
 
         for batch in batches:
-            lists, each = batch.column(0), batch.column(0).value_lengths().fill_null(0).to_numpy()
-            held.append((lists.flatten().to_numpy(), np.repeat(batch.column(1).to_numpy(), each), np.repeat(batch.column(2).to_numpy(), each)))
+            keys, each = _keys(batch.column(0))
+            held.append((keys, np.repeat(batch.column(1).to_numpy(), each), np.repeat(batch.column(2).to_numpy(), each)))
             size += len(held[-1][0])
             if size >= PACKED:
                 yield packed()
@@ -131,11 +140,49 @@ def _dealt(parts: int):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded number of rows; names without a column are null."""
+    for at in range(0, len(columns[0]), 1 << 16):
+        some = [pa.array(x[at : at + (1 << 16)].astype(np.int64)) for x in columns]
+        yield pa.RecordBatch.from_arrays(some + [pa.nulls(len(some[0]), pa.int64())] * (len(names) - len(some)), names)
+
+
+def _paired(key: np.ndarray, id_: np.ndarray, n: np.ndarray, ratio: float) -> Iterator[pa.RecordBatch]:
+    """Of places sorted by key and id: the pairs of small buckets that sizes do not rule out, the members of large ones."""
+    names = ["key", "id", "n", "other", "other_n"]
+    begins = np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True)) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begins, len(key)))
+    large = np.repeat(size > SMALL_BUCKET, size)
+    yield from _rows(names, key[large], id_[large], n[large])
+    key, id_, n = key[~large], id_[~large], n[~large]
+    for apart in range(1, SMALL_BUCKET):
+        a = np.flatnonzero(key[apart:] == key[:-apart])
+        if not len(a):
+            break
+        b = a + apart
+        fit = np.minimum(n[a], n[b]) >= ratio * np.maximum(n[a], n[b]) - 1e-6
+        a, b = a[fit], b[fit]
+        yield from _rows(names, key[a], id_[a], n[a], id_[b], n[b])
+
+
+def _met(ratio: float | None):
     """Over rows (part, key, id, n) of packed places sorted by part: the distinct places of keys that two ids have."""
-    part, held = None, []
 
-    def places() -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != part:
+                    if held:
+                        yield from places(held)
+                    part, held = row[0], []
+                held.append(row[1:])
+        if held:
+            yield from places(held)
+        held = []
+        tidy()
+
+    def places(held: list) -> Iterator[pa.RecordBatch]:
         key, id_, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), (np.int64, np.int64, np.int32), strict=True))
         order = np.argsort(key)
         same = key[order[1:]] == key[order[:-1]]
@@ -146,30 +193,24 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, id_, n = key[new], id_[new], n[new]
         same = key[1:] == key[:-1]
         two = np.append(same, False) | np.insert(same, 0, False) if len(key) else np.zeros(0, bool)
-        for at in range(0, len(key), 1 << 16):
-            keep = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep][two[keep]].astype(np.int64)) for x in (key, id_, n)], ["key", "id", "n"])
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != part:
-                if held:
-                    yield from places()
-                part, held = row[0], []
-            held.append(row[1:])
-    if held:
-        yield from places()
-    held = []
-    tidy()
-
-
-def meeting(lists: DataFrame, each: int) -> DataFrame:
-    """Written (key, id, n): the distinct places of ``lists`` (keys, id, n; about ``each`` keys a row) whose key two ids have."""
+        key, id_, n = key[two], id_[two], n[two]
+        yield from _rows(["key", "id", "n"], key, id_, n) if ratio is None else _paired(key, id_, n, ratio)
+
+    return run
+
+
+def meeting(lists: DataFrame, each: int, ratio: float | None = None) -> DataFrame:
+    """Written (key, id, n): the distinct places of ``lists`` (keys, id, n; about ``each`` keys a row) whose key two ids have.
+
+    With ``ratio`` only those of large buckets, and for each pair of a small one, if its sizes are no further apart, a
+    row with the second id and its n as ``other`` and ``other_n``, too.
+    """
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Several parts a task, so that tasks are even; a part is sorted in memory.
     parts = max(8 * n, lists.count() * each // PACKED)
     packed = lists.select("keys", "id", F.col("n").cast("long")).mapInArrow(_dealt(parts), "part int, key binary, id binary, n binary")
-    return written(packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_met, "key long, id long, n long"), "link-members")
+    schema = "key long, id long, n long" + ("" if ratio is None else ", other long, other_n long")
+    return written(packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_met(ratio), schema), "link-members", hashes=True)
 
 
 def _compare(slack: float, ratio: float, forest: bool, exact: tuple[Callable, Callable] | None = None):
@@ -258,35 +299,39 @@ def _compare(slack: float, ratio: float, forest: bool, exact: tuple[Callable, Ca
     return run
 
 
-def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, sized_sets: bool = False, enough: str | None = None, wide: DataFrame | None = None, met: bool = False, exact: tuple[Callable[[DataFrame], DataFrame], Callable, Callable] | None = None) -> DataFrame:
+def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, sized_sets: bool = False, enough: str | None = None, wide: DataFrame | None = None, met: bool = False, ready: Callable[[DataFrame], None] | None = None, exact: tuple[Callable[[DataFrame], DataFrame], Callable, Callable] | None = None) -> DataFrame:
     """(id, comp) of the ids that link with another one.
 
     ``members``: (key, id, n), rows may repeat. ``sketches``: (id, n, BITS). n is at least the size of the id's set, and
     the size itself if ``sized_sets``, so that sizes rule pairs out, too. ``verify``: (a, b) -> written (a, b) of those
     that link. ``enough``: a condition that links imply over a_n, b_n and ``common``, a bound on the keys both have. ``wide``:
-    (id, wide), ``wide_bits`` of the sets that are long for their sketches. ``met``: ``members`` are those of ``meeting``
-    and ``sketches`` has one row of each id of theirs.
+    (id, wide), ``wide_bits`` of the sets that are long for their sketches. ``met``: ``members`` are what ``meeting``
+    gives with the ratio of sizes that links imply, and ``sketches`` has one row of each id of theirs. ``ready``: told the
+    distinct (id) that ``verify`` or ``exact`` may ask for, before they do.
     ``exact``: ids -> (id, payload), what to make of a payload, and whether two of these link.
     """
     slack, ratio = (1.0 - threshold) / (1.0 + threshold), threshold if sized_sets else 0.0
     fits = lambda a, b: F.least(a, b) >= F.lit(ratio) * F.greatest(a, b) - 1e-6
-    held = members
+    held = members.where("other IS NULL").select("key", "id", "n") if met else members
     if not met:
         shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         held = written(members.join(shared, "key").distinct(), "link-members")
     release(members.sparkSession)
     large_keys = written(held.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > SMALL_BUCKET), "link-large-keys")
     large_keys = sized(large_keys, FEW_KEYS)
-    few = held.join(large_keys.select("key"), "key", "left_anti")
-    x, y = few.alias("x"), few.alias("y")
-    within = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & fits("x.n", "y.n"))
-    within = within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"))
+    if met:
+        within = members.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("n").alias("a_n"), F.col("other_n").alias("b_n"))
+    else:
+        few = held.join(large_keys.select("key"), "key", "left_anti")
+        x, y = few.alias("x"), few.alias("y")
+        within = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & fits("x.n", "y.n"))
+        within = within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"))
     large = written(held.join(large_keys, "key"), "link-large")
     many = written(large.groupBy("id").agg(F.count("*").alias("large"), F.sum("size").alias("weight")), "link-weights")
     if not met:
         sketches = sketches.join(held.select("id").distinct(), "id").dropDuplicates(["id"])
     sketch = sketches.join(many.select("id", "large"), "id", "left")
-    sketch = written(sketch.select("id", F.col("n").alias("of"), F.coalesce("large", F.lit(0)).alias("large"), *BITS), "link-sketches")
+    sketch = written(sketch.select("id", F.col("n").alias("of"), F.coalesce("large", F.lit(0)).alias("large"), *BITS), "link-sketches", hashes=True)
 
     def plausible(pairs: DataFrame, counted: bool) -> DataFrame:
         """Distinct (a, b) of ``pairs`` (a, b, a_n, b_n) that neither sketches nor, if they are ``counted``, shared keys rule out."""
@@ -324,6 +369,8 @@ def link_components(members: DataFrame, sketches: DataFrame, verify: Callable[[D
     swap = F.col("first") > F.col("id")
     star = star.select(*[F.when(swap, F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("id", "first", "a"), ("first", "id", "b"), ("n", "first_n", "a_n"), ("first_n", "n", "b_n"))])
     tested = written(plausible(within, True).union(plausible(star, False)).distinct(), "link-tested")
+    if ready is not None:
+        ready(tested.select(F.col("a").alias("id")).union(tested.select("b")).union(many.select("id")).distinct())
     links, comp = settled(tested, none, None)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
