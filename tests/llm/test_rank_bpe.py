@@ -53,3 +53,53 @@ def test_query_rows(spark):
     assert got[3].decoded_sha256 == hashlib.sha256(b"word " * 20_000).hexdigest()
     assert rank_bpe.round_trip(spark.createDataFrame([], schema), PATH, P.PATTERN).collect() == []
     assert rank_bpe.encode(spark.createDataFrame(rows[:1], schema), PATH, P.PATTERN).first().ids
+
+
+def test_what_is_remembered_changes_nothing(pair):
+    own, other = pair
+    small = rank_bpe.RankEncoder(own._ranks, P.PATTERN, remembered=8)
+    r = random.Random(3)
+    words = ["".join(r.choice("aeiountsé.,'") for _ in range(r.randrange(1, 9))) for _ in range(60)] + ["", "\n", "\ta", "x" * 100]
+    for _ in range(6):
+        texts = ["".join(w + r.choice(" \n") for w in r.choices(words, k=40)).strip(" ") for _ in range(5)]
+        for text, ids in zip(texts, small.batch(texts), strict=True):
+            assert ids.tolist() == other.encode_ordinary(text), repr(text)
+
+
+def test_pre_tokens_that_share_a_queue_are_merged_as_if_alone():
+    r = random.Random(4)
+    tokens = list({"".join(r.choice("ab\0") for _ in range(r.randrange(2, 7))).encode() for _ in range(150)})
+    r.shuffle(tokens)  # a merge often gives a pair of lower rank
+    ranks = {t: i for i, t in enumerate([bytes([b]) for b in range(256)] + tokens)}
+    words = ["".join(r.choice("ab\0") for _ in range(r.randrange(1, 40))).encode() for _ in range(300)]
+
+    def alone(word):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    enc = rank_bpe.RankEncoder(ranks, P.PATTERN)
+    for word, ids in zip(words, enc.merge_all(words), strict=True):
+        assert memoryview(ids).cast("I").tolist() == alone(word), word
+
+
+def test_patterns_with_other_cuts():
+    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    ranks = rank_bpe.read_ranks(file_bytes(PATH))
+    own, other = rank_bpe.RankEncoder(ranks, pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["one!\ntwo \n \nthree 12345", "a.\n\nb", "(c) d\te", ""]
+    assert [ids.tolist() for ids in own.batch(texts)] == [other.encode_ordinary(t) for t in texts]
+
+
+def test_long_pieces_do_not_share_a_run(pair, monkeypatch):
+    own, other = pair
+    enc, seen = rank_bpe.RankEncoder(own._ranks, P.PATTERN), []
+    merge_all = enc.merge_all
+    monkeypatch.setattr(enc, "merge_all", lambda run: seen.append(sum(map(len, run))) or merge_all(run))
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdef") for _ in range(50_000)) for _ in range(6)]
+    for text, ids in zip(texts, enc.batch(texts), strict=True):
+        assert ids.tolist() == other.encode_ordinary(text)
+    assert max(seen) <= rank_bpe.RUN + 50_000

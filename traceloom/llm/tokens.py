@@ -36,7 +36,10 @@ WORD = re.compile(f"\n?[A-Za-zÀ-ÖØ-öø-ɏ]+[{_PUNCTUATION}]*").fullmatch
 _BETWEEN = re.compile(f"([{_PUNCTUATION}]+)")
 #: Newlines that the pre-tokenizer may join with their neighbours (blanks apart, which leave an empty piece).
 JOINED = re.compile(f"\n(?:(?<=[{_WS}]\n)|(?=[{_WS}]))").search
-#: The pre-tokenizer whose cuts these are.
+#: Pieces without white space but a newline before them.
+PLAIN = re.compile(f"\n?[^{_WS}]+").fullmatch
+#: The pre-tokenizer whose cuts these are, and its pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
@@ -70,54 +73,16 @@ class Memo:
         return got
 
 
-class Encoder:
-    """``batch(texts)``: the ids of ``tokenizer.encode(text, add_special_tokens=False)`` as uint32."""
+class PieceEncoder:
+    """``batch(texts)``: the ids of each text as uint32. Subclasses encode the pieces that are not remembered."""
 
-    def __init__(self, tokenizer_json: bytes, remembered: int = MEMO):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_buffer(tokenizer_json)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._words = None
-        spec = json.loads(tokenizer_json)
-        if not spec.get("normalizer") and PRE_TOKENIZER.items() <= (spec.get("pre_tokenizer") or {}).items():
-            spec |= {"added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "post_processor": None}
-            self._words = Tokenizer.from_str(json.dumps(spec))
-            vocabulary = self._words.get_vocab()
-            #: Bytes of each token.
-            self._size = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            self._size[list(vocabulary.values())] = list(map(len, vocabulary))
-        self._newline = array("I", self._tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
+    def __init__(self, remembered: int):
         #: By piece, and by piece without the blank before it.
         self._raw, self._after = Memo(remembered // 10), Memo(remembered - remembered // 10)
 
-    def _merged(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of ``WORD`` pieces without newlines, each after ``lead``."""
-        if not words:
-            return []
-        ids: list[int] = []
-        for at in range(0, len(words), RUN):
-            lines = _BETWEEN.sub(r"\n\1", lead + ("\n" + lead).join(words[at : at + RUN]))
-            (e,) = self._words.encode_batch_fast([lines.encode().decode("latin-1").translate(_BYTES)], add_special_tokens=False)
-            ids += e.ids
-        data = np.array(ids, "<u4")
-        # A word ends with a token, so that the bytes up to there tell how many tokens it has.
-        ends = np.flatnonzero(np.frombuffer(("\n".join(words) + "\n").encode(), np.uint8) == 10)
-        ends += np.arange(len(words)) * (len(lead) - 1) + len(lead)
-        cuts = (4 * np.searchsorted(np.cumsum(self._size[data]), ends) + 4).tolist()
-        data = data.tobytes()
-        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
-
     def _encoded(self, pieces: list[str], lead: str) -> Iterator[tuple[str, bytes]]:
-        """Ids of each piece, after ``lead`` if it does not begin with a newline."""
-        words = list(filter(WORD, pieces)) if self._words else []
-        yield from zip(plain := [p for p in words if p[0] != "\n"], self._merged(plain, lead), strict=True)
-        yield from zip(lines := [p for p in words if p[0] == "\n"], [self._newline + x for x in self._merged([p[1:] for p in lines], "")], strict=True)
-        odd = list(set(pieces).difference(words))
-        for at in range(0, len(odd), RUN):
-            some = odd[at : at + RUN]
-            got = self._tokenizer.encode_batch_fast([p if p[0] == "\n" else lead + p for p in some], add_special_tokens=False)
-            yield from zip(some, [array("I", e.ids).tobytes() for e in got], strict=True)
+        """Ids of each of distinct pieces, after ``lead`` if it does not begin with a newline."""
+        raise NotImplementedError
 
     def _ids(self, memo: Memo, pieces: list[str], lead: str) -> list[bytes]:
         """Ids of distinct pieces, remembered or encoded now."""
@@ -174,6 +139,54 @@ class Encoder:
         return out
 
 
+class Encoder(PieceEncoder):
+    """The ids of ``tokenizer.encode(text, add_special_tokens=False)``."""
+
+    def __init__(self, tokenizer_json: bytes, remembered: int = MEMO):
+        from tokenizers import Tokenizer
+
+        super().__init__(remembered)
+        self._tokenizer = Tokenizer.from_buffer(tokenizer_json)
+        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._words = None
+        spec = json.loads(tokenizer_json)
+        if not spec.get("normalizer") and PRE_TOKENIZER.items() <= (spec.get("pre_tokenizer") or {}).items():
+            spec |= {"added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "post_processor": None}
+            self._words = Tokenizer.from_str(json.dumps(spec))
+            vocabulary = self._words.get_vocab()
+            #: Bytes of each token.
+            self._size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self._size[list(vocabulary.values())] = list(map(len, vocabulary))
+        self._newline = array("I", self._tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of ``WORD`` pieces without newlines, each after ``lead``."""
+        if not words:
+            return []
+        ids: list[int] = []
+        for at in range(0, len(words), RUN):
+            lines = _BETWEEN.sub(r"\n\1", lead + ("\n" + lead).join(words[at : at + RUN]))
+            (e,) = self._words.encode_batch_fast([lines.encode().decode("latin-1").translate(_BYTES)], add_special_tokens=False)
+            ids += e.ids
+        data = np.array(ids, "<u4")
+        # A word ends with a token, so that the bytes up to there tell how many tokens it has.
+        ends = np.flatnonzero(np.frombuffer(("\n".join(words) + "\n").encode(), np.uint8) == 10)
+        ends += np.arange(len(words)) * (len(lead) - 1) + len(lead)
+        cuts = (4 * np.searchsorted(np.cumsum(self._size[data]), ends) + 4).tolist()
+        data = data.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _encoded(self, pieces: list[str], lead: str) -> Iterator[tuple[str, bytes]]:
+        words = list(filter(WORD, pieces)) if self._words else []
+        yield from zip(plain := [p for p in words if p[0] != "\n"], self._merged(plain, lead), strict=True)
+        yield from zip(lines := [p for p in words if p[0] == "\n"], [self._newline + x for x in self._merged([p[1:] for p in lines], "")], strict=True)
+        odd = list(set(pieces).difference(words))
+        for at in range(0, len(odd), RUN):
+            some = odd[at : at + RUN]
+            got = self._tokenizer.encode_batch_fast([p if p[0] == "\n" else lead + p for p in some], add_special_tokens=False)
+            yield from zip(some, [array("I", e.ids).tobytes() for e in got], strict=True)
+
+
 _encoders: dict[tuple[int, int], Encoder] = {}
 
 
